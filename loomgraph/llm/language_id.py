@@ -131,14 +131,14 @@ def _stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return at, np.minimum(at + LONGEST - 1, np.repeat(ends, parts)), at == np.repeat(starts, parts), np.repeat(row, parts)
 
 
-def _predict(langs: list[str], probs: object, pieces: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, p, names = Pieces(pieces.value), probs.value, np.array([*langs, UNKNOWN])
         known, score = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
         for batch in batches:
             ids = batch.column(0)
-            letters = pc.fill_null(pc.match_substring_regex(batch.column(1), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in tn.chunks(pc.utf8_lower(batch.column(1))):
+            letters = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False)
+            for lo, hi, data, off in tn.chunks(pc.utf8_lower(batch.column(text))):
                 starts, ends, opens, row = _stretches(data, off)
                 hashes = tn.word_hashes(data, starts, ends) ^ np.where(opens, np.uint64(0), np.uint64(0x5DEECE66D)) if len(starts) else np.zeros(0, np.uint64)
                 distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
@@ -161,6 +161,9 @@ def _predict(langs: list[str], probs: object, pieces: object) -> Callable[[Itera
                 best = total.argmax(1) if len(langs) else np.zeros(hi - lo, int)
                 sure = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1) if len(langs) else np.zeros(hi - lo)
                 good = letters[lo:hi] & (len(langs) > 0)
+                if keep:
+                    yield batch.slice(lo, hi - lo).filter(pa.array(good))
+                    continue
                 yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(names[np.where(good, best, len(langs))]), pa.array(np.where(good, sure, 0.0))], ["doc_id", "lang_pred", "score"])
 
     return run
@@ -179,7 +182,7 @@ def fit(docs: DataFrame, pieces: list[bytes], max_docs: int = 1000, max_bytes: i
     limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))])
     chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < limit[F.col("lang")])
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), "[ \\t-\\r]+")).alias("word")).where("word != ''")
-    return train(words.groupBy("lang", F.encode("word", "UTF-8").alias("word")).agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["lang", "word"]), pieces)
+    return train(words.groupBy("lang", F.encode("word", "UTF-8").alias("word")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().sort_values(["lang", "word"]), pieces)
 
 
 def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[bytes]) -> DataFrame:
@@ -187,3 +190,10 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[b
     context = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(_predict(langs, context.broadcast(probs), context.broadcast(pieces)), f"doc_id {kind}, lang_pred string, score double")
+
+
+def accepted(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[bytes]) -> DataFrame:
+    """The rows of docs, unchanged, whose language is not ``und``; they are filtered where they lie."""
+    context = docs.sparkSession.sparkContext
+    run = _predict(langs, context.broadcast(probs), context.broadcast(pieces), docs.columns.index("text"), True)
+    return docs.mapInArrow(run, docs.schema)
