@@ -146,7 +146,8 @@ def repeated_runs(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> Da
         raise ValueError("window - anchor + 1 must be a power of two")
     texts = _flat(docs).where("key is not null")
     kind = texts.schema["key"].dataType.simpleString()
-    counted = texts.mapInArrow(_pieces(window, anchor, False), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor")
+    # aggregates are written before they are joined, so that a hot key's partition can be split in the join
+    counted = staged(texts.mapInArrow(_pieces(window, anchor, False), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
     every = texts.mapInArrow(_pieces(window, anchor, True), f"anchor long, content long, key {kind}, pos int, size int")
     pieces = staged(every.join(counted, "anchor", "left_semi"), "pieces")
 
@@ -158,7 +159,7 @@ def repeated_runs(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> Da
     junctions = paths.groupBy("anchor").count().where("count > 1").select("anchor")
     asked = paths.join(junctions, "anchor", "left_semi").select("src.*").groupBy("key").agg(F.collect_list(F.struct("pos", "size")).alias("pieces"))
     edges = staged(texts.join(asked, "key").select("key", "text", "pieces").mapInArrow(_edges(window, anchor), f"edge long, key {kind}, pos int"), "edges")
-    firsts = edges.groupBy("edge").agg(F.min(F.struct("key", "pos")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    firsts = staged(edges.groupBy("edge").agg(F.min(F.struct("key", "pos")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     single = edges.join(firsts.select("edge", "src"), "edge").where((F.col("key") != F.col("src.key")) | (F.col("pos") != F.col("src.pos")))
     single = single.select("key", "pos", F.lit(1).alias("size"), F.col("src.key").alias("src_key"), F.col("src.pos").alias("src_pos"))
     return again.unionByName(single)

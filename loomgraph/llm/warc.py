@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import staged
+
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of payload in one batch that a reading task hands on.
 BATCH_BYTES = 8 << 20
@@ -43,7 +45,8 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     heads = pages.where("page_id is not null").select("page_id", "url", F.octet_length("payload").alias("bytes"), base32_sha1(F.col("payload")).alias("digest"))
     heads = heads.where(F.col("bytes") >= least_bytes)
     originals = heads.groupBy("digest").agg(F.max(F.struct("page_id", "url")).alias("first"), F.min("page_id").alias("least")).where("least < first.page_id")
-    joined = heads.join(originals.select("digest", "first"), "digest").where("page_id < first.page_id")
+    # written before it is joined, so that a hot digest's partition can be split in the join
+    joined = heads.join(staged(originals.select("digest", "first"), "originals"), "digest").where("page_id < first.page_id")
     return joined.select("page_id", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
 
 
