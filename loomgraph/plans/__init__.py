@@ -1,9 +1,6 @@
-"""Named queries over the driver tables."""
+"""Named queries over the driver tables and their SQL."""
 
+from .graph_queries import queries
+from .graph_sql import oracle_sql
 
-def queries() -> dict:
-    return {}
-
-
-def oracle_sql() -> dict:
-    return {}
+__all__ = ["oracle_sql", "queries"]
