@@ -67,6 +67,26 @@ def test_near_duplicates(docs, empty):
     assert {r.doc_id for r in near_dedup.keep_one(docs).collect()} == set(texts()) - {2, 3, 8}
 
 
+def test_near_duplicates_of_a_drifted_group(spark, monkeypatch):
+    """Copies that drift in steps from copy to copy, all left to the narrow buckets; held against all pairs."""
+    monkeypatch.setattr(near_dedup, "RESIDUAL", -1)
+    rng, group = np.random.default_rng(7), [[f"v{i}" for i in range(150)]]
+    while len(group) < 60:
+        copy = list(group[int(rng.integers(max(0, len(group) - 8), len(group)))])
+        for at in rng.integers(0, 150, int(rng.integers(1, 4))):
+            copy[at] = f"n{int(rng.integers(1 << 40))}"
+        group.append(copy)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in group]
+    root = list(range(60))
+    for i in range(60):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) and root[i] != root[j]:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(group)], "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(root))
+
+
 def test_prob_min_hash_estimates_weighted_similarity():
     key = np.arange(1, 301, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = slice(0, 200), slice(100, 300)
