@@ -13,6 +13,7 @@ from ..operators import messages as M
 from ..operators import metrics as X
 from ..operators import norms as N
 from ..operators import samplers as S
+from ..operators import training as R
 from ..operators.windows import local_ids, running_total
 from ..sources import graphs as G
 from . import tables as T
@@ -295,5 +296,31 @@ def kcore_prune(c: T.Context) -> DataFrame:
     return e
 
 
+def _trained(c: T.Context) -> tuple[dict, list[tuple[int, float]], DataFrame]:
+    """Weights and losses after some epochs over the pool of walks, and the scaled features."""
+    pool, scaled = c.walks()[1].withColumnRenamed("v", "id"), QUERIES["scaler_transform"](c)
+    wide = scaled.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda p: p["v"]).alias("x"))  # one row a feature
+    nodes = pool.join(wide, "id").join(c.graph.labels, "id").join(norm_loss(c).select("id", F.col("lambda").alias("lam")), "id").select("sg", "id", "x", "y", "lam")
+    path = f"{c.scratch()}/pool"
+    nodes.write.parquet(f"{path}/nodes")
+    subgraph_weights(c).write.parquet(f"{path}/edges")
+    nodes, edges = (c.spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges"))
+    classes = c.graph.labels.agg(F.max("y")).first()[0] + 1
+    return *R.train(nodes, edges, R.initial(4, [16], classes), 3, 10), scaled
+
+
+@query
+def train_epochs(c: T.Context) -> DataFrame:
+    """(epoch, loss) of training on sampled subgraphs."""
+    return c.spark.createDataFrame(_trained(c)[1], "epoch int, loss double")
+
+
+@query
+def train_evaluate(c: T.Context) -> DataFrame:
+    """F1 on the validation nodes of the whole graph after training."""
+    weights, _, scaled = _trained(c)
+    return R.evaluate(weights, c.graph.edges, scaled, c.graph.labels, c.graph.nodes)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(T.Context(spark, sf_dir))) for name, f in QUERIES.items()}

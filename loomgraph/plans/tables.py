@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +29,11 @@ class Context:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
+    def scratch(self) -> str:
+        """A new folder in the one that the cluster shares; a temporary one only where none is set (tests)."""
+        shared = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        return f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
+
     @property
     def prepared(self) -> Prepared:
         return Prepared.of(self.train_edges, self.train_ids)
