@@ -3,10 +3,13 @@
 A text is its words, lower-cased in A-Z, joined by a space and closed by an end symbol; every such sequence of words is
 one sequence of bytes, so byte probabilities multiply to the probability of the tokens. Contexts are the last 1 to
 ``depth`` bytes within the text (with its start). Grams of depth + 1 bytes are counted over all training texts in
-Spark, shorter contexts by summing. A context is kept if it makes up at least ``least_share`` of the training bytes (so
-at most depth / least_share contexts exist, whatever the corpus) and its next-byte distribution diverges from that of
-its suffix by at least ``divergence`` nats, all occurrences together. A context's distribution is smoothed towards its
-longest kept suffix's; the root is smoothed to uniform. A byte is predicted by its longest kept context.
+Spark, shorter contexts by summing. A context is kept if it occurs LEAST times and its next-byte distribution diverges
+from that of its suffix by at least ``divergence`` nats, all occurrences together; both are counts, so rows that are
+added prune nothing and the tree grows with the corpus. A context's distribution is smoothed towards its longest kept
+suffix's; the root is smoothed to uniform. A byte is predicted by its longest kept context.
+
+The tree is a table for each depth, written and never gathered. Texts are dealt into chunks of some DEALT bytes; the
+distinct grams of a chunk meet the tables in joins, longest context first, and go back to their chunk.
 
 The base score needs each word's count. Words that are at most HEAD in number and the most frequent are broadcast; the
 others meet their counts in a join, so vocabularies of any size work.
@@ -22,20 +25,26 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .common import staged
 
 DEPTH = 5
-LEAST_SHARE = 2e-6
+#: Occurrences of a context at least.
+LEAST = 2
 DIVERGENCE = 12.0
 #: Counts that the suffix's distribution weighs in a context's.
 STRENGTH = 4.0
 #: Most words whose counts are broadcast.
 HEAD = 200_000
 END = 0x0A
+#: Bytes of text whose distinct grams are looked up together.
+DEALT = 16 << 20
+#: The only gram of a text without words: its end symbol after its start.
+BLANK = END << 8 | END
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CACHE_BITS = 20
@@ -85,112 +94,175 @@ def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarra
     return key, np.bincount(back, np.concatenate(counts)).astype(np.int64)
 
 
-def _count(depth: int, what: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of grams or of word hashes, added up over several chunks before they leave."""
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of word hashes, added up over several chunks before they leave."""
+    keys, counts, held = [], [], 0
+    for batch in batches:
+        for _, _, data, off in tn.chunks(batch.column(0), tn.CHUNK_BYTES // 2):
+            s = Stream(data, off)
+            key, count = np.unique(tn.word_hashes(s.data, s.starts, s.ends), return_counts=True)
+            keys.append(key)
+            counts.append(count)
+            held += len(key)
+            if held > 1_500_000:
+                key, count = _summed(keys, counts)
+                keys, counts, held = [key], [count], len(key)
+                if held > 1_000_000:
+                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": count})
+                    keys, counts, held = [], [], 0
+    if keys:
+        key, count = _summed(keys, counts)
+        yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": count})
+
+
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows whose last column is the text, with the chunk that each belongs to."""
+    first, size = TaskContext.get().partitionId() << 32, 0
+    for batch in batches:
+        off = tn.buffers(batch.column(batch.num_columns - 1))[1]
+        chunk = first + (size + off[:-1] - off[0]) // DEALT
+        size += int(off[-1] - off[0])
+        yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], ["chunk", *batch.schema.names])
+
+
+def _count_grams(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(chunk, train, text) -> the grams of each chunk, with their counts in its training texts."""
+
+    def made(chunk: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key, count = _summed(keys, counts)
+        return pa.RecordBatch.from_pydict({"chunk": np.full(len(key), chunk), "key": key.view(np.int64), "n": count})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        now, keys, counts, held = -1, [], [], 0
         for batch in batches:
-            for _, _, data, off in tn.chunks(batch.column(0), tn.CHUNK_BYTES // 2):
-                s = Stream(data, off)
-                values = s.grams(depth) if what == "grams" else tn.word_hashes(s.data, s.starts, s.ends)
-                key, count = np.unique(values, return_counts=True)
-                keys.append(key)
-                counts.append(count)
-                held += len(key)
-                if held > 1_500_000:
-                    key, count = _summed(keys, counts)
-                    keys, counts, held = [key], [count], len(key)
-                    if held > 1_000_000:
-                        yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": count})
-                        keys, counts, held = [], [], 0
+            chunk, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
+            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                if a == b:
+                    continue
+                if chunk[a] != now and keys:
+                    yield made(now, keys, counts)
+                    keys, counts, held = [], [], 0
+                now = chunk[a]
+                for lo, hi, data, off in tn.chunks(batch.column(2).slice(a, b - a), tn.CHUNK_BYTES // 2):
+                    s = Stream(data, off)
+                    values, learnt = s.grams(depth), np.repeat(train[a + lo : a + hi], s.length)
+                    for part, each in ((values[learnt], 1), (values[~learnt], 0)):
+                        key, count = np.unique(part, return_counts=True)
+                        keys.append(key)
+                        counts.append(count * each)
+                        held += len(key)
+                    if not s.length.all():
+                        keys.append(np.array([BLANK], np.uint64))
+                        counts.append(np.zeros(1, np.int64))
+                    if held > 1_500_000:
+                        key, count = _summed(keys, counts)
+                        keys, counts, held = [key], [count], len(key)
+                        if held > 1_000_000:
+                            yield made(now, keys, counts)
+                            keys, counts, held = [], [], 0
         if keys:
-            key, count = _summed(keys, counts)
-            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": count})
+            yield made(now, keys, counts)
 
     return run
 
 
+def _mask(depth: int) -> int:
+    return (1 << 8 * (depth + 1)) - 1 if depth < 7 else -1
+
+
 class Tree:
-    """Kept contexts by depth: sorted keys and totals, and the counts of their next bytes."""
+    """Tables by depth, from 0: key (a context and its next byte, as learnt), ctx, n, total, the smoothed probability p
+    and what is left to the suffix for bytes that the context never had (1 if it is not kept)."""
 
-    def __init__(self, root: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]):
-        self.root = (root + 1) / (root.sum() + 256)
+    def __init__(self, levels: list[DataFrame]):
         self.levels = levels
-        self.depth = len(levels)
+        self.depth = len(levels) - 1
+
+    def probabilities(self, grams: DataFrame) -> DataFrame:
+        """(key, p) of distinct full-depth grams, longest context first; what has met its edge goes no further."""
+        left, found = grams.select("key", F.col("key").alias("at"), F.lit(1.0).alias("w")), []
+        for d in range(self.depth, -1, -1):
+            level = self.levels[d]
+            met = staged(left.join(level.select(F.col("key").alias("at"), "p"), "at", "left"), "met")
+            found.append(met.where("p is not null").select("key", (F.col("w") * F.col("p")).alias("p")))
+            kept = level.where("rest < 1").select(F.col("ctx"), "rest").distinct()
+            missed = met.where("p is null").withColumn("ctx", F.shiftrightunsigned("at", 8)).join(kept, "ctx", "left")
+            left = missed.select("key", F.col("at").bitwiseAND(_mask(d - 1)).alias("at"), (F.col("w") * F.coalesce("rest", F.lit(1.0))).alias("w"))
+        out = found[0]
+        for f in found[1:]:
+            out = out.unionByName(f)
+        return out
 
     def logs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each gram after the bytes before it."""
-        p = self.root[(grams & np.uint64(255)).astype(np.int64)].copy()
-        for d, (context, total, edge, count) in enumerate(self.levels, 1):
-            if not len(context):
-                continue
-            mask = np.uint64((1 << 8 * (d + 1)) - 1)
-            key = grams & mask
-            at = np.minimum(np.searchsorted(context, key >> np.uint64(8)), len(context) - 1)
-            here = np.flatnonzero(context[at] == key >> np.uint64(8))
-            place = np.minimum(np.searchsorted(edge, key[here]), len(edge) - 1)
-            n = np.where(edge[place] == key[here], count[place], 0)
-            p[here] = (n + STRENGTH * p[here]) / (total[at[here]] + STRENGTH)
-        return np.log10(p)
-
-
-def _levels(grams: DataFrame, depth: int, least_share: float, divergence: float) -> tuple[np.ndarray, list]:
-    """The tree's tables from (key, n) of full-depth grams. Only kept contexts, whose number is bounded, reach the driver."""
-    byte = F.col("key").bitwiseAND(255).cast("int")
-    by_symbol = grams.groupBy(byte.alias("b")).agg(F.sum("n").alias("n")).collect()
-    root = np.zeros(256)
-    for r in by_symbol:
+        """log10 probability of the last byte of each of a few grams after the bytes before it."""
+        spark = self.levels[0].sparkSession
+        keys = spark.createDataFrame([(int(k),) for k in np.unique(grams).view(np.int64)], "key long")
+        p = {r["key"]: r["p"] for r in self.probabilities(keys).collect()}
+        return np.log10([p[int(k)] for k in grams.view(np.int64)])
+
+
+def _tree(grams: DataFrame, depth: int, least_share: float, divergence: float) -> Tree:
+    """The tree's tables from (key, n) of full-depth grams. The driver sees the counts of single bytes only."""
+    spark = grams.sparkSession
+    root = np.zeros(256, np.int64)
+    for r in grams.groupBy(F.col("key").bitwiseAND(255).alias("b")).agg(F.sum("n").alias("n")).collect():
         root[r["b"]] = r["n"]
-    total = root.sum()
-    suffix = grams.groupBy(byte.cast("long").alias("key")).agg(F.sum("n").alias("n")).withColumn("ctx", F.lit(0).cast("long")).withColumn("total", F.lit(int(total)).cast("long"))
-    out = []
+    total = int(root.sum())
+    rows = [(b, 0, int(n), total, (int(n) + 1) / (total + 256), 1.0) for b, n in enumerate(root)]
+    levels = [spark.createDataFrame(rows, "key long, ctx long, n long, total long, p double, rest double")]
+    least, context = max(LEAST, least_share * total), Window.partitionBy("ctx")
     for d in range(1, depth + 1):
-        mask = (1 << 8 * (d + 1)) - 1 if d < 7 else -1
-        cut = grams.groupBy(F.col("key").bitwiseAND(mask).alias("key")).agg(F.sum("n").alias("n")).withColumn("ctx", F.shiftrightunsigned("key", 8))
-        sums = cut.groupBy("ctx").agg(F.sum("n").alias("total")).where(F.col("total") >= max(2, least_share * total))
-        cut = staged(cut.join(sums, "ctx"), "contexts")
-        # divergence from the suffix context one byte shorter, which has at least as many occurrences
-        shorter = F.col("key").bitwiseAND((1 << 8 * d) - 1)
-        base = suffix.select(F.col("key").alias("short"), (F.col("n") / F.col("total")).alias("q"))
-        gain = cut.withColumn("short", shorter).join(base, "short").groupBy("ctx").agg(F.sum(F.col("n") * F.ln(F.col("n") / F.col("total") / F.col("q"))).alias("gain")).where(F.col("gain") >= divergence)
-        kept = cut.join(gain.select("ctx"), "ctx", "left_semi").select("key", "n", "ctx", "total").toArrow().to_pandas().sort_values("key")
-        heads = kept.drop_duplicates("ctx")
-        out.append((heads["ctx"].to_numpy(np.uint64), heads["total"].to_numpy(np.float64), kept["key"].to_numpy(np.uint64), kept["n"].to_numpy(np.float64)))
-        suffix = cut
-    return root, out
-
-
-def fit(texts: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE) -> Tree:
-    """Learn a tree from a one-column table of texts."""
-    grams = staged(texts.mapInArrow(_count(depth, "grams"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    # a text without words is its end symbol after its start
-    return Tree(*_levels(grams, depth, least_share, divergence))
-
-
-def _score(tree: object, head: object, scale: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(doc_id, h, text) -> numbers of the row, and the hashes of the words outside the head."""
+        cut = grams if d == depth else grams.groupBy(F.col("key").bitwiseAND(_mask(d)).alias("key")).agg(F.sum("n").alias("n"))
+        # the suffix context one byte shorter has at least as many occurrences
+        shorter = levels[-1].select(F.col("key").alias("short"), (F.col("n") / F.col("total")).alias("q"), F.col("p").alias("below"))
+        met = cut.withColumn("short", F.col("key").bitwiseAND(_mask(d - 1))).join(shorter, "short").withColumn("ctx", F.shiftrightunsigned("key", 8))
+        summed = met.withColumn("total", F.sum("n").over(context)).withColumn("gain", F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))).over(context) - F.col("total") * F.ln("total"))
+        kept = (F.col("total") >= least) & (F.col("gain") >= divergence)
+        p = F.when(kept, (F.col("n") + STRENGTH * F.col("below")) / (F.col("total") + STRENGTH)).otherwise(F.col("below"))
+        levels.append(staged(summed.select("key", "ctx", "n", "total", p.alias("p"), F.when(kept, STRENGTH / (F.col("total") + STRENGTH)).otherwise(1.0).alias("rest")), "contexts"))
+    return Tree(levels)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model: Tree = tree.value
+
+def fit(texts: DataFrame, depth: int = DEPTH, least_share: float = 0.0, divergence: float = DIVERGENCE) -> Tree:
+    """Learn a tree from a one-column table of texts; a least_share prunes contexts below that share of its bytes."""
+    rows = texts.select(F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("train"), texts[0])
+    grams = staged(rows.mapInArrow(_count_grams(depth), "chunk long, key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"), "grams")
+    return _tree(grams, depth, least_share, divergence)
+
+
+def _score(depth: int, head: object, scale: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
+    """A chunk's (chunk, doc_id, h, text) and its (chunk, key, p) -> numbers of each row, and the hashes of the words outside the head."""
+
+    def run(texts: pa.Table, known_grams: pa.Table) -> pa.Table:
         words, counts = head.value
-        slots, values = np.zeros(1 << _CACHE_BITS, np.uint64), np.zeros(1 << _CACHE_BITS)
-        start = np.uint64(END << 8 | END)
-        blank = float(model.logs(np.array([start], np.uint64))[0])
-        slots[:] = start
-        values[:] = blank
-        for batch in batches:
-            for lo, hi, data, off in tn.chunks(batch.column(2), tn.CHUNK_BYTES // 2):
+        keys = known_grams.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(keys)
+        keys, found = keys[order], np.log10(known_grams.column("p").to_numpy())[order]
+
+        def slot_of(g: np.ndarray) -> np.ndarray:
+            return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
+
+        # of grams in one slot the last to come stays
+        at = np.zeros(1 << _CACHE_BITS, np.int64)
+        at[slot_of(keys)] = np.arange(len(keys))
+        slots, values = keys[at], found[at]
+        place = int(np.searchsorted(keys, np.uint64(BLANK)))
+        blank = found[place] if place < len(keys) and keys[place] == np.uint64(BLANK) else 0.0
+        out = []
+        for batch in texts.to_batches():
+            for lo, hi, data, off in tn.chunks(batch.column("text"), tn.CHUNK_BYTES // 2):
                 s = Stream(data, off)
-                g = s.grams(model.depth)
-                slot = ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
+                g = s.grams(depth)
+                slot = slot_of(g)
                 logs = values[slot]
                 miss = np.flatnonzero(slots[slot] != g)
                 if len(miss):
-                    fresh, back = np.unique(g[miss], return_inverse=True)
-                    made = model.logs(fresh)
-                    logs[miss] = made[back]
-                    slots[slot[miss]], values[slot[miss]] = g[miss], made[back]
+                    place = np.searchsorted(keys, g[miss])
+                    if not (keys[np.minimum(place, len(keys) - 1)] == g[miss]).all():
+                        raise ValueError("a gram of the chunk has no probability")
+                    logs[miss] = found[place]
+                    slots[slot[miss]], values[slot[miss]] = g[miss], found[place]
                 rows = np.repeat(np.arange(s.rows), s.length)
                 score = np.bincount(rows, logs, s.rows) + np.where(s.length == 0, blank, 0.0)
                 h = tn.word_hashes(s.data, s.starts, s.ends) if len(s.starts) else np.zeros(0, np.uint64)
@@ -200,7 +272,8 @@ def _score(tree: object, head: object, scale: float) -> Callable[[Iterator[pa.Re
                 base = np.bincount(of[known], np.log10((counts[at[known]] + 1) / scale), s.rows) if len(words) else np.zeros(s.rows)
                 tail, tail_of = h[~known], of[~known]
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail_of, np.arange(s.rows + 1)), pa.int32()), pa.array(tail.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(s.words, pa.int64()), pa.array(np.bincount(of[known], minlength=s.rows), pa.int64()), pa.array(base, pa.float64()), pa.array(score), lists], ["doc_id", "h", "n_words", "head_known", "head_base", "score", "tail"])
+                out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("h").slice(lo, hi - lo), pa.array(s.words, pa.int64()), pa.array(np.bincount(of[known], minlength=s.rows), pa.int64()), pa.array(base, pa.float64()), pa.array(score), lists], ["doc_id", "h", "n_words", "head_known", "head_base", "score", "tail"]))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -209,15 +282,20 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE, divergence: float = DIVERGENCE, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH, least_share: float = 0.0, divergence: float = DIVERGENCE, head: int = HEAD) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    training = rows.where(~held_out()).select("text")
-    tree = fit(training, depth, least_share, divergence)
-
-    vocabulary = staged(training.mapInArrow(_count(0, "words"), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
+    rows = docs.select((~held_out()).alias("train"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("train", "doc_id", F.xxhash64("text").alias("h"), "text")
+    dealt = staged(rows.mapInArrow(_deal, f"chunk long, train boolean, doc_id {kind}, h long, text string"), "dealt", "zstd")
+    training = dealt.where("train").select("text")
+    met = staged(dealt.select("chunk", "train", "text").mapInArrow(_count_grams(depth), "chunk long, key long, n long"), "met")
+    grams = staged(met.groupBy("key").agg(F.sum("n").alias("n")), "grams")
+    tree = _tree(grams.where("n > 0"), depth, least_share, divergence)
+    # every learnt gram has its edge in the deepest table
+    chances = tree.levels[depth].select("key", "p").unionByName(tree.probabilities(grams.where("n = 0").select("key")))
+
+    vocabulary = staged(training.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
     ends = training.count()
     sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
     total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
@@ -233,7 +311,8 @@ def scores(docs: DataFrame, depth: int = DEPTH, least_share: float = LEAST_SHARE
     order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
     first = (top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order])
     context = spark.sparkContext
-    scored = rows.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(_score(context.broadcast(tree), context.broadcast(first), scale), f"doc_id {kind}, h long, n_words long, head_known long, head_base double, score double, tail array<long>")
+    known = met.select("chunk", "key").join(chances, "key").select("chunk", "key", "p")
+    scored = dealt.select("chunk", "doc_id", "h", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(depth, context.broadcast(first), scale), f"doc_id {kind}, h long, n_words long, head_known long, head_base double, score double, tail array<long>")
     scored = staged(scored, "scored")
 
     tail = scored.select("doc_id", "h", F.explode("tail").alias("key")).groupBy("key", "doc_id", "h").agg(F.count(F.lit(1)).alias("tf"))

@@ -248,6 +248,51 @@ def test_suffix_lm(docs, empty):
     assert suffix_lm.scores(empty).count() == 0
 
 
+def suffix_score(learnt, text, divergence):
+    """log10 score of a text by a suffix tree of the learnt texts, context by context."""
+
+    def grams(t):
+        b = b" ".join((t or "").lower().encode().split()) + b"\n"
+        return [(bytes(5) + b"\n" + b)[i + 1 : i + 7] for i in range(len(b))]
+
+    count = Counter(g[-k:] for t in learnt for g in grams(t) for k in range(1, 7))
+    total = Counter()
+    for g, n in count.items():
+        total[g[:-1]] += n
+    gain = Counter()
+    for g, n in count.items():
+        if len(g) > 1:
+            gain[g[:-1]] += n * math.log(n / total[g[:-1]] / (count[g[1:]] / total[g[1:-1]]))
+    out = 0.0
+    for g in grams(text):
+        p = (count[g[-1:]] + 1) / (total[b""] + 256)
+        for k in range(2, 7):
+            c = g[-k:-1]
+            if total[c] >= 2 and gain[c] >= divergence:
+                p = (count[g[-k:]] + 4 * p) / (total[c] + 4)
+        out += math.log10(p)
+    return out
+
+
+def test_suffix_lm_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(suffix_lm, "DEALT", 700)
+    some = {i: t for i, t in texts().items() if (t or "").split() and i != 10} | {i: f"The cat {i * 37 % 11} sat on mat w{i}x " * (i % 4 + 1) for i in range(20, 60)}
+    got = suffix_lm.scores(spark.createDataFrame(list(some.items()), "doc_id long, text string"), divergence=3.0).collect()
+    held = {r.doc_id for r in got if r.held_out}
+    assert 0 < len(held) < len(some) == len(got)
+    learnt = [t for i, t in some.items() if i not in held]
+    for r in got:
+        assert abs(r.score - suffix_score(learnt, some[r.doc_id], 3.0)) < 1e-6 * abs(r.score), r.doc_id
+
+
+def test_suffix_tree_keeps_its_contexts_as_the_corpus_grows(spark):
+    gram = np.array([int.from_bytes(b"qab1", "big")], np.uint64)
+    few = spark.createDataFrame([("zab3 " * 40 + "qab1 " * 10,)], "text string")
+    more = spark.range(2000, numPartitions=4).select(F.repeat(F.lit("zab3 some other words "), 200).alias("text"))
+    assert suffix_lm.fit(few).logs(gram)[0] > math.log10(0.7)
+    assert suffix_lm.fit(few.union(more)).logs(gram)[0] > math.log10(0.7)
+
+
 def test_suffix_tree_sums_to_one(docs):
     tree = suffix_lm.fit(docs.where("text is not null").select("text"), least_share=1e-4, divergence=1.0)
     context = np.uint64(int.from_bytes(b"w1x ", "big") << 8)
