@@ -154,7 +154,7 @@ def _count_grams(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa
                         held += len(key)
                     if not s.length.all():
                         keys.append(np.array([BLANK], np.uint64))
-                        counts.append(np.zeros(1, np.int64))
+                        counts.append(np.array([(train[a + lo : a + hi] & (s.length == 0)).sum()]))
                     if held > 1_500_000:
                         key, count = _summed(keys, counts)
                         keys, counts, held = [key], [count], len(key)

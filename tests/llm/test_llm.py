@@ -285,6 +285,16 @@ def test_suffix_lm_equals_brute_force(spark, monkeypatch):
         assert abs(r.score - suffix_score(learnt, some[r.doc_id], 3.0)) < 1e-6 * abs(r.score), r.doc_id
 
 
+def test_suffix_lm_learns_texts_without_words(spark):
+    some = {i: [None, "", " \n "][i % 3] if i % 2 else f"cat {i}" for i in range(60)}
+    got = suffix_lm.scores(spark.createDataFrame(list(some.items()), "doc_id long, text string"), divergence=3.0).collect()
+    learnt = [some[r.doc_id] for r in got if not r.held_out]
+    assert len(got) == 60 and any(r.held_out and r.doc_id % 2 for r in got)
+    for r in got:
+        assert abs(r.score - suffix_score(learnt, some[r.doc_id], 3.0)) < 1e-6 * abs(r.score), r.doc_id
+    assert all(r.score > math.log10(0.4) for r in got if r.doc_id % 2)
+
+
 def test_suffix_tree_keeps_its_contexts_as_the_corpus_grows(spark):
     gram = np.array([int.from_bytes(b"qab1", "big")], np.uint64)
     few = spark.createDataFrame([("zab3 " * 40 + "qab1 " * 10,)], "text string")
