@@ -1,22 +1,23 @@
-"""Language-model scores from a probabilistic suffix tree over bytes.
-
-A text is its words, lower-cased in A-Z, joined by a space and closed by an end symbol; every such sequence of words is
-one sequence of bytes, so byte probabilities multiply to the probability of the tokens. Contexts are the last 1 to
-``depth`` bytes within the text (with its start). Grams of depth + 1 bytes are counted over all training texts in
-Spark, shorter contexts by summing. A context is kept if it occurs LEAST times and its next-byte distribution diverges
-from that of its suffix by at least ``divergence`` nats, all occurrences together; both are counts, so rows that are
-added prune nothing and the tree grows with the corpus. A context's distribution is smoothed towards its longest kept
-suffix's; the root is smoothed to uniform. A byte is predicted by its longest kept context.
-
-The tree is a table for each depth, written and never gathered. Texts are dealt into chunks of some DEALT bytes; the
-distinct grams of a chunk meet the tables in joins, longest context first, and go back to their chunk.
-
-The base score needs each word's count. Words that are at most HEAD in number and the most frequent are broadcast; the
-others meet their counts in a join, so vocabularies of any size work.
-
-Defined results: null text is empty and scores its end symbol only; rows equal in (doc_id, text) each get the same row;
-rows without doc_id train (crc32 of nothing is not the held-out rest) and are scored; with no training row counts are 0.
-Extra columns are ignored. Empty tables give empty results. Words are identified by 64-bit hashes.
+"""Language-model scores from a probabilistic suffix tree over words.
+
+The symbols are the tokens: words, lower-cased in A-Z, and one end a text. A context is the last 1 to ``depth`` tokens
+within the text, its start included. The tree's nodes are the contexts whose next words repeat in the training texts;
+a node is retained if its next words coincide more often than those of its suffix do, by SIGNIFICANCE deviations (a
+test of the divergence of order 2 that needs only counts). A next word that a node saw twice or more keeps its count
+less DISCOUNT; what is discounted, and all that came once, weighs the suffix's distribution. The root is the words'
+frequencies, with the share of words seen once kept for words never seen. A token is scored by its longest retained
+context. All bounds are counts of occurrences, so rows that are added prune nothing and the tree grows with the corpus.
+
+Texts are dealt into chunks of some DEALT bytes, each one row of a bucketed table that every pass reads where it lies.
+A chunk's distinct grams go, with their counts in its training texts, to groups by context; there counts are summed, and
+each chunk gets back the numbers of its own grams, in its own order. The contexts of the next level are asked for only
+where they occur twice. Contexts that are more frequent than a share of 1 / HOT of the text are split among SPLIT groups.
+No group, task or driver holds more than its share: the driver sees sums, and at most some 4,000 hot contexts a level.
+
+Defined results: null text is empty and scores its end only; every row is scored by itself, whatever its doc_id, so
+repeated rows get equal rows; rows without doc_id train (crc32 of nothing is not the held-out rest) and are scored; with
+no training row counts are 0. Extra columns are ignored. Empty tables give empty results. Words are identified by 64-bit
+hashes, next words within a context by 40 bits of theirs.
 """
 
 from __future__ import annotations
@@ -26,310 +27,363 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
-from .common import staged
-
-DEPTH = 5
-#: Occurrences of a context at least.
-LEAST = 2
-DIVERGENCE = 12.0
-#: Counts that the suffix's distribution weighs in a context's.
-STRENGTH = 4.0
-#: Most words whose counts are broadcast.
-HEAD = 200_000
-END = 0x0A
-#: Bytes of text whose distinct grams are looked up together.
-DEALT = 16 << 20
-#: The only gram of a text without words: its end symbol after its start.
-BLANK = END << 8 | END
+from .common import bucketed, discard, staged
+
+DEPTH = 2
+DISCOUNT = 0.75
+SIGNIFICANCE = 4.0
+#: Bytes of text in a chunk, and bytes of text whose grams make up a group.
+DEALT, GROUPED = 12 << 20, 4 << 20
+HOT, SPLIT = 1000, 64
+START, STOP = np.uint64(0x1D8AF4C36B92E575), np.uint64(0x62B7D1F08C3E49AB)
+_FORWARD, _BACK = "chunk long, bucket int, blob binary", "chunk long, level int, bucket int, blob binary"
+#: Rows of a group's answer that are for the driver.
+_SUMS, _NEXT_HOT, _HOT_STATS = -1, -2, -3
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_CACHE_BITS = 20
-
-
-class Stream:
-    """The normalised bytes of a chunk of texts."""
-
-    def __init__(self, data: np.ndarray, off: np.ndarray):
-        self.data = _LOWER[data]
-        self.starts, self.ends, self.first = tn.words(self.data, off)
-        size = self.ends - self.starts
-        stop = np.cumsum(size + 1) - 1
-        out = np.full(int(size.sum() + len(size)), 0x20, np.uint8)
-        inside = np.ones(len(out), bool)
-        inside[stop] = False
-        flat = np.arange(len(out) - len(size)) if len(size) else np.zeros(0, np.int64)
-        before = np.repeat(np.cumsum(size) - size, size)
-        out[inside] = self.data[np.repeat(self.starts, size) + flat - before] if len(size) else 0
-        self.rows = len(off) - 1
-        count = np.diff(self.first)
-        last = self.first[1:][count > 0] - 1
-        out[stop[last]] = END
-        self.bytes = out
-        #: bytes of each row's sequence; rows without words have none here
-        self.length = np.zeros(self.rows, np.int64)
-        self.length[count > 0] = np.diff(np.concatenate([[0], stop[last] + 1]))
-        self.words = count
-
-    def grams(self, depth: int) -> np.ndarray:
-        """The depth bytes before each byte and itself, packed; END marks the start and zeros stand before it."""
-        n = len(self.bytes)
-        begin = np.cumsum(self.length) - self.length
-        place = np.arange(n) - np.repeat(begin, self.length)
-        out = self.bytes.astype(np.uint64)
-        for d in range(1, depth + 1):
-            prior = np.zeros(n, np.uint64)
-            prior[d:] = self.bytes[:-d] if d < n else 0
-            prior[place < d] = 0
-            prior[place == d - 1] = END
-            out |= prior << np.uint64(8 * d)
-        return out
-
-
-def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    key, back = np.unique(np.concatenate(keys), return_inverse=True)
-    return key, np.bincount(back, np.concatenate(counts)).astype(np.int64)
-
-
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of word hashes, added up over several chunks before they leave."""
-    keys, counts, held = [], [], 0
-    for batch in batches:
-        for _, _, data, off in tn.chunks(batch.column(0), tn.CHUNK_BYTES // 2):
-            s = Stream(data, off)
-            key, count = np.unique(tn.word_hashes(s.data, s.starts, s.ends), return_counts=True)
-            keys.append(key)
-            counts.append(count)
-            held += len(key)
-            if held > 1_500_000:
-                key, count = _summed(keys, counts)
-                keys, counts, held = [key], [count], len(key)
-                if held > 1_000_000:
-                    yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": count})
-                    keys, counts, held = [], [], 0
-    if keys:
-        key, count = _summed(keys, counts)
-        yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": count})
 
 
-def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose last column is the text, with the chunk that each belongs to."""
-    first, size = TaskContext.get().partitionId() << 32, 0
-    for batch in batches:
-        off = tn.buffers(batch.column(batch.num_columns - 1))[1]
-        chunk = first + (size + off[:-1] - off[0]) // DEALT
-        size += int(off[-1] - off[0])
-        yield pa.RecordBatch.from_arrays([pa.array(chunk), *batch.columns], ["chunk", *batch.schema.names])
-
-
-def _count_grams(depth: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(chunk, train, text) -> the grams of each chunk, with their counts in its training texts."""
-
-    def made(chunk: int, keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
-        key, count = _summed(keys, counts)
-        return pa.RecordBatch.from_pydict({"chunk": np.full(len(key), chunk), "key": key.view(np.int64), "n": count})
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, keys, counts, held = -1, [], [], 0
-        for batch in batches:
-            chunk, train = batch.column(0).to_numpy(), batch.column(1).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1), len(chunk)]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                if a == b:
-                    continue
-                if chunk[a] != now and keys:
-                    yield made(now, keys, counts)
-                    keys, counts, held = [], [], 0
-                now = chunk[a]
-                for lo, hi, data, off in tn.chunks(batch.column(2).slice(a, b - a), tn.CHUNK_BYTES // 2):
-                    s = Stream(data, off)
-                    values, learnt = s.grams(depth), np.repeat(train[a + lo : a + hi], s.length)
-                    for part, each in ((values[learnt], 1), (values[~learnt], 0)):
-                        key, count = np.unique(part, return_counts=True)
-                        keys.append(key)
-                        counts.append(count * each)
-                        held += len(key)
-                    if not s.length.all():
-                        keys.append(np.array([BLANK], np.uint64))
-                        counts.append(np.array([(train[a + lo : a + hi] & (s.length == 0)).sum()]))
-                    if held > 1_500_000:
-                        key, count = _summed(keys, counts)
-                        keys, counts, held = [key], [count], len(key)
-                        if held > 1_000_000:
-                            yield made(now, keys, counts)
-                            keys, counts, held = [], [], 0
-        if keys:
-            yield made(now, keys, counts)
+def pack(*arrays: np.ndarray) -> bytes:
+    raw = b"".join([np.array([len(arrays), *(a.nbytes for a in arrays)], np.int64).tobytes(), *(np.ascontiguousarray(a).tobytes() for a in arrays)])
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
 
-    return run
+
+def unpack(blob: bytes, kinds: str) -> list[np.ndarray]:
+    raw = pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), "zstd", asbytes=True)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    at, out = 8 * (n + 1), []
+    for size, kind in zip(np.frombuffer(raw, np.int64, n, 8).tolist(), kinds.split(), strict=True):
+        out.append(np.frombuffer(raw[at : at + size], kind))
+        at += size
+    return out
 
 
-def _mask(depth: int) -> int:
-    return (1 << 8 * (depth + 1)) - 1 if depth < 7 else -1
-
-
-class Tree:
-    """Tables by depth, from 0: key (a context and its next byte, as learnt), ctx, n, total, the smoothed probability p
-    and what is left to the suffix for bytes that the context never had (1 if it is not kept)."""
-
-    def __init__(self, levels: list[DataFrame]):
-        self.levels = levels
-        self.depth = len(levels) - 1
-
-    def probabilities(self, grams: DataFrame) -> DataFrame:
-        """(key, p) of distinct full-depth grams, longest context first; what has met its edge goes no further."""
-        left, found = grams.select("key", F.col("key").alias("at"), F.lit(1.0).alias("w")), []
-        for d in range(self.depth, -1, -1):
-            level = self.levels[d]
-            met = staged(left.join(level.select(F.col("key").alias("at"), "p"), "at", "left"), "met")
-            found.append(met.where("p is not null").select("key", (F.col("w") * F.col("p")).alias("p")))
-            kept = level.where("rest < 1").select(F.col("ctx"), "rest").distinct()
-            missed = met.where("p is null").withColumn("ctx", F.shiftrightunsigned("at", 8)).join(kept, "ctx", "left")
-            left = missed.select("key", F.col("at").bitwiseAND(_mask(d - 1)).alias("at"), (F.col("w") * F.coalesce("rest", F.lit(1.0))).alias("w"))
-        out = found[0]
-        for f in found[1:]:
-            out = out.unionByName(f)
-        return out
-
-    def logs(self, grams: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of each of a few grams after the bytes before it."""
-        spark = self.levels[0].sparkSession
-        keys = spark.createDataFrame([(int(k),) for k in np.unique(grams).view(np.int64)], "key long")
-        p = {r["key"]: r["p"] for r in self.probabilities(keys).collect()}
-        return np.log10([p[int(k)] for k in grams.view(np.int64)])
-
-
-def _tree(grams: DataFrame, depth: int, least_share: float, divergence: float) -> Tree:
-    """The tree's tables from (key, n) of full-depth grams. The driver sees the counts of single bytes only."""
-    spark = grams.sparkSession
-    root = np.zeros(256, np.int64)
-    for r in grams.groupBy(F.col("key").bitwiseAND(255).alias("b")).agg(F.sum("n").alias("n")).collect():
-        root[r["b"]] = r["n"]
-    total = int(root.sum())
-    rows = [(b, 0, int(n), total, (int(n) + 1) / (total + 256), 1.0) for b, n in enumerate(root)]
-    levels = [spark.createDataFrame(rows, "key long, ctx long, n long, total long, p double, rest double")]
-    least, context = max(LEAST, least_share * total), Window.partitionBy("ctx")
-    for d in range(1, depth + 1):
-        cut = grams if d == depth else grams.groupBy(F.col("key").bitwiseAND(_mask(d)).alias("key")).agg(F.sum("n").alias("n"))
-        # the suffix context one byte shorter has at least as many occurrences
-        shorter = levels[-1].select(F.col("key").alias("short"), (F.col("n") / F.col("total")).alias("q"), F.col("p").alias("below"))
-        met = cut.withColumn("short", F.col("key").bitwiseAND(_mask(d - 1))).join(shorter, "short").withColumn("ctx", F.shiftrightunsigned("key", 8))
-        summed = met.withColumn("total", F.sum("n").over(context)).withColumn("gain", F.sum(F.col("n") * F.ln(F.col("n") / F.col("q"))).over(context) - F.col("total") * F.ln("total"))
-        kept = (F.col("total") >= least) & (F.col("gain") >= divergence)
-        p = F.when(kept, (F.col("n") + STRENGTH * F.col("below")) / (F.col("total") + STRENGTH)).otherwise(F.col("below"))
-        levels.append(staged(summed.select("key", "ctx", "n", "total", p.alias("p"), F.when(kept, STRENGTH / (F.col("total") + STRENGTH)).otherwise(1.0).alias("rest")), "contexts"))
-    return Tree(levels)
-
-
-def fit(texts: DataFrame, depth: int = DEPTH, least_share: float = 0.0, divergence: float = DIVERGENCE) -> Tree:
-    """Learn a tree from a one-column table of texts; a least_share prunes contexts below that share of its bytes."""
-    rows = texts.select(F.lit(0).cast("long").alias("chunk"), F.lit(True).alias("train"), texts[0])
-    grams = staged(rows.mapInArrow(_count_grams(depth), "chunk long, key long, n long").groupBy("key").agg(F.sum("n").alias("n")).where("n > 0"), "grams")
-    return _tree(grams, depth, least_share, divergence)
-
-
-def _score(depth: int, head: object, scale: float) -> Callable[[pa.Table, pa.Table], pa.Table]:
-    """A chunk's (chunk, doc_id, h, text) and its (chunk, key, p) -> numbers of each row, and the hashes of the words outside the head."""
-
-    def run(texts: pa.Table, known_grams: pa.Table) -> pa.Table:
-        words, counts = head.value
-        keys = known_grams.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(keys)
-        keys, found = keys[order], np.log10(known_grams.column("p").to_numpy())[order]
-
-        def slot_of(g: np.ndarray) -> np.ndarray:
-            return ((g * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _CACHE_BITS)).astype(np.int64)
-
-        # of grams in one slot the last to come stays
-        at = np.zeros(1 << _CACHE_BITS, np.int64)
-        at[slot_of(keys)] = np.arange(len(keys))
-        slots, values = keys[at], found[at]
-        place = int(np.searchsorted(keys, np.uint64(BLANK)))
-        blank = found[place] if place < len(keys) and keys[place] == np.uint64(BLANK) else 0.0
+def _deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(train, doc_id, text) -> chunks: one row with the ids, sizes and compressed texts of some DEALT bytes."""
+    number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+    def flush() -> pa.RecordBatch:
+        train, ids = (pa.concat_arrays([h[i] for h in held]) for i in (0, 1))
+        one = lambda a: pa.ListArray.from_arrays(pa.array([0, len(a)], pa.int32()), a)
+        sizes, text = np.concatenate([h[2] for h in held]), b"".join(h[3] for h in held)
+        columns = [pa.array([number]), one(train), one(ids), one(pa.array(sizes)), pa.array([pack(np.frombuffer(text, np.uint8))], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["chunk", "train", "ids", "sizes", "text"])
+
+    for batch in batches:
+        for lo, hi, data, off in tn.chunks(batch.column(2), DEALT):
+            if held and size + len(data) > DEALT:
+                yield flush()
+                number, held, size = number + 1, [], 0
+            held.append((batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), np.diff(off), data.tobytes()))
+            size += len(data)
+    if held:
+        yield flush()
+
+
+class Chunk:
+    """The token sequences of a chunk: every text opens with START and ends with STOP."""
+
+    def __init__(self, row: pa.Table):
+        self.number = row.column("chunk")[0].as_py()
+        self.ids = row.column("ids").combine_chunks().flatten()
+        train = row.column("train").combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        sizes = row.column("sizes").combine_chunks().flatten().to_numpy()
+        (data,) = unpack(row.column("text")[0].as_py(), "u1")
+        off = np.concatenate([[0], np.cumsum(sizes)])
+        parts, self.words, lo = [], [], 0
+        while lo < len(sizes):
+            hi = max(lo + 1, int(np.searchsorted(off, off[lo] + (1 << 20), "right")) - 1)
+            lower = _LOWER[data[off[lo] : off[hi]]]
+            starts, ends, first = tn.words(lower, off[lo : hi + 1] - off[lo])
+            parts.append(tn.word_hashes(lower, starts, ends) if len(starts) else np.zeros(0, np.uint64))
+            self.words.append(np.diff(first))
+            lo = hi
+        self.words = np.concatenate(self.words)
+        self.row = np.repeat(np.arange(len(sizes)), self.words + 2)
+        begin = np.cumsum(self.words + 2) - self.words - 2
+        self.place = np.arange(len(self.row)) - begin[self.row]
+        self.token = np.empty(len(self.row), np.uint64)
+        inside = (self.place > 0) & (self.place <= self.words[self.row])
+        self.token[inside] = np.concatenate(parts)
+        self.token[begin] = START
+        self.token[begin + self.words + 1] = STOP
+        self.train = train[self.row]
+        self.keys = [self.token]
+
+    def key(self, level: int) -> np.ndarray:
+        """By position, the gram of level + 1 tokens that ends there (rubbish where the text is shorter)."""
+        while len(self.keys) <= level:
+            before, k = self.keys[-1], np.zeros(len(self.token), np.uint64)
+            k[1:] = gram_key(before[:-1], self.token[1:] >> np.uint64(24))
+            self.keys.append(k)
+        return self.keys[level]
+
+
+def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return tn.mix(context * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def _bucket(context: np.ndarray, word: np.ndarray | None, hot: np.ndarray, buckets: int) -> np.ndarray:
+    seed = context ^ np.uint64(0x5851F42D4C957F2D)
+    if word is not None and len(hot):
+        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
+        seed = np.where(hot[at] == context, seed + (word % np.uint64(SPLIT) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93), seed)
+    return (tn.mix(seed) % np.uint64(buckets)).astype(np.int64)
+
+
+class Asked:
+    """What a chunk asks of a level: its contexts, with next words, in the order of their groups.
+
+    Level 0 asks for the words themselves as contexts. ``seen`` marks the positions whose context is asked for, and
+    ``whole`` those whose next word is, too; by position, ``context`` and ``gram`` index the answers (-1 for none).
+    """
+
+    def __init__(self, chunk: Chunk, level: int, hot: np.ndarray, buckets: int, seen: np.ndarray | None = None, whole: np.ndarray | None = None):
+        n = len(chunk.token)
+        fits = chunk.place >= level
+        seen = fits if seen is None else fits & seen
+        whole = seen if whole is None else seen & whole
+        self.context, self.gram = np.full(n, -1), np.full(n, -1)
+        if level == 0:
+            key, inverse = np.unique(chunk.token, return_inverse=True)
+            bucket = _bucket(key, None, hot, buckets)
+            order = np.lexsort((key, bucket))
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            self.context = place[inverse]
+            self.keys, self.bucket = key[order], bucket[order]
+            self.counts = np.bincount(self.context, chunk.train, len(key)).astype(np.int64)
+            self.grams, self.word, self.gram_counts = np.zeros(len(key), np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+            return
+        at = np.flatnonzero(seen)
+        context, word = chunk.key(level - 1)[at - 1], chunk.token[at] >> np.uint64(24)
+        bucket = _bucket(context, word, hot, buckets)
+        order = np.lexsort((word, context, bucket))
+        at, context, word, bucket = at[order], context[order], word[order], bucket[order]
+        new = np.ones(len(at), bool)
+        new[1:] = (context[1:] != context[:-1]) | (bucket[1:] != bucket[:-1])
+        fresh = new.copy()
+        fresh[1:] |= word[1:] != word[:-1]
+        self.context[at] = np.cumsum(new) - 1
+        self.keys, self.bucket = context[new], bucket[new]
+        self.counts = np.zeros(len(self.keys), np.int64)
+        # a gram is asked for if it is at any of its positions
+        wanted = np.zeros(int(fresh.sum()), bool)
+        number = np.cumsum(fresh) - 1
+        wanted[number[whole[at]]] = True
+        renumbered = np.where(wanted, np.cumsum(wanted) - 1, -1)
+        self.gram[at] = renumbered[number]
+        first = np.flatnonzero(fresh)[wanted]
+        self.word = word[first]
+        self.grams = np.bincount(self.context[at[first]], minlength=len(self.keys))
+        some = self.gram[at] >= 0
+        self.gram_counts = np.bincount(self.gram[at][some], chunk.train[at][some], len(self.word)).astype(np.int64)
+
+    def slices(self) -> Iterator[tuple[int, slice, slice]]:
+        """(bucket, its contexts, its grams)."""
+        ends = np.concatenate([[0], np.cumsum(self.grams)])
+        edges = np.concatenate([np.flatnonzero(np.diff(self.bucket, prepend=-1)), [len(self.bucket)]])
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            yield int(self.bucket[a]), slice(a, b), slice(int(ends[a]), int(ends[b]))
+
+    def blobs(self, chunk: int) -> pa.Table:
+        buckets, blobs = [], []
+        for bucket, c, g in self.slices():
+            planes = [(self.word[g] >> np.uint64(8 * j)).astype(np.uint8) for j in range(5)]
+            buckets.append(bucket)
+            blobs.append(pack(np.diff(self.keys[c], prepend=np.uint64(0)), self.counts[c].astype(np.uint32), self.grams[c].astype(np.uint32), *planes, self.gram_counts[g].astype(np.uint32)))
+        return pa.table({"chunk": pa.array([chunk] * len(buckets), pa.int64()), "bucket": pa.array(buckets, pa.int32()), "blob": pa.array(blobs, pa.binary())})
+
+
+class Answer:
+    """The numbers of an Asked: by context its count (level 0), next words that repeat, their occurrences and coincidences; by gram its count."""
+
+    def __init__(self, asked: Asked, level: int, rows: dict[tuple[int, int], bytes], hot: dict[str, np.ndarray] | None):
+        n, m = len(asked.keys), len(asked.word)
+        self.counts, self.repeated, self.occurrences, self.pairs, self.gram = np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(m, np.int64)
+        for bucket, c, g in asked.slices():
+            self.counts[c], self.repeated[c], self.occurrences[c], self.pairs[c], self.gram[g] = unpack(rows[level, bucket], "u8 u4 u8 f8 u8")
+        if hot is not None and len(hot["key"]) and n:
+            at = np.minimum(np.searchsorted(hot["key"], asked.keys), len(hot["key"]) - 1)
+            hit = hot["key"][at] == asked.keys
+            for name in ("repeated", "occurrences", "pairs"):
+                getattr(self, name)[hit] = hot[name][at[hit]]
+
+
+def _rows(table: pa.Table) -> dict[tuple[int, int], bytes]:
+    return {(level, bucket): blob for level, bucket, blob in zip(*(table.column(c).to_pylist() for c in ("level", "bucket", "blob")), strict=True)}
+
+
+def _grouped(level: int, hot: np.ndarray, hot_from: float) -> Callable[[pa.Table], pa.Table]:
+    """All chunks' blobs of a bucket -> each chunk's answer."""
+
+    def run(table: pa.Table) -> pa.Table:
+        chunks, bucket = table.column("chunk").to_pylist(), table.column("bucket")[0].as_py()
+        keys, counts, grams, words, times = [], [], [], [], []
+        for blob in table.column("blob"):
+            key, count, size, *planes, n = unpack(blob.as_py(), "u8 u4 u4 u1 u1 u1 u1 u1 u4")
+            keys.append(np.cumsum(key, dtype=np.uint64))
+            counts.append(count.astype(np.int64))
+            grams.append(size.astype(np.int64))
+            words.append(sum((p.astype(np.uint64) << np.uint64(8 * j) for j, p in enumerate(planes)), np.zeros(len(n), np.uint64)))
+            times.append(n.astype(np.int64))
+        ends, gram_ends = np.cumsum([0, *map(len, keys)]), np.cumsum([0, *map(len, words)])
+        key, back = np.unique(np.concatenate(keys), return_inverse=True)
+        total = np.bincount(back, np.concatenate(counts), len(key)).astype(np.int64)
+        of = np.repeat(back, np.concatenate(grams))
+        word, n = np.concatenate(words), np.concatenate(times)
+        order = np.lexsort((word, of))
+        new = np.ones(len(order), bool)
+        new[1:] = (of[order][1:] != of[order][:-1]) | (word[order][1:] != word[order][:-1])
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        each = np.bincount(number, n, int(new.sum())).astype(np.int64)
+        first = order[new]
+        context, often = of[first], each > 1
+        pick = lambda x: np.bincount(context[often], x[often], len(key))
+        repeated, occurrences, pairs = pick(np.ones(len(each))), pick(each), pick(each * (each - 1) / 2)
         out = []
-        for batch in texts.to_batches():
-            for lo, hi, data, off in tn.chunks(batch.column("text"), tn.CHUNK_BYTES // 2):
-                s = Stream(data, off)
-                g = s.grams(depth)
-                slot = slot_of(g)
-                logs = values[slot]
-                miss = np.flatnonzero(slots[slot] != g)
-                if len(miss):
-                    place = np.searchsorted(keys, g[miss])
-                    if not (keys[np.minimum(place, len(keys) - 1)] == g[miss]).all():
-                        raise ValueError("a gram of the chunk has no probability")
-                    logs[miss] = found[place]
-                    slots[slot[miss]], values[slot[miss]] = g[miss], found[place]
-                rows = np.repeat(np.arange(s.rows), s.length)
-                score = np.bincount(rows, logs, s.rows) + np.where(s.length == 0, blank, 0.0)
-                h = tn.word_hashes(s.data, s.starts, s.ends) if len(s.starts) else np.zeros(0, np.uint64)
-                of = np.repeat(np.arange(s.rows), s.words)
-                at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
-                known = words[at] == h if len(words) else np.zeros(len(h), bool)
-                base = np.bincount(of[known], np.log10((counts[at[known]] + 1) / scale), s.rows) if len(words) else np.zeros(s.rows)
-                tail, tail_of = h[~known], of[~known]
-                lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(tail_of, np.arange(s.rows + 1)), pa.int32()), pa.array(tail.view(np.int64)))
-                out.append(pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("h").slice(lo, hi - lo), pa.array(s.words, pa.int64()), pa.array(np.bincount(of[known], minlength=s.rows), pa.int64()), pa.array(base, pa.float64()), pa.array(score), lists], ["doc_id", "h", "n_words", "head_known", "head_base", "score", "tail"]))
-        return pa.Table.from_batches(out)
+        for i, chunk in enumerate(chunks):
+            b, g = back[ends[i] : ends[i + 1]], number[gram_ends[i] : gram_ends[i + 1]]
+            out.append((chunk, pack(total[b].astype(np.uint64), repeated[b].astype(np.uint32), occurrences[b].astype(np.uint64), pairs[b], each[g].astype(np.uint64))))
+        if level == 0:
+            real = (key != START) & (total > 0)
+            out.append((_SUMS, pack(np.array([total[real].sum(), real.sum(), (total[real] == 1).sum(), (total[real] * (total[real] - 1.0)).sum()], np.float64))))
+            following = key[total >= hot_from]
+        else:
+            following = gram_key(key[context], word[first])[each >= hot_from]
+        if len(following):
+            out.append((_NEXT_HOT, pack(following)))
+        at = np.isin(key, hot)
+        if level and at.any():
+            out.append((_HOT_STATS, pack(key[at], repeated[at], occurrences[at], pairs[at])))
+        return pa.table({"chunk": pa.array([c for c, _ in out], pa.int64()), "level": pa.array([level] * len(out), pa.int32()), "bucket": pa.array([bucket] * len(out), pa.int32()), "blob": pa.array([b for _, b in out], pa.binary())})
 
     return run
 
 
+def _hot_stats(blobs: list[bytes]) -> dict[str, np.ndarray]:
+    """The parts of split contexts, added up."""
+    parts = [unpack(b, "u8 f8 f8 f8") for b in blobs]
+    if not parts:
+        return {"key": np.zeros(0, np.uint64)}
+    columns = [np.concatenate(x) for x in zip(*parts, strict=True)]
+    key, back = np.unique(columns[0], return_inverse=True)
+    return {"key": key} | {name: np.bincount(back, c, len(key)) for name, c in zip(("repeated", "occurrences", "pairs"), columns[1:], strict=True)}
+
+
+class Lookup:
+    """A chunk's answers, level by level, as arrays by position."""
+
+    def __init__(self, chunk: Chunk, hots: list[np.ndarray], stats: list[dict], buckets: int):
+        self.chunk, self.hots, self.stats, self.buckets = chunk, hots, stats, buckets
+        self.counts: list[np.ndarray] = []  # by level, of the gram that ends at a position
+        self.nodes: list[tuple[np.ndarray, ...]] = []  # (total, repeated, occurrences, pairs) of the context before it
+
+    def asked(self, level: int) -> Asked:
+        if level < 2:
+            return Asked(self.chunk, level, self.hots[level], self.buckets)
+        # a context is worth asking for if it occurs twice, a gram if its own suffix does, too
+        before = np.zeros(len(self.chunk.token), bool)
+        before[1:] = self.counts[level - 1][:-1] > 1
+        return Asked(self.chunk, level, self.hots[level], self.buckets, before, self.counts[level - 1] > 1)
+
+    def take(self, level: int, rows: dict[tuple[int, int], bytes]) -> None:
+        asked = self.asked(level)
+        got = Answer(asked, level, rows, self.stats[level])
+        if level == 0:
+            self.counts.append(got.counts[asked.context])
+            return
+        fill = lambda values, at: np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at))
+        total = np.zeros(len(self.chunk.token))
+        total[1:] = self.counts[level - 1][:-1]
+        self.counts.append(fill(got.gram, asked.gram).astype(np.int64))
+        self.nodes.append((np.where(self.chunk.place >= level, total, 0), *(fill(v, asked.context) for v in (got.repeated, got.occurrences, got.pairs))))
+
+
+def probabilities(look: Lookup, sums: np.ndarray) -> np.ndarray:
+    """By position, the tree's probability of the token; from the root to the longest retained context."""
+    n, _, once, coincide = sums
+    unseen, c = (once + 1) / (n + 2), look.counts[0]
+    p = np.where(c > 0, (1 - unseen) * c / max(n, 1), unseen)
+    rate = np.full(len(p), coincide / (n * (n - 1)) if n > 1 else 0.0)
+    for level, (total, repeated, occurrences, pairs) in enumerate(look.nodes, 1):
+        room = total * (total - 1) / 2
+        expected = room * rate
+        kept = (repeated > 0) & (pairs > expected + SIGNIFICANCE * np.sqrt(expected))
+        size, gram = np.maximum(total, 1), look.counts[level]
+        rest = (DISCOUNT * repeated + total - occurrences) / size
+        p = np.where(kept, np.where(gram > 1, (gram - DISCOUNT) / size, 0) + rest * p, p)
+        rate = np.where(room > 0, pairs / np.maximum(room, 1), 0)
+    return p
+
+
 def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
 
 
-def scores(docs: DataFrame, depth: int = DEPTH, least_share: float = 0.0, divergence: float = DIVERGENCE, head: int = HEAD) -> DataFrame:
+def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
-    spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select((~held_out()).alias("train"), "doc_id", F.coalesce("text", F.lit("")).alias("text")).select("train", "doc_id", F.xxhash64("text").alias("h"), "text")
-    dealt = staged(rows.mapInArrow(_deal, f"chunk long, train boolean, doc_id {kind}, h long, text string"), "dealt", "zstd")
-    training = dealt.where("train").select("text")
-    met = staged(dealt.select("chunk", "train", "text").mapInArrow(_count_grams(depth), "chunk long, key long, n long"), "met")
-    grams = staged(met.groupBy("key").agg(F.sum("n").alias("n")), "grams")
-    tree = _tree(grams.where("n > 0"), depth, least_share, divergence)
-    # every learnt gram has its edge in the deepest table
-    chances = tree.levels[depth].select("key", "p").unionByName(tree.probabilities(grams.where("n = 0").select("key")))
-
-    vocabulary = staged(training.mapInArrow(_count_words, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "vocabulary")
-    ends = training.count()
-    sums = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v")).first()
-    total, distinct = sums["n"] + ends, sums["v"] + (ends > 0)
-    scale = float(total + distinct + 1)
-    # the lowest count that at most `head` words reach; the histogram has one row a distinct count
-    at_least, seen = 1 << 62, 0
-    for r in vocabulary.groupBy("n").count().orderBy(F.desc("n")).toLocalIterator():
-        seen += r["count"]
-        if seen > head:
-            break
-        at_least = r["n"]
-    top = vocabulary.where(F.col("n") >= at_least).toArrow().to_pandas()
-    order = np.argsort(top["key"].to_numpy(np.int64).view(np.uint64))
-    first = (top["key"].to_numpy(np.int64).view(np.uint64)[order], top["n"].to_numpy(np.float64)[order])
-    context = spark.sparkContext
-    known = met.select("chunk", "key").join(chances, "key").select("chunk", "key", "p")
-    scored = dealt.select("chunk", "doc_id", "h", "text").groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_score(depth, context.broadcast(first), scale), f"doc_id {kind}, h long, n_words long, head_known long, head_base double, score double, tail array<long>")
-    scored = staged(scored, "scored")
-
-    tail = scored.select("doc_id", "h", F.explode("tail").alias("key")).groupBy("key", "doc_id", "h").agg(F.count(F.lit(1)).alias("tf"))
-    rest = vocabulary.where(F.col("n") < at_least)
-    met = tail.join(rest, "key", "left").groupBy("doc_id", "h").agg(F.sum(F.when(F.col("n").isNotNull(), F.col("tf")).otherwise(0)).alias("known"), F.sum(F.col("tf") * F.log10((F.coalesce("n", F.lit(0)) + 1) / F.lit(scale))).alias("base"))
-    slim = scored.select("doc_id", "h", "n_words", "head_known", "head_base", "score").groupBy("doc_id", "h", "n_words", "head_known", "head_base", "score").agg(F.count(F.lit(1)).alias("same"))
-    joined = slim.alias("s").join(met.alias("m"), F.expr("s.doc_id <=> m.doc_id and s.h = m.h"), "left").select("s.*", F.coalesce(F.col("m.known"), F.lit(0)).alias("known"), F.coalesce(F.col("m.base"), F.lit(0.0)).alias("base"))
-    end_base = float(np.log10((ends + 1) / scale))
-    out = joined.select(
-        "doc_id",
-        held_out().alias("held_out"),
-        (F.col("n_words") + 1).alias("n_tokens"),
-        # equal rows have put their words together
-        (F.col("head_known") + F.floor(F.col("known") / F.col("same")) + int(ends > 0)).cast("long").alias("n_known"),
-        F.lit(int(total)).cast("long").alias("train_tokens"),
-        (F.col("head_base") + F.col("base") / F.col("same") + end_base).alias("base_score"),
-        "score",
-        F.explode(F.array_repeat(F.lit(0), F.col("same").cast("int"))).alias("_"),
-    )
-    return out.drop("_")
+    rows = docs.select((~held_out()).alias("train"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    dealt = bucketed(rows.mapInArrow(_deal, f"chunk long, train array<boolean>, ids array<{kind}>, sizes array<long>, text binary"), "chunk", "dealt", "uncompressed")
+    size = dealt.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
+    buckets, hot_from = max(1, int(size) // GROUPED), max(2.0, size / (8 * HOT))
+    hots, stats, answers, sums = [np.zeros(0, np.uint64)], [{"key": np.zeros(0, np.uint64)}], [], np.zeros(4)
+
+    def with_answers(f: Callable[[Lookup], pa.Table], schema: str) -> DataFrame:
+        """f over every chunk, after the answers so far are taken."""
+        known_hots, known_stats, levels = list(hots), list(stats), len(answers)
+
+        def one(row: pa.Table, back: pa.Table | None = None) -> pa.Table:
+            look, got = Lookup(Chunk(row), known_hots, known_stats, buckets), _rows(back) if back is not None else {}
+            for level in range(levels):
+                look.take(level, got)
+            return f(look)
+
+        if not answers:
+            return dealt.groupBy("chunk").applyInArrow(lambda row: one(row), schema)
+        back = answers[0]
+        for a in answers[1:]:
+            back = back.unionByName(a)
+        return dealt.groupBy("chunk").cogroup(back.where("chunk >= 0").groupBy("chunk")).applyInArrow(lambda row, got: one(row, got), schema)
+
+    for level in range(depth + 1):
+        if level == 1:  # needs no answers: a word's grams are all asked for
+            forward, given = dealt.groupBy("chunk").applyInArrow(_first(1, list(hots), buckets), _FORWARD), hots[1]
+        else:
+            forward, given = with_answers(lambda look, level=level: look.asked(level).blobs(look.chunk.number), _FORWARD), hots[level]
+        answer = staged(forward.groupBy("bucket").applyInArrow(_grouped(level, given, hot_from), _BACK), "answers", "uncompressed")
+        answers.append(answer)
+        told = [(r["chunk"], bytes(r["blob"])) for r in answer.where("chunk < 0").collect()]
+        if level == 0:
+            sums = sum((unpack(b, "f8")[0] for c, b in told if c == _SUMS), np.zeros(4))
+        else:
+            stats.append(_hot_stats([b for c, b in told if c == _HOT_STATS]))
+        hots.append(np.unique(np.concatenate([*(unpack(b, "u8")[0] for c, b in told if c == _NEXT_HOT), np.zeros(0, np.uint64)])))
+
+    scale, train_tokens = sums[0] + sums[1] + 1, int(sums[0])
+
+    def scored(look: Lookup) -> pa.Table:
+        chunk, n = look.chunk, len(look.chunk.words)
+        told = chunk.place > 0
+        row, c = chunk.row[told], look.counts[0][told]
+        base, score = np.log10((c + 1) / scale), np.log10(probabilities(look, sums)[told])
+        columns = [chunk.ids, pa.array(chunk.words + 1), pa.array(np.bincount(row, c > 0, n).astype(np.int64)), pa.array(np.bincount(row, base, n)), pa.array(np.bincount(row, score, n))]
+        return pa.Table.from_arrays(columns, ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    out = staged(with_answers(scored, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double"), "scores")
+    discard(dealt, *answers)
+    return out.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def _first(level: int, hots: list[np.ndarray], buckets: int) -> Callable[[pa.Table], pa.Table]:
+    def run(row: pa.Table) -> pa.Table:
+        chunk = Chunk(row)
+        return Asked(chunk, level, hots[level], buckets).blobs(chunk.number)
+
+    return run
