@@ -2,16 +2,15 @@
 
 A fixed public vocabulary of subword pieces (plus every single byte) is given; per language only the piece
 probabilities are learned, by expectation maximisation over the words of a bounded sample of labelled texts. A word's
-probability is the sum over all its segmentations into pieces, computed by the forward algorithm; a text is scored by
-its words. Words are lower-cased and start with a space, as the pieces do.
+probability is the sum over all its segmentations into pieces, computed by the forward algorithm in logarithms over the
+whole word, however long; a text is scored by its words. Words are lower-cased and start with a space, as the pieces do.
 
-Training takes about ``max_docs`` documents a language, chosen by a hash of doc_id, of at most ``max_bytes`` bytes each;
-prediction reads every text whole. Runs of more than ``LONGEST`` bytes without white space are scored in stretches of
-that length.
+Training takes about ``max_docs`` documents a language, chosen by a hash of doc_id and text, of at most ``max_bytes``
+bytes each; prediction reads every text whole.
 
 Defined results: text that is null or has no letter is ``und`` with score 0; ties go to the language first in
-alphabetical order; rows without lang are never trained on; with no labelled row every text is ``und``. Extra columns
-are ignored. Empty tables give empty results.
+alphabetical order; rows without lang are never trained on; with no labelled row every text is ``und``; equal rows are
+sampled together. Extra columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -28,10 +27,13 @@ from pyspark.sql import functions as F
 from . import textnp as tn
 
 UNKNOWN = "und"
-LONGEST = 48
 ROUNDS = 3
 #: Expected count that every piece has before training.
 PRIOR = 0.01
+#: Mean log-probability of a byte below which accepted() takes a text for none of the learned languages.
+FLOOR = -10.0
+#: Words whose scores a task keeps, numbers in a table of the forward algorithm, bytes looked up at once, and bytes of words whose lattices are kept.
+KEPT, CELLS, SLAB, HELD = 200_000, 1 << 25, 1 << 18, 4 << 20
 _SPACE_MARK = "▁"
 
 
@@ -44,51 +46,124 @@ def vocabulary(path: str) -> list[bytes]:
     return list(dict.fromkeys([bytes([b]) for b in range(256)] + [p.replace(_SPACE_MARK, " ").lower().encode() for p in usable]))
 
 
+class Words:
+    """Words in one buffer, shortest first: number ``order[i]`` of those given is word i here."""
+
+    def __init__(self, words: list[bytes]):
+        size = np.array([len(w) for w in words], np.int64)
+        self.order = np.argsort(size, kind="stable")
+        self.size = size[self.order]
+        data = np.frombuffer(b"".join(words[i] for i in self.order.tolist()), np.uint8)
+        self.end = np.cumsum(self.size)
+        self.start = self.end - self.size
+        self.sums = tn.prefix(data.astype(np.uint64) + np.uint64(1))
+
+
 class Pieces:
-    """Piece lookup by 64-bit hash, vectorised."""
+    """Piece lookup by 64-bit hash, vectorised. Pieces with a space inside never fit into a word."""
 
     def __init__(self, pieces: list[bytes]):
+        self.longest = max((len(p) for p in pieces if b" " not in p[1:]), default=1)
         data = np.frombuffer(b"".join(pieces), np.uint8)
         ends = np.cumsum([len(p) for p in pieces])
         hashes = tn.ranges_hash(tn.prefix(data.astype(np.uint64) + np.uint64(1)), ends - [len(p) for p in pieces], ends)
         self.ids = np.argsort(hashes)
         self.hashes = hashes[self.ids]
-        self.longest = min(LONGEST, max(map(len, pieces)))
         self.some = np.zeros(1 << 20, bool)
         self.some[hashes >> np.uint64(44)] = True
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Piece ids, -1 where there is none."""
-        out = np.full(len(hashes), -1, np.int64)
+    def find(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(which hashes are pieces, their ids)."""
         at = np.flatnonzero(self.some[hashes >> np.uint64(44)])
         place = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
         hit = self.hashes[place] == hashes[at]
-        out[at[hit]] = self.ids[place[hit]]
-        return out
-
-    def lattice(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(end, length, words, pieces) of the edges of all words' lattices, by end and length."""
-        sums, out = tn.prefix(data.astype(np.uint64) + np.uint64(1)), []
-        size = ends - starts
-        order = np.argsort(-size, kind="stable")
-        for end in range(1, int(size.max(initial=0)) + 1):
-            live = order[: int(np.searchsorted(-size[order], -end, "right"))]
-            for length in range(1, min(end, self.longest) + 1):
-                stop = starts[live] + end
-                ids = self.find(tn.ranges_hash(sums, stop - length, stop))
-                hit = ids >= 0
-                if hit.any():
-                    out.append((end, length, live[hit], ids[hit]))
-        return out
-
-
-def forward(lattice: list, words: int, size: int, probs: np.ndarray) -> np.ndarray:
-    """alpha (size + 1, words, languages): the summed probability of all segmentations of each word's first bytes."""
-    alpha = np.zeros((size + 1, words, probs.shape[1]))
-    alpha[0] = 1
-    for end, length, live, ids in lattice:
-        alpha[end, live] += alpha[end - length, live] * probs[ids]
-    return alpha
+        return at[hit], self.ids[place[hit]]
+
+    def edges(self, words: Words, lo: int, hi: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(end, word, length, piece) of the lattice edges that end after byte lo up to byte hi of their word, by end and word."""
+        live = int(np.searchsorted(words.size, lo, "right"))
+        n = np.minimum(words.size[live:], hi) - lo
+        word = np.repeat(np.arange(live, len(words.size)), n)
+        end = lo + 1 + np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+        stop, found = words.start[word] + end, []
+        for length in range(1, min(self.longest, hi) + 1):
+            fits = np.flatnonzero(end >= length) if length > lo + 1 else np.arange(len(end))
+            at, ids = self.find(tn.ranges_hash(words.sums, stop[fits] - length, stop[fits]))
+            at = fits[at]
+            found.append((end[at], word[at], np.full(len(at), length), ids))
+        end, word, length, piece = (np.concatenate(x).astype(np.int32) for x in zip(*found, strict=True))
+        order = np.lexsort((word, end))
+        return end[order], word[order], length[order], piece[order]
+
+
+def _runs(step: np.ndarray, word: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(where runs of one step and word begin, with the end; the range of runs of each step from first to last)."""
+    new = np.ones(len(step), bool)
+    new[1:] = (step[1:] != step[:-1]) | (word[1:] != word[:-1])
+    at = np.flatnonzero(new)
+    return np.append(at, len(step)), np.searchsorted(step[at], np.arange(first, last + 2))
+
+
+def forward(table: Pieces, words: Words, logs: np.ndarray) -> np.ndarray:
+    """(words, languages): logarithm of the summed probability of all segmentations of each word, in the order given."""
+    ring, n = table.longest + 1, len(words.size)
+    alpha, out = np.full((ring, n, logs.shape[1]), -np.inf), np.zeros((n, logs.shape[1]))
+    alpha[0] = 0
+    longest = int(words.size[-1]) if n else 0
+    width = max(table.longest, SLAB // max(1, n))
+    for lo in range(0, longest, width):
+        hi = min(lo + width, longest)
+        end, word, length, piece = table.edges(words, lo, hi)
+        at, steps = _runs(end, word, lo + 1, hi)
+        for e in range(lo + 1, hi + 1):
+            a, b = steps[e - lo - 1], steps[e - lo]
+            now = alpha[e % ring]
+            now[:] = -np.inf
+            if a < b:
+                s = slice(at[a], at[b])
+                now[word[at[a:b]]] = np.logaddexp.reduceat(alpha[(e - length[s]) % ring, word[s]] + logs[piece[s]], at[a:b] - at[a], axis=0)
+            done = slice(*np.searchsorted(words.size, (e, e + 1)))
+            out[done] = now[done]
+    back = np.empty_like(out)
+    back[words.order] = out
+    return back
+
+
+def blocks(raw: list[bytes], cells: int) -> Iterator[list[int]]:
+    """Numbers of the words in blocks of like length whose lattice tables stay within some cells (a longer word is one block)."""
+    order, lo = sorted(range(len(raw)), key=lambda i: len(raw[i])), 0
+    while lo < len(order):
+        hi = lo + 1
+        while hi < len(order) and (hi + 1 - lo) * (len(raw[order[hi]]) + 1) <= cells:
+            hi += 1
+        yield order[lo:hi]
+        lo = hi
+
+
+def expected(end: np.ndarray, word: np.ndarray, length: np.ndarray, piece: np.ndarray, size: np.ndarray, logs: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Expected counts of the pieces over all segmentations of the words, by the forward-backward algorithm."""
+    longest, n = int(size.max()), len(size)
+    alpha, beta = np.full((longest + 1, n), -np.inf), np.full((longest + 1, n), -np.inf)
+    alpha[0] = 0
+    beta[size, np.arange(n)] = 0
+    gain = logs[piece]
+    at, steps = _runs(end, word, 1, longest)
+    for e in range(1, longest + 1):
+        a, b = steps[e - 1], steps[e]
+        if a < b:
+            s = slice(at[a], at[b])
+            alpha[e, word[at[a:b]]] = np.logaddexp.reduceat(alpha[e - length[s], word[s]] + gain[s], at[a:b] - at[a])
+    start = end - length
+    order = np.lexsort((word, start))
+    w, stop, g = word[order], end[order], gain[order]
+    at, steps = _runs(start[order], w, 0, longest)
+    for x in range(longest - 1, -1, -1):
+        a, b = steps[x], steps[x + 1]
+        if a < b:
+            s = slice(at[a], at[b])
+            beta[x, w[at[a:b]]] = np.logaddexp(beta[x, w[at[a:b]]], np.logaddexp.reduceat(g[s] + beta[stop[s], w[s]], at[a:b] - at[a]))
+    total = alpha[size, np.arange(n)]
+    return np.bincount(piece, weight[word] * np.exp(alpha[start, word] + gain + beta[end, word] - total[word]), len(logs))
 
 
 def train(words: pd.DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
@@ -97,74 +172,71 @@ def train(words: pd.DataFrame, pieces: list[bytes], rounds: int = ROUNDS) -> tup
     probs = np.full((len(pieces), len(langs)), 1.0 / len(pieces))
     for g, lang in enumerate(langs):
         part = words[words["lang"] == lang]
-        raw = [b" " + bytes(w)[: LONGEST - 1] for w in part["word"]]
-        p = np.full((len(pieces), 1), 1.0 / len(pieces))
+        raw, weight = [b" " + bytes(w) for w in part["word"]], part["n"].to_numpy(float)
+
+        def lattice(block: list[int], raw: list[bytes] = raw, weight: np.ndarray = weight) -> tuple:
+            own = Words([raw[i] for i in block])
+            return *table.edges(own, 0, int(own.size[-1])), own.size, weight[block][own.order]
+
+        dealt = list(blocks(raw, SLAB))
+        # a small sample's lattices are made once
+        kept = [lattice(block) for block in dealt] if sum(map(len, raw)) <= HELD else None
+        p = np.full(len(pieces), 1.0 / len(pieces))
         # single bytes start low, so that pieces win where they can
         p[:256] *= 0.05
-        for block in range(rounds):
+        for _ in range(rounds):
             counts = np.full(len(pieces), PRIOR)
-            for lo in range(0, len(raw), 20000):
-                mine = raw[lo : lo + 20000]
-                data, size = np.frombuffer(b"".join(mine), np.uint8), np.array([len(x) for x in mine])
-                ends = np.cumsum(size)
-                lattice = table.lattice(data, ends - size, ends)
-                alpha = forward(lattice, len(mine), int(size.max()), p)
-                beta = np.zeros(alpha.shape[:2])
-                beta[size, np.arange(len(mine))] = 1
-                total = alpha[size, np.arange(len(mine)), 0]
-                weight = part["n"].to_numpy()[lo : lo + 20000] / np.maximum(total, 1e-300)
-                for end, length, live, ids in reversed(lattice):
-                    flow = p[ids, 0] * beta[end, live]
-                    counts += np.bincount(ids, alpha[end - length, live, 0] * flow * weight[live], len(pieces))
-                    beta[end - length, live] += flow
-            p = (counts / counts.sum())[:, None]
-        probs[:, g] = p[:, 0]
+            for *edges, size, times in kept if kept is not None else map(lattice, dealt):
+                counts += expected(*edges, size, np.log(p), times)
+            p = counts / counts.sum()
+        probs[:, g] = p
     return langs, probs
 
 
-def _stretches(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(starts, ends, whether it opens a word, row) of words cut to LONGEST - 1 bytes."""
-    starts, ends, first = tn.words(data, off)
-    row = np.repeat(np.arange(len(off) - 1), np.diff(first))
-    parts = np.maximum(1, -(-(ends - starts) // (LONGEST - 1)))
-    at = np.repeat(starts, parts) + (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)) * (LONGEST - 1)
-    return at, np.minimum(at + LONGEST - 1, np.repeat(ends, parts)), at == np.repeat(starts, parts), np.repeat(row, parts)
+def score_words(table: Pieces, raw: list[bytes], logs: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw), logs.shape[1]))
+    for block in blocks(raw, min(SLAB, CELLS // ((table.longest + 1) * logs.shape[1]))):
+        out[block] = forward(table, Words([raw[i] for i in block]), logs)
+    return out
+
 
+def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, floor: float | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Predictions of the rows, or with a floor the rows themselves that are in a learned language."""
 
-def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, keep: bool = False) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, p, names = Pieces(pieces.value), probs.value, np.array([*langs, UNKNOWN])
+        table, logs, names = Pieces(pieces.value), np.log(probs.value), np.array([*langs, UNKNOWN])
         known, score = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
         for batch in batches:
-            ids = batch.column(0)
             letters = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in tn.chunks(pc.utf8_lower(batch.column(text))):
-                starts, ends, opens, row = _stretches(data, off)
-                hashes = tn.word_hashes(data, starts, ends) ^ np.where(opens, np.uint64(0), np.uint64(0x5DEECE66D)) if len(starts) else np.zeros(0, np.uint64)
+                starts, ends, first = tn.words(data, off)
+                row = np.repeat(np.arange(hi - lo), np.diff(first))
+                hashes = tn.word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
                 distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
-                fresh = np.flatnonzero(known[np.minimum(np.searchsorted(known, distinct), len(known) - 1)] != distinct) if len(known) else np.arange(len(distinct))
-                for part in np.array_split(fresh, max(1, len(fresh) // 20000)):
-                    if not len(part):
-                        continue
-                    take = at[part]
+                place = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
+                have = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
+                each = np.zeros((len(distinct), len(langs)))
+                each[have] = score[place[have]]
+                fresh = np.flatnonzero(~have)
+                if len(fresh) and langs:
                     raw = data.tobytes()
-                    mine = [(b" " if o else b"") + raw[a:b] for a, b, o in zip(starts[take].tolist(), ends[take].tolist(), opens[take].tolist(), strict=True)]
-                    size = np.array([len(x) for x in mine])
-                    stop = np.cumsum(size)
-                    lattice = table.lattice(np.frombuffer(b"".join(mine), np.uint8), stop - size, stop)
-                    alpha = forward(lattice, len(mine), int(size.max()), p)
-                    made = np.log(np.maximum(alpha[size, np.arange(len(mine))], 1e-300))
-                    place = np.searchsorted(known, distinct[part])
-                    known, score = np.insert(known, place, distinct[part]), np.insert(score, place, made, 0)
-                each = score[np.searchsorted(known, distinct)][back] if len(distinct) else np.zeros((0, len(langs)))
-                total = np.stack([np.bincount(row, each[:, g], hi - lo) for g in range(len(langs))], 1) if len(langs) else np.zeros((hi - lo, 0))
-                best = total.argmax(1) if len(langs) else np.zeros(hi - lo, int)
-                sure = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1) if len(langs) else np.zeros(hi - lo)
-                good = letters[lo:hi] & (len(langs) > 0)
-                if keep:
+                    each[fresh] = score_words(table, [b" " + raw[a:b] for a, b in zip(starts[at[fresh]].tolist(), ends[at[fresh]].tolist(), strict=True)], logs)
+                    if len(known) + len(fresh) > KEPT:
+                        known, score = known[:0], score[:0]
+                    # words of very many chunks would not fit, so that a task starts anew from time to time
+                    merged = np.concatenate([known, distinct[fresh][:KEPT]])
+                    order = np.argsort(merged)
+                    known, score = merged[order], np.concatenate([score, each[fresh][:KEPT]])[order]
+                total = np.stack([np.bincount(row, each[back, g], hi - lo) for g in range(len(langs))], 1) if langs else np.zeros((hi - lo, 0))
+                good = letters[lo:hi] & bool(langs)
+                if floor is not None:
+                    size = np.bincount(row, ends - starts + 1, hi - lo)
+                    good = good & (total.max(1) >= floor * size) if langs else good
                     yield batch.slice(lo, hi - lo).filter(pa.array(good))
                     continue
-                yield pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(names[np.where(good, best, len(langs))]), pa.array(np.where(good, sure, 0.0))], ["doc_id", "lang_pred", "score"])
+                best = total.argmax(1) if langs else np.zeros(hi - lo, int)
+                sure = 1 / np.exp(np.minimum(total - total.max(1, keepdims=True), 0)).sum(1) if langs else np.zeros(hi - lo)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(names[np.where(good, best, len(langs))]), pa.array(np.where(good, sure, 0.0))], ["doc_id", "lang_pred", "score"])
 
     return run
 
@@ -179,8 +251,10 @@ def fit(docs: DataFrame, pieces: list[bytes], max_docs: int = 1000, max_bytes: i
     share = {r["lang"]: min(1.0, max_docs / r["count"]) for r in labelled.groupBy("lang").count().collect()}
     if not share:
         return [], np.zeros((len(pieces), 0))
-    limit = F.create_map(*[F.lit(x) for k, v in share.items() for x in (k, int(v * 1_000_000))])
-    chosen = labelled.where(F.pmod(F.xxhash64("doc_id", F.lit("language sample")), F.lit(1_000_000)) < limit[F.col("lang")])
+    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
+    # a hash is even over [-1, 1), of whatever size the share is
+    place = F.xxhash64("doc_id", "text", F.lit("language sample")).cast("double") / float(1 << 63)
+    chosen = labelled.where(place < limit[F.col("lang")] * 2 - 1)
     words = chosen.select("lang", F.explode(F.split(F.lower("text"), "[ \\t-\\r]+")).alias("word")).where("word != ''")
     return train(words.groupBy("lang", F.encode("word", "UTF-8").alias("word")).agg(F.count(F.lit(1)).alias("n")).toArrow().to_pandas().sort_values(["lang", "word"]), pieces)
 
@@ -192,8 +266,8 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[b
     return docs.select("doc_id", "text").mapInArrow(_predict(langs, context.broadcast(probs), context.broadcast(pieces)), f"doc_id {kind}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[bytes]) -> DataFrame:
-    """The rows of docs, unchanged, whose language is not ``und``; they are filtered where they lie."""
+def accepted(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[bytes], floor: float = FLOOR) -> DataFrame:
+    """The rows of docs, unchanged, that have a letter and whose bytes are not less likely than ``floor`` in every learned language."""
     context = docs.sparkSession.sparkContext
-    run = _predict(langs, context.broadcast(probs), context.broadcast(pieces), docs.columns.index("text"), True)
+    run = _predict(langs, context.broadcast(probs), context.broadcast(pieces), docs.columns.index("text"), floor)
     return docs.mapInArrow(run, docs.schema)
