@@ -2,13 +2,18 @@
 
 Headers (page_id, digest, url) are shuffled by payload digest; of records with equal payloads of at least
 ``least_bytes`` bytes the one with the largest page_id is the response and the others become revisits that refer to it.
-Archives are written by Spark's own writer (one record is one "line" that ends in two CRLFs), so any file system and
-commit protocol that Spark has will do, and a lost task is simply written again. Decisions meet the payloads by
-page_id, so a payload is shuffled once and no group of equal payloads meets in one task.
+Decisions meet the payloads by page_id and digest, so a payload is shuffled once and no group of equal payloads meets in
+one task.
+
+Every record is a gzip member of its own, so that readers can seek to it. Files are written by Spark's own text writer,
+so any file system and commit protocol that Spark has will do, and a lost task is simply written again: a member's last
+byte is 0 (the top of its size), and so is the line separator. Members of 16 MiB or more, whose last byte may differ,
+are followed by an empty member. Files are rolled at about ``roll_bytes`` of payload.
 
 Defined results: null html is an empty payload; an empty payload is a payload like others; several rows with the
-winning page_id and payload are all responses; rows without page_id are responses; line breaks in a url are
-percent-encoded, a null url is empty. Extra columns are ignored. An empty table writes an archive without records.
+winning page_id and payload are all responses; of one page_id with several payloads each payload is decided by itself,
+and repeated rows are repeated records; rows without page_id are responses; line breaks in a url are percent-encoded, a
+null url is empty. Extra columns are ignored. An empty table writes an archive without records.
 """
 
 from __future__ import annotations
@@ -23,8 +28,8 @@ from pyspark.sql import functions as F
 from .common import staged
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Bytes of payload in one batch that a reading task hands on.
-BATCH_BYTES = 8 << 20
+#: Bytes of payload in one batch that a reading task hands on, and in one file.
+BATCH_BYTES, ROLL_BYTES = 8 << 20, 128 << 20
 _SCHEMA = "record_id string, record_type string, page_id long, url string, digest string, refers_to string, payload binary"
 
 
@@ -35,8 +40,8 @@ def base32_sha1(payload: Column) -> Column:
     return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
 
 
-def _record_id(page_id: Column) -> Column:
-    h = F.md5(F.concat(F.lit("page/"), F.coalesce(page_id.cast("string"), F.lit(""))))
+def _record_id(page_id: Column, digest: Column) -> Column:
+    h = F.md5(F.concat_ws("/", F.lit("page"), F.coalesce(page_id.cast("string"), F.lit("")), digest))
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *[F.substring(h, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))]), F.lit(">"))
 
 
@@ -50,39 +55,68 @@ def resolve(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     return joined.select("page_id", "digest", F.col("first.page_id").alias("refers_to"), F.col("first.url").alias("refers_url"))
 
 
-def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2026-01-01T00:00:00Z") -> None:
-    """Write (page_id, url, html) as gzipped WARC files with fresh headers."""
+def _member(data: bytes) -> bytes:
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return packer.compress(data) + packer.flush()
+
+
+_EMPTY = _member(b"")
+
+
+def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records -> gzip members without the 0 at their end."""
+    for batch in batches:
+        out, size = [], 0
+        for record in batch.column(0):
+            data = record.as_buffer().to_pybytes()
+            member = _member(data)
+            member = member[:-1] if member[-1] == 0 else member + _EMPTY[:-1]
+            out.append(member)
+            size += len(member)
+            if size > BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+                out, size = [], 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["value"])
+
+
+def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2026-01-01T00:00:00Z", roll_bytes: int = ROLL_BYTES) -> None:
+    """Write (page_id, url, html) as WARC files of gzip members with fresh headers."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), "\r", "%0D"), "\n", "%0A").alias("url"), F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
+    mean = pages.agg(F.avg(F.octet_length("payload"))).first()[0] or 0
     rows = pages.withColumn("digest", base32_sha1(F.col("payload")))
-    rows = rows.join(resolve(pages, least_bytes).distinct().withColumnRenamed("digest", "revisited"), "page_id", "left")
-    revisit = F.col("refers_to").isNotNull() & (F.col("revisited") == F.col("digest"))
+    rows = rows.join(resolve(pages, least_bytes).distinct(), ["page_id", "digest"], "left")
+    revisit = F.col("refers_to").isNotNull()
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("payload").cast("string"), F.lit("\r\n\r\n"))
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("payload"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("page_id"))),
+        line("WARC-Record-ID", _record_id(F.col("page_id"), F.col("digest"))),
         line("WARC-Date", F.lit(date)),
         line("WARC-Target-URI", F.col("url")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"))), line("WARC-Refers-To-Target-URI", F.col("refers_url")), line("WARC-Refers-To-Date", F.lit(date)), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Profile", F.lit(PROFILE)), line("WARC-Refers-To", _record_id(F.col("refers_to"), F.col("digest"))), line("WARC-Refers-To-Target-URI", F.col("refers_url")), line("WARC-Refers-To-Date", F.lit(date)), line("X-Refers-To-Page", F.col("refers_to").cast("string")))).otherwise(""),
         line("X-Page", F.coalesce(F.col("page_id").cast("string"), F.lit(""))),
         line("Content-Type", F.lit("application/http; msgtype=response")),
         line("Content-Length", (F.octet_length(http) + F.octet_length(body)).cast("string")),
         F.lit("\r\n"),
     )
-    record = F.concat(head.cast("binary"), http.cast("binary"), body).cast("string")
-    rows.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").text(path)
+    record = F.concat(head.cast("binary"), http.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
+    members = rows.select(record.alias("record")).mapInArrow(_members, "value binary")
+    members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, int(roll_bytes // max(1, mean)))).text(path)
 
 
-def _inflate(data: bytes) -> bytes:
-    out = []
-    while data:
+def _records(data: bytes) -> Iterator[bytes]:
+    """The contents of the gzip members, one at a time."""
+    rest = data
+    while rest:
         d = zlib.decompressobj(31)
-        out.append(d.decompress(data))
-        data = d.unused_data
-    return b"".join(out)
+        found = d.decompress(rest)
+        rest = d.unused_data
+        if found:
+            yield found
 
 
 def parse_records(data: bytes) -> Iterator[tuple[dict[bytes, bytes], bytes]]:
@@ -106,30 +140,32 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for data in batch.column(0):
             rows, size = [], 0
-            for heads, block in parse_records(_inflate(data.as_py())):
-                get = lambda k: (v.decode() if (v := heads.get(k)) is not None else None)  # noqa: B023, E731
-                payload = block.partition(b"\r\n\r\n")[2]
-                rows.append((get(b"warc-record-id"), get(b"warc-type"), int(heads[b"x-page"]) if heads.get(b"x-page") else None, get(b"warc-target-uri"), (get(b"warc-payload-digest") or "").removeprefix("sha1:"), get(b"warc-refers-to"), payload))
-                size += len(block)
-                if size > BATCH_BYTES:
-                    yield made(rows)
-                    rows, size = [], 0
+            for member in _records(data.as_py()):
+                for heads, block in parse_records(member):
+                    get = lambda k: (v.decode() if (v := heads.get(k)) is not None else None)  # noqa: B023, E731
+                    payload = block.partition(b"\r\n\r\n")[2]
+                    rows.append((get(b"warc-record-id"), get(b"warc-type"), int(heads[b"x-page"]) if heads.get(b"x-page") else None, get(b"warc-target-uri"), (get(b"warc-payload-digest") or "").removeprefix("sha1:"), get(b"warc-refers-to"), payload))
+                    size += len(block)
+                    if size > BATCH_BYTES:
+                        yield made(rows)
+                        rows, size = [], 0
             if rows:
                 yield made(rows)
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record; the payload of a revisit is empty until it is resolved by refers_to = record_id."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
     return files.select("content").mapInArrow(_read, _SCHEMA)
 
 
 def resolved(records: DataFrame) -> DataFrame:
     """Per record the size and digest of its full payload, taken for revisits from the response they refer to.
 
-    records: (record_id, record_type, page_id, refers_to, payload_bytes, payload_digest) of what is stored.
+    records: (record_id, record_type, page_id, refers_to, payload_bytes, payload_digest) of what is stored. A record id
+    names a page and a payload, so responses that share one are equal.
     """
     whole = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    by_id = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.first("page_id").alias("of"), F.first("payload_bytes").alias("payload_bytes"), F.first("payload_digest").alias("payload_digest"))
+    by_id = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("of"), "payload_bytes", "payload_digest").distinct()
     again = records.where("record_type = 'revisit'").select("page_id", F.col("refers_to").alias("refers_id"), "record_type").join(by_id, "refers_id", "left")
     return whole.unionByName(again.select("page_id", "payload_bytes", "payload_digest", "record_type", F.col("of").alias("refers_to")))
