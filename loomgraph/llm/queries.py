@@ -1,4 +1,4 @@
-"""The queries that apply each operator, with production parameters, to its whole table."""
+"""The queries that apply each operator, with production parameters, to its whole table, and their SQL where it can say it."""
 
 from __future__ import annotations
 
@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from . import chat_format, decontaminate, language_id, media, mixing, near_dedup, sharding, substring_dedup, suffix_lm, warc
 from .common import new_path, staged, table, text_bytes
 
+SHARDS = 40
+PROBE = "</s>[INST] ok [/INST]"
+
 
 def vocabulary_path() -> str:
+    """The public tokenizer vocabulary that language identification uses; its package is part of the environment."""
     import public_tokenizers
 
     return public_tokenizers.path("piece_bpe_32k.model")
@@ -26,13 +30,13 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = staged(media.encode(table(spark, sf_dir, "documents").select("doc_id", "text")), "media", "zstd")
-    return media.features(stored).drop("tensors", "segments")
+    return media.described(staged(media.features(stored), "features", "zstd"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sizes = docs.select("doc_id", (text_bytes("text") + 16).alias("size"), F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8")).alias("text_crc32"))
-    placed = sharding.shard_rows(sizes, 40)
+    placed = sharding.shard_rows(sizes, SHARDS)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
@@ -42,19 +46,26 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    probe = "</s>[INST] ok [/INST]"
-    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(probe).alias("text"))
-    turns = turns.unionByName(extra).select("conv_id", "turn", "role", chat_format.text_parts(F.col("text")).alias("parts"))
+    extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(PROBE).alias("text"))
+    turns = turns.unionByName(extra).select("conv_id", "turn", "role", chat_format.typed_parts(F.col("text")).alias("parts"))
     done = chat_format.format_chats(turns)
-    read = done.select("conv_id", "formatted", chat_format.read_back(F.col("formatted")).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss")).alias("learned"))
+    media = F.col("attachments")
+    read = done.select("conv_id", "formatted", "attachment_tokens", chat_format.read_back(F.col("formatted"), media).alias("turns"), chat_format.loss_text(F.col("formatted"), F.col("loss"), media).alias("learned"))
     told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(told.cast("binary"), 256).alias("turns_sha256"), F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
+    return read.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"),
+        F.sha2(F.col("learned").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+        "attachment_tokens",
+    )
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    taken = mixing.copies(docs, mixing.plan(docs))
-    return taken.select("doc_id", "source", mixing.word_tokens(F.col("text")).alias("tokens"), "copies")
+    rows = mixing.counted(table(spark, sf_dir, "documents"))
+    return mixing.schedule(rows, mixing.plan(rows, epochs=1.0)).select("doc_id", "source", "tokens", "copies", "block", "place")
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,5 +93,64 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
+def _warc_sql() -> str:
+    digit = "substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', ((v >> s) & 31) + 1, 1)"
+    base32 = f"array_to_string(list_transform(flatten(list_transform(range(8), lambda i: list_transform([15, 10, 5, 0], lambda s: [('0x' || substr(h, 5 * i + 1, 5))::BIGINT, s]))), lambda p: {digit.replace('v >> s', 'p[1] >> p[2]')}), '')"
+    return f"""WITH x AS (SELECT page_id, octet_length(b)::BIGINT AS payload_bytes, sha1(b) AS h FROM (SELECT page_id, encode(coalesce(html, '')) AS b FROM pages)),
+y AS (SELECT page_id, payload_bytes, {base32} AS payload_digest, max(page_id) OVER (PARTITION BY h) AS first FROM x)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < first THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < first THEN first END AS refers_to FROM y"""
+
+
+def _crc_entry(c: int) -> int:
+    for _ in range(8):
+        c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+    return c
+
+
+def _crc_sql(text: str) -> str:
+    """CRC-32 of a text's UTF-8: its bytes folded over the table of the polynomial."""
+    steps = "[" + ", ".join(str(_crc_entry(i)) for i in range(256)) + "]::UBIGINT[]"
+    data = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: ('0x' || h)::UBIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {data}), lambda a, b: xor(a >> 8, ({steps})[(xor(a, b) & 255)::BIGINT + 1])), 4294967295::UBIGINT)::BIGINT"
+
+
+def _sharding_sql() -> str:
+    return f"""WITH d AS (SELECT doc_id, octet_length(encode(coalesce(text, '')))::BIGINT + 16 AS size, {_crc_sql("coalesce(text, '')")} AS text_crc32 FROM documents),
+x AS (SELECT *, row_number() OVER (ORDER BY md5(coalesce(doc_id::VARCHAR, '')), doc_id, size, text_crc32) - 1 AS r, count(*) OVER () AS n FROM d),
+p AS ({sharding.permutation_sql("x", 1)})
+SELECT doc_id, size, text_crc32, 'rows' AS law, (p % {SHARDS})::INTEGER AS shard, p // {SHARDS} AS slot, NULL::INTEGER AS grown_shard FROM x JOIN p USING (r)"""
+
+
+def _chat_sql() -> str:
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+
+    def escaped(x: str) -> str:
+        x = f"replace({x}, {quoted(chat_format.ESCAPE)}, {quoted(chat_format.ESCAPE + '0')})"
+        for c, letter in chat_format.CONTROLS.items():
+            x = f"replace({x}, {quoted(c)}, {quoted(chat_format.ESCAPE + letter)})"
+        return x
+
+    link = quoted(chat_format.LINK)
+    content = f"array_to_string(list_transform(string_split_regex(text, {link}), lambda t: {escaped('t')}), '<|image|>')"
+    name = f"replace({escaped('role')}, chr(10), {quoted(chat_format.ESCAPE + 'n')})"
+    frame = len(chat_format.TURN) + 1 + len(chat_format.END)
+    return f"""WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL SELECT -7, 0, 'user', {quoted(PROBE)} UNION ALL SELECT -7, 1, 'assistant', {quoted(PROBE)}),
+g AS (SELECT conv_id, count(*) AS n_turns, sum(length({name}) + length({content}) + {frame})::BIGINT AS formatted_chars,
+string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told, coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS learned,
+sum(len(regexp_extract_all(text, {link})) * {chat_format.UNIT_TOKENS["image"]})::BIGINT AS attachment_tokens FROM t GROUP BY conv_id)
+SELECT conv_id, n_turns, sha256(told) AS turns_sha256, length(learned) AS loss_chars, sha256(learned) AS loss_sha256, formatted_chars, attachment_tokens FROM g"""
+
+
+def _substring_sql(window: int = 20) -> str:
+    ahead = " || ' ' || ".join(f"lead(word, {i}) OVER d" if i else "word" for i in range(window))
+    return f"""WITH l AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, unnest(range(len(words))) AS pos FROM l),
+k AS (SELECT doc_id, pos, word, {ahead} AS win FROM w WINDOW d AS (PARTITION BY doc_id ORDER BY pos)),
+f AS (SELECT doc_id, pos, word, win IS NOT NULL AND row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) > 1 AS again FROM k),
+g AS (SELECT doc_id, pos, word, bool_or(again) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {window - 1} PRECEDING AND CURRENT ROW) AS gone FROM f),
+a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone) AS kept FROM g GROUP BY doc_id)
+SELECT l.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN a ON a.doc_id = l.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": _warc_sql(), "op3_sharding": _sharding_sql(), "op5_chat": _chat_sql(), "op7_substring": _substring_sql()}
