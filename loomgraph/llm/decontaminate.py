@@ -149,6 +149,9 @@ def align(texts: list[np.ndarray], items: list[np.ndarray], diagonals: np.ndarra
         pattern[i, : len(p)] = p
     size, steps, one = np.array([len(p) for p in items]), np.arange(width), np.int64(1) << 32
     inside = (lo[:, None] + steps >= 0) & (lo[:, None] + steps <= np.array([len(t) for t in texts])[:, None])
+    # a path begins within its own budget of its bands, however wide the tables of the call are
+    spare = (k - budgets)[:, None]
+    inside &= (steps >= spare) & (steps <= spare + 4 * (budgets[:, None] + 1))
     cost = np.where(inside, width - steps, one << 20)
     best, start, end = np.full(n, 1 << 20), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(longest):

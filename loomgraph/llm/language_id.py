@@ -30,8 +30,8 @@ UNKNOWN = "und"
 ROUNDS = 3
 #: Expected count that every piece has before training.
 PRIOR = 0.01
-#: Mean log-probability of a byte below which accepted() takes a text for none of the learned languages.
-FLOOR = -10.0
+#: Nats a byte by which a learned language must explain a text better than pieces that were never met do, for accepted() to keep it.
+GAIN = 0.5
 #: Words whose scores a task keeps, numbers in a table of the forward algorithm, bytes looked up at once, and bytes of words whose lattices are kept.
 KEPT, CELLS, SLAB, HELD = 200_000, 1 << 25, 1 << 18, 4 << 20
 _SPACE_MARK = "▁"
@@ -200,12 +200,15 @@ def score_words(table: Pieces, raw: list[bytes], logs: np.ndarray) -> np.ndarray
     return out
 
 
-def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, floor: float | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Predictions of the rows, or with a floor the rows themselves that are in a learned language."""
+def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, gain: float | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Predictions of the rows, or with a gain the rows themselves that a learned language explains."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, logs, names = Pieces(pieces.value), np.log(probs.value), np.array([*langs, UNKNOWN])
-        known, score = np.zeros(0, np.uint64), np.zeros((0, len(langs)))
+        if gain is not None and langs:
+            # one more column, of a language in which every piece is as rare as one that was never met
+            logs = np.concatenate([logs, np.full((len(logs), 1), logs.min())], 1)
+        known, score = np.zeros(0, np.uint64), np.zeros((0, logs.shape[1]))
         for batch in batches:
             letters = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False)
             for lo, hi, data, off in tn.chunks(pc.utf8_lower(batch.column(text))):
@@ -215,7 +218,7 @@ def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, flo
                 distinct, at, back = np.unique(hashes, return_index=True, return_inverse=True)
                 place = np.minimum(np.searchsorted(known, distinct), max(0, len(known) - 1))
                 have = known[place] == distinct if len(known) else np.zeros(len(distinct), bool)
-                each = np.zeros((len(distinct), len(langs)))
+                each = np.zeros((len(distinct), logs.shape[1]))
                 each[have] = score[place[have]]
                 fresh = np.flatnonzero(~have)
                 if len(fresh) and langs:
@@ -227,11 +230,11 @@ def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, flo
                     merged = np.concatenate([known, distinct[fresh][:KEPT]])
                     order = np.argsort(merged)
                     known, score = merged[order], np.concatenate([score, each[fresh][:KEPT]])[order]
-                total = np.stack([np.bincount(row, each[back, g], hi - lo) for g in range(len(langs))], 1) if langs else np.zeros((hi - lo, 0))
+                total = np.stack([np.bincount(row, each[back, g], hi - lo) for g in range(logs.shape[1])], 1) if langs else np.zeros((hi - lo, 0))
                 good = letters[lo:hi] & bool(langs)
-                if floor is not None:
+                if gain is not None:
                     size = np.bincount(row, ends - starts + 1, hi - lo)
-                    good = good & (total.max(1) >= floor * size) if langs else good
+                    good = good & (total[:, :-1].max(1) - total[:, -1] >= gain * size) if langs else good
                     yield batch.slice(lo, hi - lo).filter(pa.array(good))
                     continue
                 best = total.argmax(1) if langs else np.zeros(hi - lo, int)
@@ -266,8 +269,8 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[b
     return docs.select("doc_id", "text").mapInArrow(_predict(langs, context.broadcast(probs), context.broadcast(pieces)), f"doc_id {kind}, lang_pred string, score double")
 
 
-def accepted(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[bytes], floor: float = FLOOR) -> DataFrame:
-    """The rows of docs, unchanged, that have a letter and whose bytes are not less likely than ``floor`` in every learned language."""
+def accepted(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[bytes], gain: float = GAIN) -> DataFrame:
+    """The rows of docs, unchanged, that have a letter and that some learned language explains: by ``gain`` nats a byte better than untrained pieces."""
     context = docs.sparkSession.sparkContext
-    run = _predict(langs, context.broadcast(probs), context.broadcast(pieces), docs.columns.index("text"), floor)
+    run = _predict(langs, context.broadcast(probs), context.broadcast(pieces), docs.columns.index("text"), gain)
     return docs.mapInArrow(run, docs.schema)
