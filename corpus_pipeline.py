@@ -1,8 +1,9 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
 
-Language ID rejects documents without letters; near-dedup keeps one document of each class; decontamination drops
-documents that leak a benchmark item; mixing takes every document at least once and those of small sources up to twice;
-sharding permutes the rows into shards and slots. SQL cannot express it: it is tested against brute force.
+Language ID rejects documents without letters and those that no learned language explains; near-dedup keeps one
+document of each class; decontamination drops documents that leak a benchmark item; mixing takes every document at
+least once and those of small sources up to twice; sharding permutes the rows into shards and slots. SQL cannot express
+it: the tests hold it against brute force on a small table.
 """
 
 from __future__ import annotations
