@@ -33,7 +33,7 @@ PRIOR = 0.01
 #: Nats a byte by which a learned language must explain a text better than pieces that were never met do, for accepted() to keep it.
 GAIN = 0.5
 #: Words whose scores a task keeps, numbers in a table of the forward algorithm, bytes looked up at once, and bytes of words whose lattices are kept.
-KEPT, CELLS, SLAB, HELD = 200_000, 1 << 25, 1 << 18, 4 << 20
+KEPT, CELLS, SLAB, HELD = 200_000, 1 << 25, 1 << 16, 4 << 20
 _SPACE_MARK = "▁"
 
 
@@ -211,7 +211,7 @@ def _predict(langs: list[str], probs: object, pieces: object, text: int = 1, gai
         known, score = np.zeros(0, np.uint64), np.zeros((0, logs.shape[1]))
         for batch in batches:
             letters = pc.fill_null(pc.match_substring_regex(batch.column(text), r"\p{L}"), False).to_numpy(zero_copy_only=False)
-            for lo, hi, data, off in tn.chunks(pc.utf8_lower(batch.column(text))):
+            for lo, hi, data, off in tn.chunks(pc.utf8_lower(batch.column(text)), tn.CHUNK_BYTES // 4):
                 starts, ends, first = tn.words(data, off)
                 row = np.repeat(np.arange(hi - lo), np.diff(first))
                 hashes = tn.word_hashes(data, starts, ends) if len(starts) else np.zeros(0, np.uint64)
