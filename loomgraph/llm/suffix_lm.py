@@ -17,7 +17,7 @@ No group, task or driver holds more than its share: the driver sees sums, and at
 Defined results: null text is empty and scores its end only; every row is scored by itself, whatever its doc_id, so
 repeated rows get equal rows; rows without doc_id train (crc32 of nothing is not the held-out rest) and are scored; with
 no training row counts are 0. Extra columns are ignored. Empty tables give empty results. Words are identified by 64-bit
-hashes, next words within a context by 40 bits of theirs.
+hashes; contexts within a group by 48 bits, of which a group asks some million, and next words within a context by 40.
 """
 
 from __future__ import annotations
@@ -112,7 +112,7 @@ class Chunk:
         self.token[begin] = START
         self.token[begin + self.words + 1] = STOP
         self.train = train[self.row]
-        self.keys = [self.token]
+        self.keys = [self.token >> np.uint64(16)]
 
     def key(self, level: int) -> np.ndarray:
         """By position, the gram of level + 1 tokens that ends there (rubbish where the text is shorter)."""
@@ -124,7 +124,7 @@ class Chunk:
 
 
 def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return tn.mix(context * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F))
+    return tn.mix(context * np.uint64(0x9E3779B97F4A7C15) + word * np.uint64(0xC2B2AE3D27D4EB4F)) >> np.uint64(16)
 
 
 def _bucket(context: np.ndarray, word: np.ndarray | None, hot: np.ndarray, buckets: int) -> np.ndarray:
@@ -253,7 +253,7 @@ def _grouped(level: int, hot: np.ndarray, hot_from: float) -> Callable[[pa.Table
         if level == 0:
             real = (key != START) & (total > 0)
             out.append((_SUMS, pack(np.array([total[real].sum(), real.sum(), (total[real] == 1).sum(), (total[real] * (total[real] - 1.0)).sum()], np.float64))))
-            following = key[total >= hot_from]
+            following = key[total >= hot_from] >> np.uint64(16)
         else:
             following = gram_key(key[context], word[first])[each >= hot_from]
         if len(following):
