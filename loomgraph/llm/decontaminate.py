@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
+from .common import released
 
 Q = 8
 #: UTF-8 bytes of benchmark items in one broadcast block.
@@ -227,7 +228,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         texts = [(r["item_id"], clean(r["text"])) for r in mine.orderBy("item_id", "text").collect()]
         index = docs.sparkSession.sparkContext.broadcast((texts, rate))
-        found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_leaks(index), "doc_id long, item_id long, edits int, start long, end long"))
+        found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_leaks(index)), "doc_id long, item_id long, edits int, start long, end long"))
     return reduce(DataFrame.unionByName, found)
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
+from .common import released
 
 UNKNOWN = "und"
 ROUNDS = 3
@@ -266,11 +267,11 @@ def predict(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[b
     """(doc_id, lang_pred, score) of every row of docs; score is the posterior of the predicted language."""
     context = docs.sparkSession.sparkContext
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(_predict(langs, context.broadcast(probs), context.broadcast(pieces)), f"doc_id {kind}, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(released(_predict(langs, context.broadcast(probs), context.broadcast(pieces))), f"doc_id {kind}, lang_pred string, score double")
 
 
 def accepted(docs: DataFrame, langs: list[str], probs: np.ndarray, pieces: list[bytes], gain: float = GAIN) -> DataFrame:
     """The rows of docs, unchanged, that have a letter and that some learned language explains: by ``gain`` nats a byte better than untrained pieces."""
     context = docs.sparkSession.sparkContext
     run = _predict(langs, context.broadcast(probs), context.broadcast(pieces), docs.columns.index("text"), gain)
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(released(run), docs.schema)

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
+from .common import released
 
 RATE, UP, DOWN, TAPS = 12000, 2, 3, 16
 FRAME, HOP, FFT, BANDS = 200, 80, 256, 20
@@ -155,7 +156,7 @@ def _encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def encode(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, media): each text's UTF-8, filled up with 0xFF to a positive multiple of UNIT, as a WAV file."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_encode, f"doc_id {kind}, n_bytes long, media binary")
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(released(_encode), f"doc_id {kind}, n_bytes long, media binary")
 
 
 _SPANS = pa.list_(pa.struct([("start_ms", pa.float64()), ("end_ms", pa.float64())]))
@@ -183,7 +184,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def features(media: DataFrame) -> DataFrame:
     """Digests, number of frames, segment time spans and tensors of stored (doc_id, n_bytes, media)."""
     kind = media.schema["doc_id"].dataType.simpleString()
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(_features, f"doc_id {kind}, {_STORED}")
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(released(_features), f"doc_id {kind}, {_STORED}")
 
 
 def describe(frames: int, spans: list[dict], stored: bytes) -> str:
@@ -205,4 +206,4 @@ def described(stored: DataFrame) -> DataFrame:
     kind = stored.schema["doc_id"].dataType.simpleString()
     head = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256"]
     schema = f"doc_id {kind}, {_STORED.partition(', frames')[0]}, feature string"
-    return stored.select(*head, "frames", "segments", "tensors").mapInArrow(_described, schema)
+    return stored.select(*head, "frames", "segments", "tensors").mapInArrow(released(_described), schema)

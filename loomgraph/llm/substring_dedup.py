@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
-from .common import bucketed, discard, staged
+from .common import bucketed, discard, released, staged
 
 #: Words in an anchor; window - anchor + 1 must be a power of two.
 ANCHOR = 5
@@ -169,8 +169,8 @@ def repeated_runs(texts: DataFrame, window: int = 20, anchor: int = ANCHOR) -> D
         raise ValueError("window - anchor + 1 must be a power of two")
     kind = texts.schema["key"].dataType.simpleString()
     # aggregates are written before they are joined, so that a hot key's partition can be split in the join
-    counted = staged(texts.mapInArrow(_pieces(window, anchor, False), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
-    every = texts.mapInArrow(_pieces(window, anchor, True), f"anchor long, content long, key {kind}, pos int, size int")
+    counted = staged(texts.mapInArrow(released(_pieces(window, anchor, False)), "anchor long").groupBy("anchor").count().where("count > 1").select("anchor"), "anchors")
+    every = texts.mapInArrow(released(_pieces(window, anchor, True)), f"anchor long, content long, key {kind}, pos int, size int")
     pieces = staged(every.join(counted, "anchor", "left_semi"), "pieces")
 
     named = staged(pieces.groupBy("anchor", "content").agg(F.min(F.struct("key", "pos", "size")).alias("src"), F.count(F.lit(1)).alias("n")), "named")
@@ -179,7 +179,7 @@ def repeated_runs(texts: DataFrame, window: int = 20, anchor: int = ANCHOR) -> D
 
     junctions = named.groupBy("anchor").count().where("count > 1").select("anchor")
     asked = named.join(junctions, "anchor", "left_semi").select("src.*").groupBy("key").agg(F.collect_list(F.struct("pos", "size")).alias("pieces"))
-    edges = staged(texts.join(asked, "key").select("key", "text", "pieces").mapInArrow(_edges(window, anchor), f"edge long, other long, key {kind}, pos int"), "edges")
+    edges = staged(texts.join(asked, "key").select("key", "text", "pieces").mapInArrow(released(_edges(window, anchor)), f"edge long, other long, key {kind}, pos int"), "edges")
     firsts = staged(edges.groupBy("edge", "other").agg(F.min(F.struct("key", "pos")).alias("src"), F.count(F.lit(1)).alias("n")).where("n > 1"), "firsts")
     single = edges.join(firsts.select("edge", "other", "src"), ["edge", "other"]).where((F.col("key") != F.col("src.key")) | (F.col("pos") != F.col("src.pos")))
     single = single.select("key", "pos", F.lit(1).alias("size"), F.col("src.key").alias("src_key"), F.col("src.pos").alias("src_pos"))
@@ -245,8 +245,8 @@ def remove_repeats(docs: DataFrame, window: int = 20, anchor: int = ANCHOR) -> D
     found = spans(runs, window)
     discard(runs)
     source = found.select("src_key", "src_start", "words").distinct().groupBy(F.col("src_key").alias("key")).agg(F.collect_list(F.struct(F.col("src_start").alias("start"), "words")).alias("spans"))
-    proven = staged(texts.join(source, "key").select("key", "text", "spans").mapInArrow(_sources, f"src_key {kind}, src_start int, words int, digest binary").distinct(), "digests")
+    proven = staged(texts.join(source, "key").select("key", "text", "spans").mapInArrow(released(_sources), f"src_key {kind}, src_start int, words int, digest binary").distinct(), "digests")
     cuts = found.join(proven, ["src_key", "src_start", "words"]).groupBy("key").agg(F.collect_list(F.struct("start", "words", "digest")).alias("spans"))
     schema = f"doc_id {kind}, n_words long, n_removed long, kept binary"
     nobody = _flat(docs).where("key is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,words:int,digest:binary>>"))
-    return texts.join(cuts, "key", "left").select("key", "text", "spans").unionByName(nobody).mapInArrow(_kept, schema)
+    return texts.join(cuts, "key", "left").select("key", "text", "spans").unionByName(nobody).mapInArrow(released(_kept), schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textnp as tn
-from .common import bucketed, discard, staged
+from .common import bucketed, discard, released, staged
 
 DEPTH = 2
 DISCOUNT = 0.75
@@ -330,7 +330,7 @@ def scores(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) of every row of docs."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select((~held_out()).alias("train"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    dealt = bucketed(rows.mapInArrow(_deal, f"chunk long, train array<boolean>, ids array<{kind}>, sizes array<long>, text binary"), "chunk", "dealt", "uncompressed")
+    dealt = bucketed(rows.mapInArrow(released(_deal), f"chunk long, train array<boolean>, ids array<{kind}>, sizes array<long>, text binary"), "chunk", "dealt", "uncompressed")
     size = dealt.select(F.sum(F.aggregate("sizes", F.lit(0).cast("long"), lambda a, x: a + x))).first()[0] or 0
     buckets, hot_from = max(1, int(size) // GROUPED), max(2.0, size / (8 * HOT))
     hots, stats, answers, sums = [np.zeros(0, np.uint64)], [{"key": np.zeros(0, np.uint64)}], [], np.zeros(4)

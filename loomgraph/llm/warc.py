@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import released, staged
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Bytes of payload in one batch that a reading task hands on, and in one file.
@@ -104,7 +104,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
         F.lit("\r\n"),
     )
     record = F.concat(head.cast("binary"), http.cast("binary"), body, F.lit("\r\n\r\n").cast("binary"))
-    members = rows.select(record.alias("record")).mapInArrow(_members, "value binary")
+    members = rows.select(record.alias("record")).mapInArrow(released(_members), "value binary")
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, int(roll_bytes // max(1, mean)))).text(path)
 
 
@@ -156,7 +156,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
     """One row per record; the payload of a revisit is empty until it is resolved by refers_to = record_id."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    return files.select("content").mapInArrow(_read, _SCHEMA)
+    return files.select("content").mapInArrow(released(_read), _SCHEMA)
 
 
 def resolved(records: DataFrame) -> DataFrame:
