@@ -41,6 +41,12 @@ def softmax(x: Column) -> Column:
     return F.transform(e, lambda v: v / total(e))
 
 
+def log_sum_exp(x: Column) -> Column:
+    """With the largest element taken out first, so that nothing overflows."""
+    top = F.array_max(x)
+    return top + F.ln(total(F.transform(x, lambda v: F.exp(v - top))))
+
+
 def sigmoid(x: Column) -> Column:
     return F.transform(x, lambda v: 1 / (1 + F.exp(-v)))
 

@@ -16,3 +16,13 @@ def u32(tag: str, *counters: Column | str) -> Column:
 def u32_sql(tag: str, *counters: str) -> str:
     """The same number in plain SQL."""
     return f"('0x'||substr(md5(concat_ws('|','{tag}',{','.join(f'({c})::VARCHAR' for c in counters)})),1,8))::BIGINT"
+
+
+def below(n: Column, tag: str, *counters: Column | str) -> Column:
+    """Uniform BIGINT below n, from 62 bits: two words, so that nothing beyond 2**32 stays undrawn."""
+    return (u32(tag, *counters) * 1073741824 + u32(f"{tag}+", *counters) % 1073741824) % n
+
+
+def below_sql(n: str, tag: str, *counters: str) -> str:
+    """The same number in plain SQL."""
+    return f"(({u32_sql(tag, *counters)} * 1073741824 + {u32_sql(f'{tag}+', *counters)} % 1073741824) % {n})"

@@ -32,6 +32,14 @@ def relu(x: DataFrame) -> DataFrame:
     return x.withColumn("v", F.greatest("v", F.lit(0)))
 
 
+def hops_mean(parts: list[DataFrame]) -> DataFrame:
+    """Sum of equally wide blocks, place by place."""
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out.groupBy("id", "j").agg(F.round(F.sum("v"), 6).alias("v"))
+
+
 def hop_concat(parts: list[DataFrame], width: int) -> DataFrame:
     """Column-wise concatenation of equally wide blocks."""
     out = parts[0]

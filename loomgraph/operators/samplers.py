@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import u32
+from ..functions.rng import below, u32
 from ..sources.graphs import degrees, indexed
 from .windows import ranked, running_total
 
@@ -47,7 +47,7 @@ def _scalar(df: DataFrame, agg: F.Column, name: str) -> DataFrame:
 def uniform(g: Prepared, samples: int, size: int, tag: str) -> DataFrame:
     """(sg, i, v): training nodes drawn uniformly with replacement."""
     n = _scalar(g.ids, F.count(F.lit(1)), "n")
-    drawn = draws(g.ids, samples, size).crossJoin(n).where("n > 0").withColumn("r", u32(tag, "sg", "i") % F.col("n"))
+    drawn = draws(g.ids, samples, size).crossJoin(n).where("n > 0").withColumn("r", below(F.col("n"), tag, "sg", "i"))
     return drawn.join(g.ids, "r").select("sg", "i", F.col("id").alias("v"))
 
 
@@ -57,7 +57,7 @@ def vanilla_node(g: Prepared, samples: int = 20, size: int = 100) -> DataFrame:
 
 def hop(g: Prepared, at: DataFrame, tag: str) -> DataFrame:
     """(sg, i, v) one uniform step on; a node without edges stays."""
-    here = at.join(g.deg, at.v == g.deg.id, "left").select("sg", "i", "v", F.when(F.col("deg") > 0, u32(tag, "sg", "i") % F.when(F.col("deg") > 0, F.col("deg"))).alias("k"))
+    here = at.join(g.deg, at.v == g.deg.id, "left").select("sg", "i", "v", F.when(F.col("deg") > 0, below(F.when(F.col("deg") > 0, F.col("deg")), tag, "sg", "i")).alias("k"))
     return here.join(g.edges.select(F.col("src").alias("v"), "k", "dst"), ["v", "k"], "left").select("sg", "i", F.coalesce("dst", "v").alias("v"))
 
 
@@ -73,7 +73,7 @@ def random_walk(g: Prepared, samples: int = 20, roots: int = 60, depth: int = 2)
 def node(g: Prepared, samples: int = 20, size: int = 100, exact: bool = False) -> DataFrame:
     """Draws in proportion to degree: a uniform edge position's owner. By default draw s takes position max(s - 1, 0), as a lower bound over running totals does; exact takes s itself."""
     m = _scalar(g.edges, F.count(F.lit(1)), "m")
-    s = u32("n", "sg", "i") % F.col("m")
+    s = below(F.col("m"), "n", "sg", "i")
     drawn = draws(g.ids, samples, size).crossJoin(m).where("m > 0").withColumn("eid", s if exact else F.greatest(s - 1, F.lit(0)))
     return drawn.join(g.edges.select("eid", "src"), "eid").select("sg", F.col("src").alias("v")).distinct()
 
@@ -99,7 +99,7 @@ def edge(g: Prepared, samples: int = 20, size: int = 100) -> DataFrame:
     cum = cum.crossJoin(one).withColumn("width", F.greatest(F.expr("total div m"), F.lit(1)))
     lo = F.col("hi") - F.col("w")
     laid = cum.select("src", "dst", lo.alias("lo"), "hi", F.explode(F.sequence(F.expr("(hi - w) div width"), F.expr("hi div width"))).alias("b"))
-    s = (u32("e1", "sg", "i") * 1073741824 + u32("e2", "sg", "i") % 1073741824) % F.col("total")
+    s = below(F.col("total"), "e", "sg", "i")
     drawn = draws(g.ids, samples, size).crossJoin(one).where("m > 0").withColumn("s", s).withColumn("b", F.expr("s div greatest(total div m, 1)"))
     hit = drawn.join(laid, "b").where("(lo < s and s <= hi) or (s = 0 and lo = 0)")
     return hit.select("sg", F.explode(F.array("src", "dst")).alias("v")).distinct()
@@ -161,6 +161,20 @@ def frontier(g: Prepared, samples: int = 20, size: int = 100, frontier_size: int
     return uniform(g, samples, frontier_size, "frontier").groupBy("sg").applyInPandas(walk, "sg bigint, v bigint")
 
 
+def covering(sampler: Callable[..., DataFrame], g: Prepared, coverage: float, first: int = 200, **sizes: int) -> tuple[DataFrame, int]:
+    """(samples, their number): a pool whose samples hold more than ``coverage`` times the training nodes, doubled until it does.
+
+    Sample numbers seed the draws, so that a larger pool begins with the smaller one, and a used-up pool is refilled by
+    asking for more.
+    """
+    nodes, number = g.ids.count(), first
+    while True:
+        pool = sampler(g, number, **sizes)
+        if not nodes or pool.count() > coverage * nodes:
+            return pool, number
+        number *= 2
+
+
 SAMPLERS: dict[str, Callable[..., DataFrame]] = {"rw": random_walk, "node": node, "edge": edge, "edge_bernoulli": edge_bernoulli, "mrw": frontier, "full_batch": full_batch, "vanilla_node_python": vanilla_node}
 
 

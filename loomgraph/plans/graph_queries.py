@@ -194,8 +194,12 @@ simple(
     sage_layer=lambda c: M.relu(M.hop_concat([M.dense(c.graph.features, T.weights(c.spark, 4, 3), 1), M.dense(M.neighbour_sum(c.graph.edges, c.graph.features), T.weights(c.spark, 4, 3), 1)], 3)),
     gat_attention=lambda c: M.attention(c.train_edges, _hidden(c), *_vectors2(c)),
     gaan_gate=lambda c: _gate(c),
-    jk_concat=lambda c: M.hop_concat([_hidden(c), M.neighbour_sum(c.train_edges, _hidden(c))], 3),
-    jk_max=lambda c: _hidden(c).withColumnRenamed("v", "a").join(M.neighbour_sum(c.train_edges, _hidden(c)), ["id", "j"]).select("id", "j", F.greatest("a", "v").alias("v")),
+    jk_concat=lambda c: M.relu(M.dense(M.hop_concat([_hidden(c), _summed(c)], 3), T.weights(c.spark, 6, 3), 1)),
+    jk_max=lambda c: M.relu(M.dense(_hidden(c).withColumnRenamed("v", "a").join(_summed(c), ["id", "j"]).select("id", "j", F.greatest("a", "v").alias("v")), T.weights(c.spark, 3, 3), 1)),
+    sage_mean=lambda c: M.hops_mean([_dense(c, 3, M.relu, h) for h in (_double(_hidden(c)), _averaged(c))]),
+    loss_softmax_weighted=lambda c: _weighted(c, _vectors(c).select("id", (A.log_sum_exp(F.col("x")) - F.element_at("x", F.col("y") + 1)).alias("loss"))),
+    loss_sigmoid_weighted=lambda c: _weighted(c, c.scores().select("id", (F.greatest(F.col("v") / 1000, F.lit(0.0)) - F.col("v") / 1000 * (F.col("j") == F.col("y")).cast("int") + F.ln(1 + F.exp(-F.abs(F.col("v") / 1000)))).alias("loss"))),
+    f1_threshold=lambda c: X.f1(X.confusion(c.scores().select(F.col("j").alias("cls"), (F.col("j") == F.col("y")).cast("int").alias("y"), (1 / (1 + F.exp(-F.col("v") / 1000)) > 0.5).cast("int").alias("p")))),
     dropout_rows=lambda c: c.graph.features.where(u32("drop", "id", "j") % 100 >= 20).select("id", "j", (F.col("v") / 0.8).alias("v")),
 )
 
@@ -209,11 +213,38 @@ def _vectors2(c: T.Context) -> tuple[DataFrame, DataFrame]:
     return base.select("j", (F.col("j") + 1).cast("bigint").alias("a")), base.select("j", (1 - F.col("j")).cast("bigint").alias("a"))
 
 
+def _zero_filled(x: DataFrame, found: DataFrame) -> DataFrame:
+    """found (id, j, v) on all places of x, with 0 where a node has no neighbours."""
+    return x.select("id", "j").join(found, ["id", "j"], "left").select("id", "j", F.coalesce("v", F.lit(0)).alias("v"))
+
+
+def _summed(c: T.Context) -> DataFrame:
+    return _zero_filled(h := _hidden(c), M.neighbour_sum(c.train_edges, h))
+
+
+def _averaged(c: T.Context) -> DataFrame:
+    return _double(_zero_filled(h := _hidden(c), M.neighbour_mean(c.train_edges, h)))
+
+
+def _double(x: DataFrame) -> DataFrame:
+    return x.select("id", "j", F.col("v").cast("double").alias("v"))
+
+
+def _dense(c: T.Context, rows: int, act: Callable[[DataFrame], DataFrame], x: DataFrame) -> DataFrame:
+    return act(M.dense(x, T.weights(c.spark, rows, 3), 1))
+
+
 def _gate(c: T.Context) -> DataFrame:
-    """Per node: [x, max pool of neighbours, sum of neighbours] times weights, without sigmoid."""
+    """A gate value a node and head: [x | maximum over neighbours of x W_m, 0 for none | mean of the neighbours] times W_g."""
     h = _hidden(c)
-    wide = M.hop_concat([h, M.neighbour_max(c.train_edges, h), M.neighbour_sum(c.train_edges, h)], 3)
-    return M.dense(wide, T.weights(c.spark, 9, 2), 0)
+    pooled = M.neighbour_max(c.train_edges, M.dense(h, T.weights(c.spark, 3, 3), 0))
+    wide = M.hop_concat([_double(h), _double(pooled), _averaged(c)], 3)
+    return M.dense(wide, T.weights(c.spark, 9, 2), 0).select("id", "j", F.round("v", 6).alias("v"))
+
+
+def _weighted(c: T.Context, losses: DataFrame) -> DataFrame:
+    """One row: the sum of the rows' losses, each with its node's weight."""
+    return losses.join(norm_loss(c).select("id", F.col("lambda").alias("lam")), "id").agg(F.round(F.sum(F.col("lam") * F.col("loss")), 6).alias("loss"))
 
 
 def _batch_norm(c: T.Context) -> DataFrame:

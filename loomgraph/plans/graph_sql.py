@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from ..functions.rng import below_sql as draw
 from ..functions.rng import u32_sql as u
 from . import tables as T
 
@@ -20,9 +21,9 @@ RELATIONS: dict[str, str] = {
     "feat": "SELECT id, unnest([0,1,2,3])::INTEGER AS j, unnest([s, r, q, c]) AS v FROM (SELECT p_partkey AS id, p_size::BIGINT AS s, round(p_retailprice * 100)::BIGINT AS r, coalesce(q, 0)::BIGINT AS q, coalesce(c, 0)::BIGINT AS c FROM part LEFT JOIN (SELECT l_partkey, sum(l_quantity::BIGINT)::BIGINT AS q, count(*) AS c FROM lineitem GROUP BY 1) ON l_partkey = p_partkey)",
     "lab": "SELECT p_partkey AS id, (dense_rank() OVER (ORDER BY p_brand) - 1)::INTEGER AS y FROM part",
     "grid": f"SELECT a.range AS sg, b.range AS i FROM range({_S}) a, range({_N}) b",
-    "w0": f"SELECT sg, i, tr.id AS v FROM (SELECT sg, i, {u('root', 'sg', 'i')} % (SELECT count(*) FROM tr) AS r FROM grid WHERE i < {_R}) JOIN tr USING (r)",
-    "w1": f"SELECT sg, i, coalesce(ei.dst, v) AS v FROM w0 JOIN deg ON deg.id = v LEFT JOIN ei ON ei.src = v AND deg > 0 AND ei.k = {u('hop1', 'sg', 'i')} % greatest(deg, 1)",
-    "w2": f"SELECT sg, i, coalesce(ei.dst, v) AS v FROM w1 JOIN deg ON deg.id = v LEFT JOIN ei ON ei.src = v AND deg > 0 AND ei.k = {u('hop2', 'sg', 'i')} % greatest(deg, 1)",
+    "w0": f"SELECT sg, i, tr.id AS v FROM (SELECT sg, i, {draw('(SELECT count(*) FROM tr)', 'root', 'sg', 'i')} AS r FROM grid WHERE i < {_R}) JOIN tr USING (r)",
+    "w1": f"SELECT sg, i, coalesce(ei.dst, v) AS v FROM w0 JOIN deg ON deg.id = v LEFT JOIN ei ON ei.src = v AND deg > 0 AND ei.k = {draw('greatest(deg, 1)', 'hop1', 'sg', 'i')}",
+    "w2": f"SELECT sg, i, coalesce(ei.dst, v) AS v FROM w1 JOIN deg ON deg.id = v LEFT JOIN ei ON ei.src = v AND deg > 0 AND ei.k = {draw('greatest(deg, 1)', 'hop2', 'sg', 'i')}",
     "sn": "SELECT DISTINCT sg, v FROM (SELECT sg, v FROM w0 UNION ALL SELECT sg, v FROM w1 UNION ALL SELECT sg, v FROM w2)",
     "lid": "SELECT sg, v, row_number() OVER (PARTITION BY sg ORDER BY v) - 1 AS lid FROM sn",
     "se": "SELECT a.sg, eid, src, dst, a.lid AS lsrc, b.lid AS ldst FROM ei JOIN lid a ON a.v = src JOIN lid b ON b.v = dst AND b.sg = a.sg",
@@ -49,6 +50,11 @@ RELATIONS: dict[str, str] = {
     "gr": "SELECT id, CASE WHEN s < 0 THEN s ELSE s * 5 END AS s FROM (SELECT id, sum(v * (1 - j))::BIGINT AS s FROM h GROUP BY id)",
     "ex": "SELECT *, exp(v / 1000.0::DOUBLE) AS e, v / 1000.0::DOUBLE AS x FROM sc",
     "sm": "SELECT id, y, j, exp(x - max(x) OVER w) / sum(exp(x - max_x)) OVER w AS p FROM (SELECT *, max(x) OVER (PARTITION BY id) AS max_x FROM ex) WINDOW w AS (PARTITION BY id)",
+    "hz": "SELECT h.id, h.j, coalesce(hs.v, 0)::BIGINT AS v FROM h LEFT JOIN hs ON hs.id = h.id AND hs.j = h.j",
+    "zp": "SELECT h.id, o AS j, sum(v * w)::BIGINT AS v FROM h JOIN wm ON i = h.j WHERE i < 3 GROUP BY ALL",
+    "zm": "SELECT zp.id, zp.j, coalesce(m, 0)::BIGINT AS v FROM zp LEFT JOIN (SELECT src AS id, j, max(v) AS m FROM et JOIN zp ON zp.id = dst GROUP BY ALL) x ON x.id = zp.id AND x.j = zp.j",
+    "hn": "SELECT h.id, h.j, coalesce(m, 0)::DOUBLE AS v FROM h LEFT JOIN (SELECT src AS id, j, sum(v)::DOUBLE / count(*) AS m FROM et JOIN h ON h.id = dst GROUP BY ALL) x ON x.id = h.id AND x.j = h.j",
+    "lw": "SELECT nodes.id, CASE WHEN role = 'tr' THEN 20.0::DOUBLE / (CASE WHEN coalesce(c, 0) = 0 THEN 0.1::DOUBLE ELSE c::DOUBLE END) / (SELECT count(*) FROM tr) ELSE 0.0::DOUBLE END AS lam FROM nodes LEFT JOIN cv ON cv.id = nodes.id",
     "k1": "SELECT src, dst FROM ef WHERE src IN (SELECT src FROM ef GROUP BY src HAVING count(*) >= 90) AND dst IN (SELECT src FROM ef GROUP BY src HAVING count(*) >= 90)",
     "k2": "SELECT src, dst FROM k1 WHERE src IN (SELECT src FROM k1 GROUP BY src HAVING count(*) >= 90) AND dst IN (SELECT src FROM k1 GROUP BY src HAVING count(*) >= 90)",
     "k3": "SELECT src, dst FROM k2 WHERE src IN (SELECT src FROM k2 GROUP BY src HAVING count(*) >= 90) AND dst IN (SELECT src FROM k2 GROUP BY src HAVING count(*) >= 90)",
@@ -59,7 +65,6 @@ RELATIONS: dict[str, str] = {
 
 _F1 = "round(CASE WHEN sum(2*tp+fp+fn) = 0 THEN 0 ELSE 2.0::DOUBLE * sum(tp) / sum(2*tp+fp+fn) END, 9) AS f1_micro, round(avg(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2*tp+fp+fn) END), 9) AS f1_macro"
 _BOTH = lambda q: f"SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FROM ({q}) UNION ALL SELECT b, a FROM ({q}))"
-_PAIR = f"({u('e1', 'sg', 'i')} * 1073741824 + {u('e2', 'sg', 'i')} % 1073741824)"
 
 SELECTS: dict[str, str] = {
     "copurchase_edges": "SELECT * FROM ef",
@@ -84,10 +89,10 @@ SELECTS: dict[str, str] = {
     "edge_cumsum": "SELECT src, dst, w, hi AS cum FROM wc",
     "rw_sampler": "SELECT * FROM sn",
     "rw_hop": "SELECT * FROM w1",
-    "node_sampler": f"SELECT DISTINCT sg, src AS v FROM grid JOIN ei ON eid = greatest({u('n', 'sg', 'i')} % (SELECT count(*) FROM ei) - 1, 0)",
-    "edge_sampler": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM (SELECT sg, {_PAIR} % (SELECT max(hi) FROM wc) AS s FROM grid) JOIN wc ON (hi - w < s AND s <= hi) OR (s = 0 AND hi = w)",
+    "node_sampler": f"SELECT DISTINCT sg, src AS v FROM grid JOIN ei ON eid = greatest({draw('(SELECT count(*) FROM ei)', 'n', 'sg', 'i')} - 1, 0)",
+    "edge_sampler": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM (SELECT sg, {draw('(SELECT max(hi) FROM wc)', 'e', 'sg', 'i')} AS s FROM grid) JOIN wc ON (hi - w < s AND s <= hi) OR (s = 0 AND hi = w)",
     "edge_sampler_bernoulli": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM wt, (SELECT range AS sg FROM range({_S})) WHERE {u('b', 'sg', 'eid')}::HUGEINT * (SELECT sum(w) FROM wt) <= w::HUGEINT * {_N} * 4294967296",
-    "vanilla_node_sampler": f"SELECT DISTINCT sg, id AS v FROM grid JOIN tr ON r = {u('vanilla', 'sg', 'i')} % (SELECT count(*) FROM tr)",
+    "vanilla_node_sampler": f"SELECT DISTINCT sg, id AS v FROM grid JOIN tr ON r = {draw('(SELECT count(*) FROM tr)', 'vanilla', 'sg', 'i')}",
     "full_batch_sampler": f"SELECT range AS sg, id AS v FROM range({_S}), tr",
     "local_ids": "SELECT * FROM lid",
     "induced_subgraph": "SELECT sg, src, dst, lsrc, ldst, eid FROM se",
@@ -136,9 +141,13 @@ SELECTS: dict[str, str] = {
     "loss_grad": "SELECT id, j, round(p - (j = y)::INTEGER, 9) AS v FROM sm",
     "matmul": "SELECT a.i, b.j, sum(a.v * b.v)::BIGINT AS v FROM (SELECT (id % 4)::INTEGER AS i, j, sum(v)::BIGINT AS v FROM feat GROUP BY ALL) a JOIN (SELECT (id % 4)::INTEGER AS i, j, sum(v)::BIGINT AS v FROM feat GROUP BY ALL) b ON a.j = b.i GROUP BY ALL",
     "gat_attention": "SELECT src AS id, j, sum((gl.s + gr.s) * v)::BIGINT AS v FROM et JOIN gl ON gl.id = src JOIN gr ON gr.id = dst JOIN h ON h.id = dst GROUP BY ALL",
-    "gaan_gate": "SELECT id, o AS j, sum(v * w)::BIGINT AS v FROM (SELECT id, j, v FROM h UNION ALL SELECT id, j + 3, v FROM hm UNION ALL SELECT id, j + 6, v FROM hs) x JOIN wm ON i = x.j WHERE o < 2 GROUP BY ALL",
-    "jk_concat": "SELECT id, j, v FROM h UNION ALL SELECT id, j + 3, v FROM hs",
-    "jk_max": "SELECT h.id, h.j, greatest(h.v, hs.v) AS v FROM h JOIN hs ON h.id = hs.id AND h.j = hs.j",
+    "gaan_gate": "SELECT id, o AS j, round(sum(v * w), 6) AS v FROM (SELECT id, j, v::DOUBLE AS v FROM h UNION ALL SELECT id, j + 3, v::DOUBLE FROM zm UNION ALL SELECT id, j + 6, v FROM hn) x JOIN wm ON i = x.j WHERE o < 2 GROUP BY ALL",
+    "jk_concat": "SELECT id, o AS j, greatest(sum(v * w)::BIGINT + 1, 0) AS v FROM (SELECT id, j, v FROM h UNION ALL SELECT id, j + 3, v FROM hz) x JOIN wm ON i = x.j GROUP BY ALL",
+    "jk_max": "SELECT h.id, o AS j, greatest(sum(greatest(h.v, hz.v) * w)::BIGINT + 1, 0) AS v FROM h JOIN hz ON h.id = hz.id AND h.j = hz.j JOIN wm ON i = h.j GROUP BY ALL",
+    "sage_mean": "SELECT id, o AS j, round(sum(v), 6) AS v FROM (SELECT id, o, greatest(sum(v * w) + 1, 0) AS v FROM (SELECT id, j, v::DOUBLE AS v FROM h) JOIN wm ON i = j GROUP BY ALL UNION ALL SELECT id, o, greatest(sum(v * w) + 1, 0) FROM hn JOIN wm ON i = j GROUP BY ALL) GROUP BY ALL",
+    "loss_softmax_weighted": "SELECT round(sum(lam * loss), 6) AS loss FROM (SELECT id, ln(sum(exp(x - top))) + max(top) - sum(x) FILTER (j = y) AS loss FROM (SELECT *, max(x) OVER (PARTITION BY id) AS top FROM ex) GROUP BY id) JOIN lw USING (id)",
+    "loss_sigmoid_weighted": "SELECT round(sum(lam * (greatest(x, 0) - x * (j = y)::INTEGER + ln(1 + exp(-abs(x))))), 6) AS loss FROM ex JOIN lw USING (id)",
+    "f1_threshold": f"SELECT {_F1} FROM (SELECT cls, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn FROM (SELECT j AS cls, (j = y)::INTEGER AS y, (1 / (1 + exp(-x)) > 0.5)::INTEGER AS p FROM ex) GROUP BY cls)",
     "dropout_rows": f"SELECT id, j, v / 0.8::DOUBLE AS v FROM feat WHERE {u('drop', 'id', 'j')} % 100 >= 20",
     "runs_mean_std": f"SELECT round(avg(hits), 6) AS mean, round(stddev_samp(hits), 6) AS std FROM (SELECT run, sum(({u('run', 'run', 'id')} % {T.CLASSES} = y)::INTEGER) AS hits FROM (SELECT DISTINCT id, y FROM sc), (SELECT range AS run FROM range(10)) GROUP BY run)",
     "best_epoch": f"SELECT epoch, f1 FROM (SELECT epoch, f1, max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT range AS epoch, {u('epoch', 'range')} % 1000 AS f1 FROM range(50))) WHERE best IS NULL OR f1 > best",

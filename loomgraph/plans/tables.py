@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,13 +31,21 @@ class Context:
         return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
 
     def scratch(self) -> str:
-        """A new folder in the one that the cluster shares; a temporary one only where none is set (tests)."""
-        shared = self.spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="loomgraph-")
+        """A new folder in the one that the cluster shares; a temporary one only in local mode, where all tasks share the machine."""
+        shared, master = self.spark.conf.get("spark.checkpoint.dir", None), self.spark.sparkContext.master
+        if not shared:
+            if master != "local" and not master.startswith("local["):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            shared = "file://" + tempfile.mkdtemp(prefix="spark-loomgraph-")
         return f"{shared.rstrip('/')}/graph-{uuid.uuid4().hex}"
 
-    @property
+    @cached_property
     def prepared(self) -> Prepared:
-        return Prepared.of(self.train_edges, self.train_ids)
+        """Written once and read back, for the joins that a sampler and its norms put on top of each other."""
+        made, path = Prepared.of(self.train_edges, self.train_ids), self.scratch()
+        for name in ("edges", "ids", "deg"):
+            getattr(made, name).write.parquet(f"{path}/{name}")
+        return Prepared(*(self.spark.read.parquet(f"{path}/{name}") for name in ("ids", "edges", "deg")))
 
     def walks(self) -> tuple[Prepared, DataFrame]:
         g = self.prepared

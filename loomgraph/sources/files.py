@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from .graphs import GraphTables
+from .graphs import GraphTables, induced_by_role, val_edges
 
 ROWS = 1 << 16
 
@@ -128,10 +128,39 @@ def class_map(spark: SparkSession, path: str) -> DataFrame:
     return read.select(F.col("id").cast("bigint").alias("id"), F.inline(F.when(F.col("v").startswith("["), many).otherwise(one)))
 
 
+def scaled(features: DataFrame, train: DataFrame) -> DataFrame:
+    """(id, x) less the mean and over the population deviation of the rows of ``train`` (id); constant columns are only centred.
+
+    One row holds the numbers of all columns and is broadcast: it is as wide as a feature row.
+    """
+    each = features.join(train.select("id").distinct(), "id", "left_semi").select(F.posexplode("x").alias("j", "v"))
+    fit = each.groupBy("j").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("sd"))
+    row = fit.agg(F.array_sort(F.collect_list(F.struct("j", "mean", F.when(F.col("sd") > 0, F.col("sd")).otherwise(1.0).alias("sd")))).alias("fit"))
+    return features.crossJoin(F.broadcast(row)).select("id", F.zip_with("x", "fit", lambda v, f: (v - f["mean"]) / f["sd"]).alias("x"))
+
+
+def load_data(spark: SparkSession, folder: str, normalize: bool = True) -> tuple[GraphTables, DataFrame]:
+    """(graph, training edges) from adj_full.npz, adj_train.npz, role.json, class_map.json and feats.npy; features are scaled by the nodes that have training edges.
+
+    Labels are (id, cls, y), features (id, x); more or fewer labels than features are an error.
+    """
+    register(spark)
+    edges, train = (spark.read.format("npz_csr").load(f"{folder}/{name}.npz") for name in ("adj_full", "adj_train"))
+    features, labels = spark.read.format("npy_matrix").load(f"{folder}/feats.npy"), class_map(spark, f"{folder}/class_map.json")
+    told, rows = labels.select("id").distinct().count(), features.count()
+    if told != rows:
+        raise ValueError(f"{told} nodes have classes, {rows} have features")
+    if normalize:
+        features = scaled(features, train.select(F.col("src").alias("id")))
+    return GraphTables(roles(spark, f"{folder}/role.json"), edges, features, labels), train
+
+
 def write_graph(graph: GraphTables, path: str) -> None:
-    """The four relations as Parquet below path; read_graph is the way back."""
+    """The relations as Parquet below path, with the edges among training nodes and those that touch no test node; read_graph is the way back."""
     for name in ("nodes", "edges", "features", "labels"):
         getattr(graph, name).write.parquet(f"{path}/{name}")
+    induced_by_role(graph.edges, graph.nodes).write.parquet(f"{path}/edges_train")
+    val_edges(graph.edges, graph.nodes).write.parquet(f"{path}/edges_val")
 
 
 def read_graph(spark: SparkSession, path: str) -> GraphTables:

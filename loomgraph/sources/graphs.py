@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -90,3 +91,14 @@ def indexed(edges: DataFrame, ids: DataFrame) -> DataFrame:
     cum = running_total(degrees(edges, ids), "id", "deg", "cum")
     k = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
     return edges.withColumn("k", k.cast("bigint")).join(cum.select(F.col("id").alias("src"), (F.col("cum") - F.col("deg")).alias("first")), "src").select((F.col("first") + F.col("k")).alias("eid"), "src", "dst", "k")
+
+
+def pruned(edges: DataFrame, least: int, keep: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges between nodes that have at least ``least`` neighbours among each other, round by round until none falls away; keep() writes a round down."""
+    number = edges.count()
+    while True:
+        good = edges.groupBy("src").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("src")
+        edges = keep(edges.join(good, "src", "left_semi").join(good.withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        before, number = number, edges.count()
+        if number == before:
+            return edges

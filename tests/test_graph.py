@@ -60,11 +60,28 @@ def test_walk_stays_at_isolated_node(spark, tiny):
     assert [r.v for r in samplers.hop(g, at, "hop1").collect()] == [6]
 
 
+def test_draws_go_beyond_32_bits(spark):
+    from loomgraph.functions.rng import below
+
+    n = 1 << 40
+    got = [r.v for r in spark.range(400).select(below(F.lit(n), "t", "id").alias("v")).collect()]
+    assert all(0 <= v < n for v in got) and max(got) > n * 0.98 and len(set(got)) == 400
+
+
+def test_a_pool_grows_until_it_covers(spark, tiny):
+    nodes, edges = tiny
+    g = samplers.Prepared.of(graphs.induced_by_role(edges, nodes), nodes.where("role = 'tr'").select("id"))
+    pool, number = samplers.covering(samplers.vanilla_node, g, 6.0, 2, size=3)
+    assert pool.count() > 30 and number in (8, 16) and pool.select("sg").distinct().count() == number
+    half = samplers.vanilla_node(g, number // 2, size=3)
+    assert half.count() <= 30 and half.exceptAll(pool).count() == 0
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["edge_sampler", "norm_loss", "scaler_transform", "f1_single", "sage_layer", "loss_softmax"])
+@pytest.mark.parametrize("name", ["edge_sampler", "norm_loss", "scaler_transform", "f1_single", "sage_layer", "sage_mean", "gaan_gate", "jk_concat", "jk_max", "loss_softmax", "loss_softmax_weighted", "loss_sigmoid_weighted", "f1_threshold"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "lineitem", "documents", "labels", "embeddings"):
@@ -75,5 +92,5 @@ def test_against_sql(spark, name):
 
 
 def test_every_query_but_the_sequential_ones_has_sql():
-    assert set(plans.queries()) - set(plans.oracle_sql()) <= {"mrw_sampler", "train_step", "evaluate", "forward_full"}
+    assert set(plans.queries()) - set(plans.oracle_sql()) <= {"mrw_sampler", "train_epochs", "train_evaluate"}
     assert F is not None

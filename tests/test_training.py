@@ -3,8 +3,10 @@ import tempfile
 import zipfile
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
+from loomgraph.operators import config
 from loomgraph.operators import training as T
 from loomgraph.sources import files, graphs
 from loomgraph.streaming import visits
@@ -90,3 +92,62 @@ def test_streamed_visits_equal_batch(spark):
     visits.keep_visits(stream, f"{folder}/out", f"{folder}/state").awaitTermination()
     got = {r.id: r.c for r in visits.latest(spark.read.parquet(f"{folder}/out")).collect()}
     assert got == {r.v: r["count"] for r in samples.groupBy("v").count().collect()}
+
+
+def test_flag_gradient_with_decay_against_differences():
+    rng = np.random.default_rng(3)
+    weights = {k: w + (rng.normal(size=w.shape) if k[0] == "b" else 0) for k, w in T.initial(3, [4], 2, 2).items()}
+    args = (rng.normal(size=(5, 3)), rng.integers(0, 2, (5, 2)), rng.uniform(0.1, 1, 5), np.array([0, 1, 2]), np.array([1, 2, 3]), rng.uniform(0.2, 1, 3), 0.3)
+    _, grad = T.loss_and_gradient(weights, *args)
+    for name in weights:
+        for at in np.ndindex(weights[name].shape):
+            moved = []
+            for step in (1e-6, -1e-6):
+                other = weights | {name: weights[name].copy()}
+                other[name][at] += step
+                moved.append(T.loss_and_gradient(other, *args)[0])
+            assert abs((moved[0] - moved[1]) / 2e-6 - grad[name][at]) < 1e-5, (name, at)
+
+
+def test_fit_gives_the_best_weights_back(spark):
+    nodes = spark.createDataFrame([(i // 4, i, [float(i % 2), 1.0], [i % 2, 1 - i % 2], 0.25) for i in range(8)], "sg bigint, id bigint, x array<double>, y array<int>, lam double")
+    edges = spark.createDataFrame([(0, 0, 1, 1.0), (1, 5, 6, 1.0)], "sg bigint, src bigint, dst bigint, w double")
+    seen, scores = [], [0.2, 0.7, 0.5]
+
+    def validate(weights):
+        seen.append(weights)
+        return scores[len(seen) - 1]
+
+    got, told = T.fit(nodes, edges, T.initial(2, [4], 2), 3, validate, tempfile.mkdtemp(prefix="spark-best-") + "/w", together=2, rate=0.1)
+    assert all(np.array_equal(got[k], seen[1][k]) for k in got) and [t[2] for t in told] == scores and told[2][1] < told[0][1]
+
+
+def test_load_data(spark):
+    folder = tempfile.mkdtemp(prefix="spark-load-")
+    for name, dst in (("adj_full", [1, 2, 0, 0]), ("adj_train", [1, 1, 0, 0])):
+        at = [0, 2, 3, 4] if name == "adj_full" else [0, 1, 2, 2]
+        np.savez(f"{folder}/{name}.npz", indptr=np.array(at, np.int32), indices=np.array(dst[: at[-1]], np.int32), data=np.ones(at[-1], bool), shape=np.array([3, 3]), format=np.array(b"csr"))
+    np.save(f"{folder}/feats.npy", np.array([[1.0, 5.0], [3.0, 5.0], [9.0, 6.0]]))
+    for name, value in (("role", {"tr": [0, 1], "va": [2], "te": []}), ("class_map", {"0": 1, "1": 0, "2": 1})):
+        with open(f"{folder}/{name}.json", "w") as f:
+            json.dump(value, f)
+    graph, train = files.load_data(spark, folder)
+    assert {r.id: r.x for r in graph.features.collect()} == {0: [-1.0, 0.0], 1: [1.0, 0.0], 2: [7.0, 1.0]}
+    assert sorted(map(tuple, train.collect())) == [(0, 1), (1, 1)] and graph.edges.count() == 4 and graph.nodes.count() == 3
+
+
+def test_configuration():
+    c = config.configuration({"network": [{"dim": 8, "arch": "1-0-1", "bias": "bias"}], "params": [{"lr": 0.1}], "phase": [{"end": 5, "sampler": "rw", "num_root": 3, "depth": 2}]})
+    assert c.params["lr"] == 0.1 and c.params["weight_decay"] == 0 and c.network["aggr"] == "concat"
+    assert [(x.order, x.inputs, x.width) for x in c.layers(4)] == [(1, 4, 16), (0, 16, 8), (1, 8, 16)] and c.conv_layers(4) == [1, 2]
+    assert c.parameters(4, 3) == 2 * (4 + 1) * 8 + (16 + 1) * 8 + 2 * (8 + 1) * 8 + (16 + 1) * 3
+    for phase in ({"end": 5, "sampler": "rw", "depth": 2}, {"end": 5, "sampler": "other"}, {"sampler": "full_batch"}):
+        with pytest.raises(ValueError):
+            config.configuration({"phase": [phase]})
+
+
+def test_pruning_reaches_its_end(spark):
+    chain = [(i, i + 1) for i in range(6)] + [(10, 11), (11, 12), (12, 10)]
+    edges = graphs.symmetrize(spark.createDataFrame(chain, "src bigint, dst bigint"))
+    left = graphs.pruned(edges, 2, lambda d: d.checkpoint())
+    assert {r.src for r in left.collect()} == {10, 11, 12}
