@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, media, mixing, near_dedup, sharding, substring_dedup, suffix_lm, warc
+from . import chat_format, decontaminate, language_id, media, mixing, near_dedup, search, sharding, source_audit, substring_dedup, suffix_lm, warc
 from .common import new_path, staged, table, text_bytes
 
 SHARDS = 40
@@ -89,6 +89,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergences(table(spark, sf_dir, "documents").select("lang", "source", "text"))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search.search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
@@ -152,5 +160,39 @@ a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' O
 SELECT l.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN a ON a.doc_id = l.doc_id"""
 
 
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _terms_sql(text: str, inside: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), '{_UPPER}', '{_LOWER}'), '[{inside}\\x{{80}}-\\x{{10FFFF}}]+')"
+
+
+def _audit_sql() -> str:
+    share = lambda count, n: f"1 + (1000000000 * ({count} + 1)) // ({n} + v)"
+    return f"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_terms_sql("text", "a-z")} AS terms FROM documents),
+g AS (SELECT DISTINCT lang, source FROM d), t AS (SELECT i, lang, source, unnest(terms) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS count FROM t GROUP BY ALL HAVING count(DISTINCT i) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(count)::BIGINT AS whole FROM k GROUP BY lang),
+c AS (SELECT lang, source, term, count(*) AS count FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, coalesce(sum(count), 0)::BIGINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+p AS (SELECT lang, source, term, coalesce(count, 0) AS count, {share('coalesce(count, 0)', 'n')} AS p FROM n JOIN v USING (lang) JOIN (SELECT lang, term FROM k) USING (lang) LEFT JOIN c USING (lang, source, term)),
+q AS (SELECT lang, term, {share('count', 'whole')} AS q FROM k JOIN v USING (lang)),
+pairs AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0)::BIGINT AS value FROM g a JOIN g b ON b.lang = a.lang AND b.source <> a.source
+ LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum((x.p - y.p) * (x.p - y.p) // y.p) AS value FROM p x JOIN p y ON y.lang = x.lang AND y.term = x.term AND y.source <> x.source GROUP BY ALL) s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source),
+words AS (SELECT lang, source, term AS item, (p - q) * (p - q) // q AS value FROM p JOIN q USING (lang, term) WHERE count > 0 AND p > q)
+SELECT lang, source, part, item, value, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' FROM words) QUALIFY part = 'pair' OR rank <= 200"""
+
+
+def _search_sql(k: int = 10) -> str:
+    return f"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, {_terms_sql("text", "0-9a-z")} AS terms FROM documents),
+l AS (SELECT i, doc_id, len(terms)::BIGINT AS n, terms FROM d WHERE len(terms) > 0),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+t AS (SELECT i, term, count(*) AS tf FROM (SELECT i, unnest(terms) AS term FROM l) GROUP BY ALL),
+w AS (SELECT term, floor(1000 * ln((2.0::DOUBLE * docs + 2) / (2.0::DOUBLE * count(*) + 1)))::BIGINT AS w FROM t, a GROUP BY term, docs),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_terms_sql("text", "0-9a-z")}) AS term FROM benchmark WHERE item_id IS NOT NULL) GROUP BY ALL),
+s AS (SELECT item_id, i, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * docs) // total))))::BIGINT AS score FROM q JOIN t USING (term) JOIN w USING (term) JOIN l USING (i), a GROUP BY ALL)
+SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS FIRST))::INTEGER AS rank, doc_id, score FROM s JOIN l USING (i) WHERE score > 0 QUALIFY rank <= {k}"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": _warc_sql(), "op3_sharding": _sharding_sql(), "op5_chat": _chat_sql(), "op7_substring": _substring_sql()}
+    return {"op12_source_audit": _audit_sql(), "op13_search": _search_sql(), "op1_warc": _warc_sql(), "op3_sharding": _sharding_sql(), "op5_chat": _chat_sql(), "op7_substring": _substring_sql()}
