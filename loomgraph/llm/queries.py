@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, language_id, media, mixing, near_dedup, search, sharding, source_audit, substring_dedup, suffix_lm, warc
+from . import chat_format, decontaminate, language_id, media, mixing, near_dedup, run_index, search, sharding, source_audit, substring_dedup, suffix_lm, warc
 from .common import new_path, staged, table, text_bytes
 
 SHARDS = 40
@@ -89,6 +89,11 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op11_run_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = run_index.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_source_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_audit.divergences(table(spark, sf_dir, "documents").select("lang", "source", "text"))
 
@@ -160,6 +165,16 @@ a AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' O
 SELECT l.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM l LEFT JOIN a ON a.doc_id = l.doc_id"""
 
 
+def _run_index_sql(window: int = 200) -> str:
+    return f"""WITH d AS (SELECT row_number() OVER () AS i, doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, '')))::BIGINT AS n FROM documents),
+w AS (SELECT i, pos, md5(substr(h, 2 * pos + 1, {2 * window})) AS k FROM (SELECT i, h, unnest(range(0, n - {window - 1})) AS pos FROM d)),
+r AS (SELECT i, pos, coalesce(pos > (lag(pos) OVER o) + {window}, true) AS opens FROM (SELECT i, pos FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1) WINDOW o AS (PARTITION BY i ORDER BY pos)),
+s AS (SELECT i, min(pos) AS lo, max(pos) + {window} AS hi FROM (SELECT i, pos, sum(opens::INTEGER) OVER (PARTITION BY i ORDER BY pos) AS span FROM r) GROUP BY i, span),
+p AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY i ORDER BY lo), 0) AS at FROM s),
+a AS (SELECT i, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS rest, string_agg(substr(h, 2 * at + 1, 2 * (lo - at)), '' ORDER BY lo) AS kept FROM p JOIN d USING (i) GROUP BY i)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN a USING (i)"""
+
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -195,4 +210,4 @@ SELECT item_id, (row_number() OVER (PARTITION BY item_id ORDER BY score DESC, do
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op12_source_audit": _audit_sql(), "op13_search": _search_sql(), "op1_warc": _warc_sql(), "op3_sharding": _sharding_sql(), "op5_chat": _chat_sql(), "op7_substring": _substring_sql()}
+    return {"op11_run_index": _run_index_sql(), "op12_source_audit": _audit_sql(), "op13_search": _search_sql(), "op1_warc": _warc_sql(), "op3_sharding": _sharding_sql(), "op5_chat": _chat_sql(), "op7_substring": _substring_sql()}
