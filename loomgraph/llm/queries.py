@@ -170,8 +170,8 @@ def _run_index_sql(window: int = 200) -> str:
 w AS (SELECT i, pos, md5(substr(h, 2 * pos + 1, {2 * window})) AS k FROM (SELECT i, h, unnest(range(0, n - {window - 1})) AS pos FROM d)),
 r AS (SELECT i, pos, coalesce(pos > (lag(pos) OVER o) + {window}, true) AS opens FROM (SELECT i, pos FROM w QUALIFY count(*) OVER (PARTITION BY k) > 1) WINDOW o AS (PARTITION BY i ORDER BY pos)),
 s AS (SELECT i, min(pos) AS lo, max(pos) + {window} AS hi FROM (SELECT i, pos, sum(opens::INTEGER) OVER (PARTITION BY i ORDER BY pos) AS span FROM r) GROUP BY i, span),
-p AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY i ORDER BY lo), 0) AS at FROM s),
-a AS (SELECT i, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS rest, string_agg(substr(h, 2 * at + 1, 2 * (lo - at)), '' ORDER BY lo) AS kept FROM p JOIN d USING (i) GROUP BY i)
+p AS (SELECT *, coalesce(lag(hi) OVER (PARTITION BY i ORDER BY lo), 0) AS before FROM s),
+a AS (SELECT i, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans, max(hi) AS rest, string_agg(substr(h, 2 * before + 1, 2 * (lo - before)), '' ORDER BY lo) AS kept FROM p JOIN d USING (i) GROUP BY i)
 SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(rest, 0) + 1))) AS kept_sha256 FROM d LEFT JOIN a USING (i)"""
 
 

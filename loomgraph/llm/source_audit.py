@@ -52,7 +52,7 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def told() -> Iterator[pa.RecordBatch]:
         for (lang, source), found in count.items():
             mine = docs[lang, source]
-            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found)), "source": pa.array([source] * len(found)), "term": pa.array(list(found), pa.binary()), "count": pa.array(list(found.values()), pa.int64()), "docs": pa.array([mine[t] for t in found], pa.int64())})
+            yield pa.RecordBatch.from_pydict({"lang": pa.array([lang] * len(found), pa.string()), "source": pa.array([source] * len(found), pa.string()), "term": pa.array(list(found), pa.binary()), "count": pa.array(list(found.values()), pa.int64()), "docs": pa.array([mine[t] for t in found], pa.int64())})
         count.clear()
         docs.clear()
 
