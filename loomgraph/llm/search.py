@@ -6,8 +6,9 @@ one of them. Every item is a query; its lists are those of its distinct terms.
 1. Heads: the first k postings of every list. Added up by document, the k-th best sum of an item is a lower bound of its
    k-th best score.
 2. Threshold: of every list, all postings that contribute at least the bound over the number of the item's lists. A
-   document that no list reports is below the bound. The k-th best sum over what was fetched is a better lower bound;
-   a document stays a candidate if it can still reach it, were each list that did not report it just below the threshold.
+   document that no list reports is below the bound. Postings travel once, however many items want them, and what they
+   give to each item is added up where they arrive. A document stays a candidate if it can still reach the k-th best of
+   these sums, were each list that did not report it at its own maximum or just below the threshold.
 3. Look-up: the exact score of each candidate, from all of its item's lists.
 
 All is integer arithmetic but the weight of a term. A document is a row: rows that are repeated, or share a doc_id, rank on
@@ -19,7 +20,9 @@ score. Texts of any length are split piece by piece. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,11 +30,11 @@ from pyspark.sql import functions as F
 from .common import discard, released, staged
 from .terms import Splitter, values
 
-#: Rows up to which a table is broadcast: of lists (some dozen bytes each) and of candidate documents (eight bytes).
-#: Beyond, the same joins shuffle.
+#: Rows up to which lists (some dozen bytes each) and candidate documents (eight bytes) are sent to all tasks. Beyond, the
+#: same steps are joins that shuffle.
 SMALL = 200_000
-#: Postings that a task hands on at once.
-BATCH = 1 << 16
+#: Postings that a task hands on at once, and sums of documents and items that it holds.
+BATCH, CELLS = 1 << 16, 1 << 21
 
 Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
@@ -45,46 +48,116 @@ def _item_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_pydict({"item_id": batch.column(0).take(pa.array([i] * len(found), pa.int32())), "term": pa.array(list(found), pa.binary()), "times": pa.array(list(found.values()), pa.int64())})
 
 
-def _postings(wanted: frozenset[bytes] | None) -> Run:
-    """(row, text) -> (row, n, term, tf) of the wanted terms, and a row without term for each document that has any."""
+def _postings(wanted: dict[bytes, int] | None) -> Run:
+    """(row, doc_id, text) -> (row, doc_id, n, term, tf) of the wanted terms, by their numbers if these are given; a row without term, but with the doc_id, for each document that has any."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = Splitter(digits=True)
-        rows, sizes, terms, times = [], [], [], []
+        rows, ids, sizes, terms, times = [], [], [], [], []
+        kind = pa.null()
 
         def told() -> pa.RecordBatch:
-            made = pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "n": pa.array(sizes, pa.int64()), "term": pa.array(terms, pa.binary()), "tf": pa.array(times, pa.int64())})
-            for x in (rows, sizes, terms, times):
+            made = pa.RecordBatch.from_pydict({"row": pa.array(rows, pa.int64()), "doc_id": pa.array(ids, kind), "n": pa.array(sizes, pa.int64()), "term": pa.array(terms, pa.binary() if wanted is None else pa.int64()), "tf": pa.array(times, pa.int64())})
+            for x in (rows, ids, sizes, terms, times):
                 x.clear()
             return made
 
         for batch in batches:
-            for row, text in zip(batch.column(0).to_pylist(), values(batch.column(1)), strict=True):
+            kind = batch.schema.field(1).type
+            for row, doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), values(batch.column(2)), strict=True):
                 found = split.counts(text)
                 if not found:
                     continue
-                n, mine = found.total(), found.keys() if wanted is None else found.keys() & wanted
+                n, mine = found.total(), found.keys() if wanted is None else found.keys() & wanted.keys()
+                ids += [doc] + [None] * len(mine)
                 terms.append(None)
                 times.append(None)
-                terms += mine
-                times += [found[t] for t in mine] if wanted is not None else found.values()
+                terms += mine if wanted is None else [wanted[t] for t in mine]
+                times += [found[t] for t in mine]
                 rows += [row] * (len(mine) + 1)
                 sizes += [n] * (len(mine) + 1)
                 if len(rows) >= BATCH:
                     yield told()
-        yield told()
+        if rows:
+            yield told()
 
     return run
 
 
+def _first(k: int) -> Run:
+    """Postings in the order of (tid, falling part) -> the first k of each list in each batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tid = batch.column(0).to_numpy()
+            start = np.flatnonzero(np.append(True, tid[1:] != tid[:-1])) if len(tid) else np.zeros(0, np.int64)
+            yield batch.filter(pa.array(np.arange(len(tid)) - np.repeat(start, np.diff(np.append(start, len(tid)))) < k))
+
+    return run
+
+
+@dataclass
+class Lists:
+    """The lists of all items as arrays in the order of tid, and each item's bound and number of lists."""
+
+    first: np.ndarray  # of each tid's entries, and the end
+    item: np.ndarray
+    weight: np.ndarray
+    cap: np.ndarray  # the most that an entry adds to a document which it did not report
+    lists: np.ndarray
+    bound: np.ndarray
+    whole: np.ndarray  # the sum of an item's caps
+    k: int
+
+    def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, tid, part) in the order of row -> (item, row, low, high) of what may still be among an item's k best."""
+        items = len(self.lists)
+        best = np.zeros((0, items))
+
+        def summed(row: np.ndarray, tid: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
+            nonlocal best
+            names, at = np.unique(row, return_inverse=True)
+            times = self.first[tid + 1] - self.first[tid]
+            which = np.repeat(np.arange(len(tid)), times)
+            entry = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times) + self.first[tid][which]
+            item, gain = self.item[entry], self.weight[entry] * part[which]
+            told = gain * self.lists[item] >= self.bound[item]
+            cell, shape = (at[which] * items + item)[told], (len(names), items)
+            # sums of integers far below 2**53
+            low = np.bincount(cell, gain[told], len(names) * items).reshape(shape)
+            high = low + self.whole - np.bincount(cell, self.cap[entry[told]], len(names) * items).reshape(shape)
+            both = np.concatenate([best, low])
+            best = np.partition(both, len(both) - self.k, axis=0)[-self.k :] if len(both) > self.k else both
+            least = np.maximum(self.bound, best.min(0) if len(best) == self.k else 0)
+            doc, item = np.nonzero((low > 0) & (high >= least))
+            return pa.RecordBatch.from_pydict({"item": item.astype(np.int32), "row": names[doc], "low": low[doc, item].astype(np.int64), "high": high[doc, item].astype(np.int64)})
+
+        held: list[tuple[np.ndarray, ...]] = []
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            if not batch.num_rows:
+                continue
+            row, tid, part = (np.concatenate(c) for c in zip(*held, strict=True))
+            starts = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            # documents together until they have CELLS sums or summands; the last may go on in the next batch
+            each = np.maximum(np.add.reduceat(self.first[tid + 1] - self.first[tid], starts), items)
+            block = np.cumsum(each)[:-1] // CELLS
+            cuts = [0, *starts[1:][np.flatnonzero(np.append(block[1:] != block[:-1], True))].tolist()] if len(block) else [0]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                yield summed(row[lo:hi], tid[lo:hi], part[lo:hi])
+            held = [(row[cuts[-1] :], tid[cuts[-1] :], part[cuts[-1] :])]
+        if held and len(held[0][0]):
+            yield summed(*(np.concatenate(c) for c in zip(*held, strict=True)))
+
+
 def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= SMALL else df
 
 
 def _kth(sums: DataFrame, k: int) -> DataFrame:
-    """(item_id, bound): the k-th best sum of each item that has as many."""
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("low")))
-    return sums.withColumn("place", place).where(F.col("place") == k).select("item_id", F.col("low").alias("bound"))
+    """(item, bound): the k-th best sum of each item that has as many."""
+    place = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("low")))
+    return sums.withColumn("place", place).where(F.col("place") == k).select("item", F.col("low").alias("bound"))
 
 
 def contribution(tf: Column, n: Column, docs: int, terms: int) -> Column:
@@ -95,61 +168,95 @@ def contribution(tf: Column, n: Column, docs: int, terms: int) -> Column:
     return F.call_function("div", F.lit(1_000_000_000) * tf, F.lit(1000) * tf + F.lit(8) * size)
 
 
+def _numbered(df: DataFrame, name: str) -> DataFrame:
+    """df with gapless numbers from 0; staged."""
+    placed = staged(df.withColumn("at", F.monotonically_increasing_id()), f"{name}-placed")
+    part = F.shiftright("at", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # one row a task that wrote
+    before = sizes.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    made = placed.join(F.broadcast(before), part == F.col("part")).withColumn(name, F.col("before") + F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
+    made = staged(made.drop("at", "part", "before"), name)
+    discard(placed)
+    return made
+
+
 def index(docs: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(names, postings, weights) of the wanted terms: (row, doc_id), (term, part, row) in the order of term and falling part, (term, weight)."""
-    few = wanted.select("term").distinct()
-    known = few.limit(SMALL + 1).collect()
-    held = frozenset(bytes(r.term) for r in known) if len(known) <= SMALL else None
-    # numbers by partition and place in it: a task that runs again gives the same ones
+    """(names, postings, weights) of the wanted (tid, term): (row, doc_id), (tid, part, row) in the order of tid and falling part, (tid, weight)."""
+    known = wanted.limit(SMALL + 1).collect()
+    held = {bytes(r.term): r.tid for r in known} if len(known) <= SMALL else None
+    # rows are numbered once, on their way into the table that all else is read from
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    names = staged(rows.select("row", "doc_id"), "names", "zstd")
-    hits = rows.select("row", "text").mapInArrow(released(_postings(held)), "row long, n long, term binary, tf long")
-    hits = staged(hits, "hits", "zstd")
+    kind, term = docs.schema["doc_id"].dataType.simpleString(), "binary" if held is None else "long"
+    hits = staged(rows.mapInArrow(released(_postings(held)), f"row long, doc_id {kind}, n long, term {term}, tf long"), "hits", "zstd")
+    names = staged(hits.where("term is null").select("row", "doc_id"), "names", "zstd")
     total = hits.where("term is null").agg(F.count(F.lit(1)).alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("terms")).first()
     met = hits.where("term is not null")
-    if held is None:
-        met = met.join(few, "term", "left_semi")
-    weights = met.groupBy("term").agg(F.count(F.lit(1)).alias("df")).select("term", F.floor(1000 * F.log((2.0 * total.docs + 2) / (2.0 * F.col("df") + 1))).cast("long").alias("weight"))
+    met = met.withColumnRenamed("term", "tid") if held is not None else met.join(wanted, "term").drop("term")
+    weights = met.groupBy("tid").agg(F.count(F.lit(1)).alias("df")).select("tid", F.floor(1000 * F.log((2.0 * total.docs + 2) / (2.0 * F.col("df") + 1))).cast("long").alias("weight"))
     weights = staged(weights.where("weight > 0"), "weights")
-    parts = met.select("term", contribution(F.col("tf"), F.col("n"), total.docs, total.terms).alias("part"), "row").where("part > 0")
-    postings = staged(parts.repartitionByRange("term", F.desc("part")).sortWithinPartitions("term", F.desc("part")), "postings", "zstd")
+    parts = met.select("tid", contribution(F.col("tf"), F.col("n"), total.docs, total.terms).alias("part"), "row").where("part > 0")
+    postings = staged(parts.repartitionByRange("tid", F.desc("part")).sortWithinPartitions("tid", F.desc("part")), "postings", "zstd")
     discard(hits)
     return names, postings, weights
 
 
+def _cap() -> Column:
+    """What a list that did not report a document can add to it at most: its best posting, or just less than the threshold."""
+    return F.least(F.col("weight") * F.col("top"), F.greatest(F.expr("(bound - 1) div lists"), F.lit(0)))
+
+
+def _arrays(lists: DataFrame, k: int) -> Lists:
+    """Of few lists: the whole table as arrays; tids count from 0."""
+    t = lists.select("tid", "item", "weight", _cap().alias("cap"), "lists", "bound").orderBy("tid").toArrow()
+    tid, item, weight, cap, number, bound = (t[c].to_numpy() for c in t.column_names)
+    items, tids = int(item.max(initial=-1)) + 1, int(tid.max(initial=-1)) + 1
+    each, bounds = np.ones(items, np.int64), np.zeros(items, np.int64)
+    each[item], bounds[item] = number, bound
+    return Lists(np.searchsorted(tid, np.arange(tids + 1)), item, weight, cap, each, bounds, np.bincount(item, cap, items), k)
+
+
+def _reported(postings: DataFrame, lists: DataFrame, number: int, k: int) -> DataFrame:
+    """(item, row, low, high): sums of the postings that reach their thresholds, and what the whole sums can be at most."""
+    gain = F.col("weight") * F.col("part")
+    if number > SMALL:
+        met = postings.join(lists, "tid").where(gain * F.col("lists") >= F.col("bound")).withColumn("cap", _cap())
+        sums = met.groupBy("item", "row").agg(F.sum(gain).alias("low"), F.sum("cap").alias("seen"))
+        whole = lists.groupBy("item").agg(F.sum(_cap()).alias("whole"))
+        return sums.join(whole, "item").select("item", "row", "low", (F.col("low") + F.col("whole") - F.col("seen")).alias("high"))
+    least = F.broadcast(lists.groupBy("tid").agg(F.min(F.ceil(F.col("bound") / (F.col("lists") * F.col("weight"))) - 1).alias("least")))
+    fetched = postings.join(least, "tid").where("part >= least").select("row", "tid", "part")
+    return fetched.repartition("row").sortWithinPartitions("row").mapInArrow(released(_arrays(lists, k).run), "item int, row long, low long, high long")
+
+
 def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each item with a score above 0, equal scores by doc_id."""
     kind = items.schema["item_id"].dataType.simpleString()
-    wanted = items.where("item_id is not null").select("item_id", "text").mapInArrow(_item_terms, f"item_id {kind}, term binary, times long")
-    wanted = staged(wanted.groupBy("item_id", "term").agg(F.sum("times").alias("times")), "item_terms")
-    names, postings, weights = index(docs, wanted)
-    lists = wanted.join(weights, "term").select("item_id", "term", (F.col("times") * F.col("weight")).alias("weight"))
-    lists = staged(lists.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("item_id"))), "lists")  # an item's distinct terms
-    number = lists.count()
-    gain = F.col("weight") * F.col("part")
+    asked = items.where("item_id is not null").select("item_id", "text").mapInArrow(_item_terms, f"item_id {kind}, term binary, times long")
+    asked = staged(asked.groupBy("item_id", "term").agg(F.sum("times").alias("times")), "item_terms")
+    terms = _numbered(asked.select("term").distinct(), "tid")
+    numbers = _numbered(asked.select("item_id").distinct(), "item")
+    names, postings, weights = index(docs, terms)
+
+    place = F.row_number().over(Window.partitionBy("tid").orderBy(F.desc("part")))
+    heads = staged(postings.mapInArrow(_first(k), postings.schema).withColumn("place", place).where(F.col("place") <= k), "heads")
+    tops = heads.where("place = 1").select("tid", F.col("part").alias("top"))
+    lists = asked.join(terms, "term").join(weights, "tid").join(numbers, "item_id").join(tops, "tid")
+    lists = lists.select(F.col("item").cast("int").alias("item"), F.col("tid").cast("int").alias("tid"), (F.col("times") * F.col("weight")).alias("weight"), "top")
+    bare = staged(lists.withColumn("lists", F.count(F.lit(1)).over(Window.partitionBy("item"))), "lists")  # an item's distinct terms
+    number, gain = bare.count(), F.col("weight") * F.col("part")
+    first = _kth(heads.join(_small(bare, number), "tid").groupBy("item", "row").agg(F.sum(gain).alias("low")), k)
+    lists = staged(bare.join(first, "item", "left").withColumn("bound", F.coalesce("bound", F.lit(0))), "bounds")
 
-    place = F.row_number().over(Window.partitionBy("term").orderBy(F.desc("part")))
-    heads = staged(postings.withColumn("place", place).where(F.col("place") <= k).drop("place"), "heads")
-    sums = heads.join(_small(lists, number), "term").groupBy("item_id", "row").agg(F.sum(gain).alias("low"))
-    first = _kth(sums, k)
-    bare, lists = lists, staged(lists.join(first, "item_id", "left").withColumn("bound", F.coalesce("bound", F.lit(0))), "bounds")
-
-    fetched = postings.join(_small(lists, number), "term").where(gain * F.col("lists") >= F.col("bound"))
-    # the most that a list can hold which has not reported a document
-    unseen = F.greatest(F.expr("(bound - 1) div lists"), F.lit(0))
-    seen = fetched.groupBy("item_id", "row").agg(F.sum(gain).alias("low"), (F.first("lists") - F.count(F.lit(1))).alias("left"), F.first(unseen).alias("unseen"))
-    seen = staged(seen, "seen")
-    second = _kth(seen, k).withColumnRenamed("bound", "better")
-    able = seen.join(second, "item_id", "left").where(F.col("low") + F.col("left") * F.col("unseen") >= F.coalesce("better", F.lit(0)))
-    candidates = staged(able.select("item_id", "row"), "candidates")
-    discard(seen, heads)
+    seen = staged(_reported(postings, lists, number, k), "seen")
+    better = _kth(seen, k)
+    candidates = staged(seen.join(better, "item", "left").where(F.col("high") >= F.coalesce("bound", F.lit(0))).select("item", "row"), "candidates")
 
     some = candidates.select("row").distinct()
     near = postings.join(_small(some, candidates.count()), "row", "left_semi")
-    asked = candidates.join(_small(lists.select("item_id", "term", "weight"), number), "item_id")
-    scores = asked.join(near, ["row", "term"]).groupBy("item_id", "row").agg(F.sum(gain).alias("score"))
-    named = scores.join(names, "row")
-    rank = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
-    best = staged(named.withColumn("rank", rank).where(F.col("rank") <= k).select("item_id", "rank", "doc_id", "score"), "found")
-    discard(wanted, names, postings, weights, bare, lists, candidates)
+    wanted = candidates.join(_small(lists.select("item", "tid", "weight"), number), "item")
+    scores = wanted.join(near, ["row", "tid"]).groupBy("item", "row").agg(F.sum(gain).alias("score"))
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(F.desc("score"), F.asc_nulls_first("doc_id")))
+    best = scores.join(names, "row").withColumn("rank", rank).where(F.col("rank") <= k)
+    best = staged(best.join(numbers, "item").select("item_id", "rank", "doc_id", "score"), "found")
+    discard(asked, terms, numbers, names, postings, weights, heads, bare, lists, seen, candidates)
     return best
