@@ -16,7 +16,10 @@ SIZES = {"mrw": ("size_subgraph", "size_frontier"), "rw": ("num_root", "depth"),
 
 @dataclass
 class Layer:
-    """One layer: neighbours up to ``order`` steps away, each hop with weights of inputs x outputs."""
+    """One layer: neighbours up to ``order`` steps away, each hop with weights of inputs x outputs.
+
+    kind names it in the registry of layers: order (sums over neighbours), attention or gated.
+    """
 
     order: int
     inputs: int
@@ -25,15 +28,23 @@ class Layer:
     bias: str
     aggr: str
     heads: int = 1
+    kind: str = "order"
+    gate: int = 64
 
     @property
     def width(self) -> int:
         return self.outputs * (self.order + 1 if self.aggr == "concat" else 1)
 
     def parameters(self) -> int:
-        """Weights, biases, and scales and offsets if outputs are normalised; with attention a vector for both ends of each hop but the first."""
-        each = self.outputs * (self.inputs + 1 + (2 if self.bias != "bias" else 0))
-        return (self.order + 1) * each + (self.order * 2 * self.outputs if self.heads > 1 else 0)
+        """Weights and biases, and scales and offsets if outputs are normalised.
+
+        With attention, biases do not count, scales and offsets always do, and each hop but the first has a vector for
+        both ends of an edge; gates add the weights of the pooled and of the joined inputs.
+        """
+        if self.kind == "order":
+            return (self.order + 1) * self.outputs * (self.inputs + 1 + (2 if self.bias != "bias" else 0))
+        found = (self.order + 1) * self.outputs * (self.inputs + 2) + self.order * 2 * self.outputs
+        return found + (self.inputs * self.gate + (2 * self.inputs + self.gate) * self.heads if self.kind == "gated" else 0)
 
 
 @dataclass
@@ -45,15 +56,23 @@ class Config:
     def layers(self, inputs: int) -> list[Layer]:
         """The layers of the architecture, such as 1-0-1: a number is a layer's order."""
         net, found = self.network, []
+        kind = "order" if "attention" not in net else "gated" if net.get("gated_attention") else "attention"
         for order in map(int, str(net["arch"]).split("-")):
-            found.append(Layer(order, found[-1].width if found else inputs, net["dim"], net["act"], net["bias"], net["aggr"], int(net.get("attention", 1))))
+            found.append(Layer(order, found[-1].width if found else inputs, net["dim"], net["act"], net["bias"], net["aggr"], int(net.get("attention", 1)), kind, int(net.get("dim_gate", 64))))
         return found
 
     def conv_layers(self, inputs: int) -> list[int]:
-        """Numbers of the layers whose outputs a last layer over all of them reads: the one before each further layer with neighbours, and the last."""
+        """Numbers of the layers whose outputs a last layer over all of them reads.
+
+        Those are the layer before each further one with neighbours, and the last; where no two of them that follow each
+        other have the same order, they are the layers of order 1 instead.
+        """
         orders = [layer.order for layer in self.layers(inputs)]
         with_neighbours = [n for n, order in enumerate(orders) if order >= 1]
-        return [n - 1 for n in with_neighbours[1:]] + [len(orders) - 1]
+        found = [n - 1 for n in with_neighbours[1:]] + [len(orders) - 1]
+        if any(orders[a] == orders[b] for a, b in zip(found, found[1:], strict=False)):
+            return found
+        return [n for n, order in enumerate(orders) if order == 1]
 
     def classifier(self, inputs: int, classes: int) -> Layer:
         return Layer(0, self.layers(inputs)[-1].width, classes, "I", "bias", "mean")

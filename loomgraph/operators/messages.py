@@ -32,12 +32,12 @@ def relu(x: DataFrame) -> DataFrame:
     return x.withColumn("v", F.greatest("v", F.lit(0)))
 
 
-def hops_mean(parts: list[DataFrame]) -> DataFrame:
-    """Sum of equally wide blocks, place by place."""
+def hops_mean(parts: list[DataFrame], more: float = 0.0) -> DataFrame:
+    """Sum of equally wide blocks, place by place; more is added before the sums are rounded."""
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.groupBy("id", "j").agg(F.round(F.sum("v"), 6).alias("v"))
+    return out.groupBy("id", "j").agg(F.round(F.sum("v") + more, 2).alias("v"))
 
 
 def hop_concat(parts: list[DataFrame], width: int) -> DataFrame:

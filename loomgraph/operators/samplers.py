@@ -30,8 +30,12 @@ class Prepared:
     deg: DataFrame
 
     @staticmethod
-    def of(edges: DataFrame, train_ids: DataFrame) -> Prepared:
-        return Prepared(ranked(train_ids.select("id"), "id", "r"), indexed(edges, train_ids), degrees(edges, train_ids))
+    def of(edges: DataFrame, train_ids: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = lambda df, name: df) -> Prepared:
+        """keep() may write a relation down before the next one is built on it."""
+        ids = keep(ranked(train_ids.select("id"), "id", "r"), "ids")
+        edges = keep(edges, "train_edges")
+        deg = keep(degrees(edges, ids), "deg")
+        return Prepared(ids, keep(indexed(edges, deg), "edges"), deg)
 
 
 def draws(like: DataFrame, samples: int, size: int) -> DataFrame:

@@ -11,9 +11,11 @@ from ..functions import arrays as A
 from ..functions.rng import u32
 from ..operators import messages as M
 from ..operators import metrics as X
+from ..operators import network as L
 from ..operators import norms as N
 from ..operators import samplers as S
 from ..operators import training as R
+from ..operators import wide as W
 from ..operators.windows import local_ids, running_total
 from ..sources import graphs as G
 from . import tables as T
@@ -34,6 +36,10 @@ def _deg(c: T.Context) -> DataFrame:
     return G.degrees(c.train_edges, c.train_ids)
 
 
+def _around(c: T.Context) -> DataFrame:
+    return W.gathered(c.graph.edges, c.graph.arrays, 4)
+
+
 simple(
     copurchase_edges=lambda c: c.graph.edges,
     symmetrize=lambda c: G.document_graph(c.spark, c.dir),
@@ -75,11 +81,11 @@ simple(
     gather_features=lambda c: c.walks()[1].withColumnRenamed("v", "id").join(c.graph.features, "id").select("sg", "id", "j", "v"),
     gather_labels=lambda c: c.walks()[1].withColumnRenamed("v", "id").join(c.graph.labels, "id").select("sg", "id", "y"),
     label_alignment=lambda c: c.graph.labels.join(c.graph.nodes, "id", "full_outer").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("y").isNull() | F.col("role").isNull(), 1).otherwise(0)).cast("bigint").alias("unmatched")),
-    spmm_1hop=lambda c: M.neighbour_sum(c.graph.edges, c.graph.features),
-    neighbor_mean=lambda c: M.neighbour_mean(c.graph.edges, c.graph.features),
-    spmm_2hop=lambda c: M.neighbour_sum(c.graph.edges, M.neighbour_sum(c.graph.edges, c.graph.features)),
-    neighbor_max_pool=lambda c: M.neighbour_max(c.train_edges, c.graph.features),
-    hop_concat=lambda c: M.hop_concat([c.graph.features.select("id", "j", "v"), M.neighbour_sum(c.graph.edges, c.graph.features)], 4),
+    spmm_1hop=lambda c: W.long(_around(c)),
+    neighbor_mean=lambda c: W.long(W.averaged(c.graph.edges, c.graph.arrays, 4)),
+    spmm_2hop=lambda c: W.long(W.gathered(c.graph.edges, _around(c), 4)),
+    neighbor_max_pool=lambda c: W.long(W.filled(c.graph.arrays.select("id"), W.largest(c.train_edges, c.graph.arrays, 4), 4, "x", "bigint")),
+    hop_concat=lambda c: M.hop_concat([c.graph.features.select("id", "j", "v"), W.long(_around(c))], 4),
     dense_layer=lambda c: M.dense(c.graph.features, T.weights(c.spark, 4, 3), 7),
     relu_rows=lambda c: M.relu(M.dense(c.graph.features, T.weights(c.spark, 4, 3), 7)),
     reduce_sum_axis0=lambda c: c.graph.features.groupBy("j").agg(F.sum("v").cast("bigint").alias("v")),
@@ -188,24 +194,32 @@ simple(
     row_layer_norm=lambda c: _long(_vectors(c), A.layer_norm(F.col("x")), 6),
     loss_softmax=lambda c: _vectors(c).select("id", F.round(F.ln(A.total(F.transform("x", lambda v: F.exp(v)))) - F.element_at("x", F.col("y") + 1), 9).alias("loss")),
     loss_sigmoid=lambda c: c.scores().select("id", "j", F.round(F.greatest(F.col("v") / 1000, F.lit(0.0)) - F.col("v") / 1000 * (F.col("j") == F.col("y")).cast("int") + F.ln(1 + F.exp(-F.abs(F.col("v") / 1000))), 9).alias("loss")),
-    loss_grad=lambda c: _vectors(c).select("id", "y", F.posexplode(A.softmax(F.col("x"))).alias("j", "p")).select("id", "j", F.round(F.col("p") - (F.col("j") == F.col("y")).cast("int"), 9).alias("v")),
+    loss_grad=lambda c: _vectors(c).select("id", "y", F.posexplode(A.softmax(F.col("x"))).alias("j", "p")).crossJoin(F.broadcast(c.table("part").agg(F.count(F.lit(1)).alias("n")))).select("id", "j", F.round((F.col("p") - (F.col("j") == F.col("y")).cast("int")) / F.col("n"), 12).alias("v")),
     batch_norm=lambda c: _batch_norm(c),
     matmul=lambda c: M.matmul(f := c.graph.features.groupBy((F.col("id") % 4).cast("int").alias("i"), "j").agg(F.sum("v").alias("v")), f),
-    sage_layer=lambda c: M.relu(M.hop_concat([M.dense(c.graph.features, T.weights(c.spark, 4, 3), 1), M.dense(M.neighbour_sum(c.graph.edges, c.graph.features), T.weights(c.spark, 4, 3), 1)], 3)),
+    sage_layer=lambda c: M.relu(M.hop_concat([M.dense(c.graph.features, T.weights(c.spark, 4, 3), 1), M.dense(W.long(_around(c)), T.weights(c.spark, 4, 3), 1)], 3)),
     gat_attention=lambda c: M.attention(c.train_edges, _hidden(c), *_vectors2(c)),
     gaan_gate=lambda c: _gate(c),
-    jk_concat=lambda c: M.relu(M.dense(M.hop_concat([_hidden(c), _summed(c)], 3), T.weights(c.spark, 6, 3), 1)),
-    jk_max=lambda c: M.relu(M.dense(_hidden(c).withColumnRenamed("v", "a").join(_summed(c), ["id", "j"]).select("id", "j", F.greatest("a", "v").alias("v")), T.weights(c.spark, 3, 3), 1)),
-    sage_mean=lambda c: M.hops_mean([_dense(c, 3, M.relu, h) for h in (_double(_hidden(c)), _averaged(c))]),
+    jk_concat=lambda c: _row_norm(M.relu(M.dense(M.hop_concat([_hidden(c), _summed(c)], 3), T.weights(c.spark, 6, 3), 1))),
+    jk_max=lambda c: _row_norm(M.relu(M.dense(_hidden(c).withColumnRenamed("v", "a").join(_summed(c), ["id", "j"]).select("id", "j", F.greatest("a", "v").alias("v")), T.weights(c.spark, 3, 3), 1))),
+    sage_mean=lambda c: M.hops_mean([_dense(c, 3, M.relu, h) for h in (_double(_hidden(c)), _averaged(c))], T.OFF_HALVES),
     loss_softmax_weighted=lambda c: _weighted(c, _vectors(c).select("id", (A.log_sum_exp(F.col("x")) - F.element_at("x", F.col("y") + 1)).alias("loss"))),
     loss_sigmoid_weighted=lambda c: _weighted(c, c.scores().select("id", (F.greatest(F.col("v") / 1000, F.lit(0.0)) - F.col("v") / 1000 * (F.col("j") == F.col("y")).cast("int") + F.ln(1 + F.exp(-F.abs(F.col("v") / 1000)))).alias("loss"))),
     f1_threshold=lambda c: X.f1(X.confusion(c.scores().select(F.col("j").alias("cls"), (F.col("j") == F.col("y")).cast("int").alias("y"), (1 / (1 + F.exp(-F.col("v") / 1000)) > 0.5).cast("int").alias("p")))),
-    dropout_rows=lambda c: c.graph.features.where(u32("drop", "id", "j") % 100 >= 20).select("id", "j", (F.col("v") / 0.8).alias("v")),
+    dropout_rows=lambda c: c.graph.features.select("id", "j", F.when(u32("drop", "id", "j") % 100 >= 20, F.col("v") / 0.8).otherwise(0.0).alias("v")),
 )
 
 
+def _row_norm(x: DataFrame) -> DataFrame:
+    """Each node's row less its mean and over its deviation."""
+    fit = x.groupBy("id").agg((F.sum("v") / F.count(F.lit(1))).alias("mean"), F.array_sort(F.collect_list(F.struct("j", "v"))).alias("x"))  # a row's few columns
+    far = fit.select("id", F.transform("x", lambda p: F.struct(p["j"].alias("j"), (p["v"] - F.col("mean")).alias("d"))).alias("x"))
+    var = A.total(F.transform("x", lambda p: p["d"] * p["d"])) / F.size("x")
+    return far.select("id", var.alias("var"), F.inline("x")).select("id", "j", F.round(F.col("d") / F.sqrt(F.col("var") + F.lit(1e-9)), 4).alias("v"))
+
+
 def _hidden(c: T.Context) -> DataFrame:
-    return M.relu(M.dense(c.graph.features.where("j in (0, 3)"), T.weights(c.spark, 4, 3), 1))
+    return M.relu(M.dense(c.graph.features, T.weights(c.spark, 4, 3), 1))
 
 
 def _vectors2(c: T.Context) -> tuple[DataFrame, DataFrame]:
@@ -239,7 +253,7 @@ def _gate(c: T.Context) -> DataFrame:
     h = _hidden(c)
     pooled = M.neighbour_max(c.train_edges, M.dense(h, T.weights(c.spark, 3, 3), 0))
     wide = M.hop_concat([_double(h), _double(pooled), _averaged(c)], 3)
-    return M.dense(wide, T.weights(c.spark, 9, 2), 0).select("id", "j", F.round("v", 6).alias("v"))
+    return M.dense(wide, T.weights(c.spark, 9, 2), 0).select("id", "j", F.round(F.col("v") + T.OFF_HALVES, 2).alias("v"))
 
 
 def _weighted(c: T.Context, losses: DataFrame) -> DataFrame:
@@ -265,10 +279,11 @@ def runs_mean_std(c: T.Context) -> DataFrame:
 
 @query
 def best_epoch(c: T.Context) -> DataFrame:
-    """Epochs that strictly beat all before them."""
-    m = c.spark.range(50).select(F.col("id").alias("epoch"), (u32("epoch", "id") % 1000).alias("f1"))
-    best = F.max("f1").over(Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))
-    return m.withColumn("best", best).where("best is null or f1 > best").select("epoch", "f1")
+    """Epochs whose score strictly beats all before them; here the hits of fifty epochs of hashed predictions over all parts."""
+    y = c.scores().select("id", "y").distinct()
+    told = y.crossJoin(F.broadcast(c.spark.range(50).withColumnRenamed("id", "epoch"))).groupBy("epoch").agg(F.sum((u32("epoch", "epoch", "id") % T.CLASSES == F.col("y")).cast("int")).alias("hits"))
+    best = F.max("hits").over(Window.orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1))  # fifty rows
+    return told.withColumn("best", best).where("best is null or hits > best").select("epoch", "hits")
 
 
 @query
@@ -327,6 +342,16 @@ def kcore_prune(c: T.Context) -> DataFrame:
     return e
 
 
+def _network(c: T.Context, name: str) -> DataFrame:
+    """(id, j, v): the outputs of one layer, with weights by formula, on the whole graph: scaled features, mean over neighbours."""
+    layer, weights = T.LAYERS[name]
+    nodes = W.arrays(QUERIES["scaler_transform"](c), 4)
+    return W.long(L.outputs(layer, weights(), nodes, N.row_normalized(c.graph.edges))).select("id", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
+simple(**{name: lambda c, name=name: _network(c, name) for name in T.LAYERS})
+
+
 def _trained(c: T.Context) -> tuple[dict, list[tuple[int, float]], DataFrame]:
     """Weights and losses after some epochs over the pool of walks, and the scaled features."""
     pool, scaled = c.walks()[1].withColumnRenamed("v", "id"), QUERIES["scaler_transform"](c)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions.rng import below_sql as draw
 from ..functions.rng import u32_sql as u
+from ..operators.config import Layer
 from . import tables as T
 
 _S, _R, _D, _N = T.SAMPLES, T.ROOTS, T.DEPTH, T.DRAWS
@@ -43,7 +44,7 @@ RELATIONS: dict[str, str] = {
     "ft": "SELECT j, sum(v)::DOUBLE / count(*) AS mean, CASE WHEN sp = 0 THEN 1.0::DOUBLE ELSE round(sqrt(sp::DOUBLE) / count(*), 6) END AS scale FROM (SELECT *, count(*) OVER (PARTITION BY j) * sum(v::HUGEINT * v) OVER (PARTITION BY j) - (sum(v::HUGEINT) OVER (PARTITION BY j)) * (sum(v::HUGEINT) OVER (PARTITION BY j)) AS sp FROM feat WHERE id IN (SELECT src FROM et)) GROUP BY j, sp",
     "sp1": "SELECT src AS id, j, sum(v)::BIGINT AS v FROM ef JOIN feat ON id = dst GROUP BY ALL",
     "wm": "SELECT a.range::INTEGER AS i, b.range::INTEGER AS o, ((a.range + 1) * (b.range + 2) % 5 - 2)::BIGINT AS w FROM range(9) a, range(3) b",
-    "h": "SELECT id, o AS j, greatest(sum(v * w)::BIGINT + 1, 0) AS v FROM feat JOIN wm ON i = j WHERE j IN (0, 3) GROUP BY ALL",
+    "h": "SELECT id, o AS j, greatest(sum(v * w)::BIGINT + 1, 0) AS v FROM feat JOIN wm ON i = j GROUP BY ALL",
     "hs": "SELECT src AS id, j, sum(v)::BIGINT AS v FROM et JOIN h ON h.id = dst GROUP BY ALL",
     "hm": "SELECT h.id, h.j, coalesce(m, 0)::BIGINT AS v FROM h LEFT JOIN (SELECT src AS id, j, max(v) AS m FROM et JOIN h ON h.id = dst GROUP BY ALL) x ON x.id = h.id AND x.j = h.j",
     "gl": "SELECT id, CASE WHEN s < 0 THEN s ELSE s * 5 END AS s FROM (SELECT id, sum(v * (j + 1))::BIGINT AS s FROM h GROUP BY id)",
@@ -60,12 +61,56 @@ RELATIONS: dict[str, str] = {
     "k3": "SELECT src, dst FROM k2 WHERE src IN (SELECT src FROM k2 GROUP BY src HAVING count(*) >= 90) AND dst IN (SELECT src FROM k2 GROUP BY src HAVING count(*) >= 90)",
     "wd": "SELECT p_partkey AS id, unnest(string_split(p_name, ' ')) AS word FROM part",
     "vo": f"SELECT word, j, {u('vec', 'word', 'j')} % 1000 AS v FROM (SELECT word, unnest(range(4))::INTEGER AS j FROM (SELECT DISTINCT word FROM wd) WHERE {u('known', 'word')} % 5 > 0)",
+    "an": "SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM ef",
+    "fs": "SELECT id, j, round((v - mean) / scale, 4) AS v FROM feat JOIN ft USING (j)",
     "er": "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings",
 }
 
 _F1 = "round(CASE WHEN sum(2*tp+fp+fn) = 0 THEN 0 ELSE 2.0::DOUBLE * sum(tp) / sum(2*tp+fp+fn) END, 9) AS f1_micro, round(avg(CASE WHEN 2*tp+fp+fn = 0 THEN 0 ELSE 2.0::DOUBLE * tp / (2*tp+fp+fn) END), 9) AS f1_macro"
 _BOTH = lambda q: f"SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FROM ({q}) UNION ALL SELECT b, a FROM ({q}))"
 
+_ROWS = lambda q: f"SELECT id, j, round((v - m) / sqrt(avg((v - m) * (v - m)) OVER (PARTITION BY id) + 1e-9::DOUBLE), 4) AS v FROM (SELECT id, j, v, sum(v) OVER (PARTITION BY id) / count(*) OVER (PARTITION BY id)::DOUBLE AS m FROM ({q}))"
+
+
+def _layer_sql(layer: Layer) -> str:
+    """A layer over scaled features fs and means over neighbours an, each hop a relation of (id, c, v)."""
+    f = lambda name, **at: "(" + T.FORMULAS[name].format(**({k: "0" for k in "oichk"} | at)) + ")::DOUBLE"
+    d, wide, ctes = layer.outputs // layer.heads, layer.outputs, []
+
+    def relation(name: str, select: str) -> str:
+        ctes.append(f"{name} AS MATERIALIZED ({select})")
+        return name
+
+    def dense(source: str, o: int) -> str:
+        return f"SELECT id, c, greatest(sum(v * {f('w', o=str(o), i='j', c='c')}) + {f('b', o=str(o), c='c')}, 0) AS v FROM {source}, (SELECT range AS c FROM range({wide})) GROUP BY id, c"
+
+    around = lambda x, c: f"SELECT x.id, x.{c}, coalesce(y.v, 0) AS v FROM {x} x LEFT JOIN (SELECT src AS id, {c}, sum(w * v) AS v FROM an JOIN {x} ON id = dst GROUP BY src, {c}) y ON y.id = x.id AND y.{c} = x.{c}"
+    leaky = lambda x, name, o: f"(SELECT id, c // {d} AS hd, CASE WHEN sum(v * a) > 0 THEN sum(v * a) ELSE 0.2::DOUBLE * sum(v * a) END AS s FROM (SELECT id, c, v, {f(name, o=str(o), h=f'(c // {d})', k=f'(c % {d})')} AS a FROM {x}) GROUP BY id, c // {d})"
+    hops, x = [], "fs"
+    for o in range(layer.order + 1):
+        hops.append(relation(f"h{o}", dense(x, o)))
+        if layer.kind == "order" and o < layer.order:
+            x = relation(f"x{o + 1}", around(x, "j"))
+    if layer.kind == "gated":
+        z = relation("zp", f"SELECT id, c, sum(v * {f('pool', i='j', c='c')}) AS v FROM fs, (SELECT range AS c FROM range({layer.gate})) GROUP BY id, c")
+        best = f"SELECT x.id, x.c, coalesce(y.v, 0) AS v FROM {z} x LEFT JOIN (SELECT src AS id, c, max(v) AS v FROM an JOIN {z} ON id = dst GROUP BY src, c) y ON y.id = x.id AND y.c = x.c"
+        joined = f"SELECT id, j AS i, v FROM fs UNION ALL SELECT id, {layer.inputs} + c, v FROM ({best}) UNION ALL SELECT id, {layer.inputs + layer.gate} + j, v FROM ({around('fs', 'j')})"
+        relation("gates", f"SELECT id, hd, sum(v * {f('gate', i='i', c='hd')}) AS g FROM ({joined}), (SELECT range AS hd FROM range({layer.heads})) GROUP BY id, hd")
+    if layer.kind != "order":
+        for o in range(1, layer.order + 1):
+            for s in range(o):
+                now, own = hops[o], hops[o - s - 1]
+                met = f"SELECT e.src AS id, n.c, sum((l.s + r.s) * w * n.v) AS v FROM an e JOIN {now} n ON n.id = e.dst JOIN {leaky(own, 'own', o - 1)} l ON l.id = e.src AND l.hd = n.c // {d} JOIN {leaky(now, 'other', o - 1)} r ON r.id = e.dst AND r.hd = n.c // {d} GROUP BY e.src, n.c"
+                gate = f"JOIN gates g ON g.id = x.id AND g.hd = x.c // {d}" if layer.kind == "gated" else ""
+                hops[o] = relation(f"h{o}_{s}", f"SELECT x.id, x.c, coalesce(y.v, 0) {'* g' if gate else ''} AS v FROM {now} x LEFT JOIN ({met}) y ON y.id = x.id AND y.c = x.c {gate}")
+    part = f"id, c // {d}" if layer.kind == "attention" else "id"
+    normed = lambda x, o: f"SELECT id, c, (v - m) / sqrt(avg((v - m) * (v - m)) OVER (PARTITION BY {part}) + 1e-9::DOUBLE) * {f('scale', o=str(o), c='c')} + {f('offset', o=str(o), c='c')} AS v FROM (SELECT *, avg(v) OVER (PARTITION BY {part}) AS m FROM {x})"
+    rows = [normed(x, o) if layer.bias == "norm" else f"SELECT id, c, v FROM {x}" for o, x in enumerate(hops)]
+    both = " UNION ALL ".join(f"SELECT id, (c + {o * wide if layer.aggr == 'concat' else 0})::INTEGER AS j, v FROM ({q})" for o, q in enumerate(rows))
+    last = f"SELECT id, j, round(sum(v), 4) + 0.0::DOUBLE AS v FROM ({both}) GROUP BY id, j"
+    return f"WITH {', '.join(ctes)} {last}"
+
+
 SELECTS: dict[str, str] = {
     "copurchase_edges": "SELECT * FROM ef",
     "symmetrize": _BOTH("SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL"),
@@ -138,19 +183,19 @@ SELECTS: dict[str, str] = {
     "row_layer_norm": "SELECT id, j, round((x - m) / sqrt(avg((x - m) * (x - m)) OVER (PARTITION BY id) + 1e-9), 6) AS v FROM (SELECT *, avg(x) OVER (PARTITION BY id) AS m FROM ex)",
     "loss_softmax": "SELECT id, round(ln(sum(e)) - sum(x) FILTER (j = y), 9) AS loss FROM ex GROUP BY id",
     "loss_sigmoid": "SELECT id, j, round(greatest(x, 0) - x * (j = y)::INTEGER + ln(1 + exp(-abs(x))), 9) AS loss FROM ex",
-    "loss_grad": "SELECT id, j, round(p - (j = y)::INTEGER, 9) AS v FROM sm",
+    "loss_grad": "SELECT id, j, round((p - (j = y)::INTEGER) / (SELECT count(*) FROM part), 12) AS v FROM sm",
     "matmul": "SELECT a.i, b.j, sum(a.v * b.v)::BIGINT AS v FROM (SELECT (id % 4)::INTEGER AS i, j, sum(v)::BIGINT AS v FROM feat GROUP BY ALL) a JOIN (SELECT (id % 4)::INTEGER AS i, j, sum(v)::BIGINT AS v FROM feat GROUP BY ALL) b ON a.j = b.i GROUP BY ALL",
     "gat_attention": "SELECT src AS id, j, sum((gl.s + gr.s) * v)::BIGINT AS v FROM et JOIN gl ON gl.id = src JOIN gr ON gr.id = dst JOIN h ON h.id = dst GROUP BY ALL",
-    "gaan_gate": "SELECT id, o AS j, round(sum(v * w), 6) AS v FROM (SELECT id, j, v::DOUBLE AS v FROM h UNION ALL SELECT id, j + 3, v::DOUBLE FROM zm UNION ALL SELECT id, j + 6, v FROM hn) x JOIN wm ON i = x.j WHERE o < 2 GROUP BY ALL",
-    "jk_concat": "SELECT id, o AS j, greatest(sum(v * w)::BIGINT + 1, 0) AS v FROM (SELECT id, j, v FROM h UNION ALL SELECT id, j + 3, v FROM hz) x JOIN wm ON i = x.j GROUP BY ALL",
-    "jk_max": "SELECT h.id, o AS j, greatest(sum(greatest(h.v, hz.v) * w)::BIGINT + 1, 0) AS v FROM h JOIN hz ON h.id = hz.id AND h.j = hz.j JOIN wm ON i = h.j GROUP BY ALL",
-    "sage_mean": "SELECT id, o AS j, round(sum(v), 6) AS v FROM (SELECT id, o, greatest(sum(v * w) + 1, 0) AS v FROM (SELECT id, j, v::DOUBLE AS v FROM h) JOIN wm ON i = j GROUP BY ALL UNION ALL SELECT id, o, greatest(sum(v * w) + 1, 0) FROM hn JOIN wm ON i = j GROUP BY ALL) GROUP BY ALL",
+    "gaan_gate": f"SELECT id, o AS j, round(sum(v * w) + {T.OFF_HALVES}::DOUBLE, 2) AS v FROM (SELECT id, j, v::DOUBLE AS v FROM h UNION ALL SELECT id, j + 3, v::DOUBLE FROM zm UNION ALL SELECT id, j + 6, v FROM hn) x JOIN wm ON i = x.j WHERE o < 2 GROUP BY ALL",
+    "jk_concat": _ROWS("SELECT id, o AS j, greatest(sum(v * w)::BIGINT + 1, 0) AS v FROM (SELECT id, j, v FROM h UNION ALL SELECT id, j + 3, v FROM hz) x JOIN wm ON i = x.j GROUP BY ALL"),
+    "jk_max": _ROWS("SELECT h.id, o AS j, greatest(sum(greatest(h.v, hz.v) * w)::BIGINT + 1, 0) AS v FROM h JOIN hz ON h.id = hz.id AND h.j = hz.j JOIN wm ON i = h.j GROUP BY ALL"),
+    "sage_mean": f"SELECT id, o AS j, round(sum(v) + {T.OFF_HALVES}::DOUBLE, 2) AS v FROM (SELECT id, o, greatest(sum(v * w) + 1, 0) AS v FROM (SELECT id, j, v::DOUBLE AS v FROM h) JOIN wm ON i = j GROUP BY ALL UNION ALL SELECT id, o, greatest(sum(v * w) + 1, 0) FROM hn JOIN wm ON i = j GROUP BY ALL) GROUP BY ALL",
     "loss_softmax_weighted": "SELECT round(sum(lam * loss), 6) AS loss FROM (SELECT id, ln(sum(exp(x - top))) + max(top) - sum(x) FILTER (j = y) AS loss FROM (SELECT *, max(x) OVER (PARTITION BY id) AS top FROM ex) GROUP BY id) JOIN lw USING (id)",
     "loss_sigmoid_weighted": "SELECT round(sum(lam * (greatest(x, 0) - x * (j = y)::INTEGER + ln(1 + exp(-abs(x))))), 6) AS loss FROM ex JOIN lw USING (id)",
     "f1_threshold": f"SELECT {_F1} FROM (SELECT cls, count(*) FILTER (y = 1 AND p = 1) AS tp, count(*) FILTER (y = 0 AND p = 1) AS fp, count(*) FILTER (y = 1 AND p = 0) AS fn FROM (SELECT j AS cls, (j = y)::INTEGER AS y, (1 / (1 + exp(-x)) > 0.5)::INTEGER AS p FROM ex) GROUP BY cls)",
-    "dropout_rows": f"SELECT id, j, v / 0.8::DOUBLE AS v FROM feat WHERE {u('drop', 'id', 'j')} % 100 >= 20",
+    "dropout_rows": f"SELECT id, j, CASE WHEN {u('drop', 'id', 'j')} % 100 >= 20 THEN v / 0.8::DOUBLE ELSE 0 END AS v FROM feat",
     "runs_mean_std": f"SELECT round(avg(hits), 6) AS mean, round(stddev_samp(hits), 6) AS std FROM (SELECT run, sum(({u('run', 'run', 'id')} % {T.CLASSES} = y)::INTEGER) AS hits FROM (SELECT DISTINCT id, y FROM sc), (SELECT range AS run FROM range(10)) GROUP BY run)",
-    "best_epoch": f"SELECT epoch, f1 FROM (SELECT epoch, f1, max(f1) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT range AS epoch, {u('epoch', 'range')} % 1000 AS f1 FROM range(50))) WHERE best IS NULL OR f1 > best",
+    "best_epoch": f"SELECT epoch, hits FROM (SELECT epoch, hits, max(hits) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM (SELECT epoch, sum(({u('epoch', 'epoch', 'id')} % {T.CLASSES} = y)::INTEGER)::BIGINT AS hits FROM (SELECT DISTINCT id, y FROM sc), (SELECT range AS epoch FROM range(50)) GROUP BY epoch)) WHERE best IS NULL OR hits > best",
     "role_explode": "SELECT role, id FROM nodes",
     "class_map_explode": "SELECT id, y FROM lab",
     "export_node_flags": "SELECT id, role = 'te' AS test, role = 'va' AS val FROM nodes",
@@ -159,7 +204,7 @@ SELECTS: dict[str, str] = {
     "topk_labels": "SELECT p_partkey AS id, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 10)",
     "label_merge": f"SELECT p_partkey AS id, ({u('merge', 'p_brand')} % 7)::INTEGER AS y FROM part",
     "kcore_prune": "SELECT * FROM k3",
-}
+} | {name: f"SELECT * FROM ({_layer_sql(layer)})" for name, (layer, _) in T.LAYERS.items()}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -4,18 +4,24 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 from functools import cached_property
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.rng import u32
+from ..operators.config import Layer
 from ..operators.samplers import Prepared, induced, random_walk
 from ..sources.graphs import GraphTables, induced_by_role, part_graph
 
 SAMPLES, ROOTS, DEPTH, DRAWS = 20, 60, 2, 100
 #: Bits of the multi-hot label of a document, and classes of predictions.
 CLASSES = 5
+#: Added before rounding: means of whole numbers often lie on halves, where sums in another order fall to either side.
+OFF_HALVES = 0.00012345
 
 
 class Context:
@@ -41,11 +47,14 @@ class Context:
 
     @cached_property
     def prepared(self) -> Prepared:
-        """Written once and read back, for the joins that a sampler and its norms put on top of each other."""
-        made, path = Prepared.of(self.train_edges, self.train_ids), self.scratch()
-        for name in ("edges", "ids", "deg"):
-            getattr(made, name).write.parquet(f"{path}/{name}")
-        return Prepared(*(self.spark.read.parquet(f"{path}/{name}") for name in ("ids", "edges", "deg")))
+        """Each relation is written once and read back, for those built on it and the joins that a sampler and its norms put on top."""
+        path = self.scratch()
+
+        def keep(df: DataFrame, name: str) -> DataFrame:
+            df.write.parquet(f"{path}/{name}")
+            return self.spark.read.schema(df.schema).parquet(f"{path}/{name}")
+
+        return Prepared.of(self.train_edges, self.train_ids, keep)
 
     def walks(self) -> tuple[Prepared, DataFrame]:
         g = self.prepared
@@ -65,3 +74,41 @@ def weights(spark: SparkSession, rows: int, columns: int) -> DataFrame:
     """(i, j, w) small integer layer weights."""
     i = spark.range(rows).select(F.col("id").cast("int").alias("i"))
     return i.select("i", F.explode(F.sequence(F.lit(0), F.lit(columns - 1))).alias("j")).withColumn("w", ((F.col("i") + 1) * (F.col("j") + 2) % 5 - 2).cast("bigint"))
+
+
+#: Layer weights by formula, alike in Python and in SQL: quarters from small remainders.
+FORMULAS = {
+    "w": "((({o} + 1) * ({i} + 1) * ({c} + 2)) % 5 - 2) / 4.0",
+    "b": "(({o} + {c}) % 3 - 1) / 2.0",
+    "own": "(({o} + 2 * {h} + 3 * {k}) % 5 - 2) / 4.0",
+    "other": "((2 * {o} + {h} + {k}) % 5 - 2) / 4.0",
+    "scale": "1 + (({o} + {c}) % 3) / 2.0",
+    "offset": "({c} % 2) / 4.0",
+    "pool": "((({i} + 2) * ({c} + 1)) % 5 - 2) / 4.0",
+    "gate": "((({i} + 1) * ({c} + 3)) % 7 - 3) / 8.0",
+}
+
+
+def _made(name: str, shape: tuple[int, ...], letters: str, o: int = 0) -> np.ndarray:
+    at = dict(zip(letters, np.indices(shape), strict=True)) | {"o": o}
+    return np.broadcast_to(eval(FORMULAS[name].format(**{k: k for k in "oichk"}), {}, at), shape).astype(float)  # noqa: S307
+
+
+def formula_weights(layer: Layer) -> dict[str, np.ndarray]:
+    d, found = layer.outputs // layer.heads, {}
+    for o in range(layer.order + 1):
+        found |= {f"{o}.w": _made("w", (layer.inputs, layer.outputs), "ic", o), f"{o}.b": _made("b", (layer.outputs,), "c", o)}
+        found |= {f"{o}.{n}": _made(n, (layer.outputs,), "c", o) for n in ("scale", "offset")} | {f"{o}.{n}": _made(n, (layer.heads, d), "hk", o) for n in ("own", "other")}
+    return found | {"pool": _made("pool", (layer.inputs, layer.gate), "ic"), "gate": _made("gate", (2 * layer.inputs + layer.gate, layer.heads), "ic")}
+
+
+#: Layers that queries apply: sums of two hops, attention of two heads and two hops, gated attention of two heads.
+LAYERS: dict[str, tuple[Layer, Callable[[], dict[str, np.ndarray]]]] = {
+    name: (layer, lambda layer=layer: formula_weights(layer))
+    for name, layer in {
+        "mixhop_order2": Layer(2, 4, 4, "relu", "norm", "concat"),
+        "gat_heads": Layer(2, 4, 8, "relu", "norm", "concat", 2, "attention"),
+        "gat_mean": Layer(1, 4, 8, "relu", "bias", "mean", 1, "attention"),
+        "gaan_layer": Layer(1, 4, 8, "relu", "norm", "concat", 2, "gated", 3),
+    }.items()
+}

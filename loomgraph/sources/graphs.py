@@ -14,12 +14,13 @@ from ..operators.windows import running_total
 
 @dataclass
 class GraphTables:
-    """nodes (id, role), edges (src, dst), features (id, j, v), labels (id, y)."""
+    """nodes (id, role), edges (src, dst), features (id, j, v), labels (id, y), and the features as arrays (id, x) where there are such."""
 
     nodes: DataFrame
     edges: DataFrame
     features: DataFrame
     labels: DataFrame
+    arrays: DataFrame | None = None
 
     def ids(self, role: str = "tr") -> DataFrame:
         return self.nodes.where(F.col("role") == role).select("id")
@@ -42,10 +43,11 @@ def part_graph(spark: SparkSession, sf_dir: str) -> GraphTables:
     ids = part.select(F.col("p_partkey").alias("id"))
     per = lines.groupBy(F.col("l_partkey").alias("id")).agg(F.sum(F.col("l_quantity").cast("bigint")).alias("q"), F.count(F.lit(1)).alias("c"))
     wide = part.select(F.col("p_partkey").alias("id"), F.col("p_size").cast("bigint").alias("s"), F.round(F.col("p_retailprice") * 100).cast("bigint").alias("r")).join(per, "id", "left")
-    features = wide.select("id", F.posexplode(F.array("s", "r", F.coalesce("q", F.lit(0)), F.coalesce("c", F.lit(0)))).alias("j", "v"))
+    arrays = wide.select("id", F.array("s", "r", F.coalesce("q", F.lit(0)), F.coalesce("c", F.lit(0))).alias("x"))
+    features = arrays.select("id", F.posexplode("x").alias("j", "v"))
     brands = part.select("p_brand").distinct().withColumn("y", (F.dense_rank().over(Window.orderBy("p_brand")) - 1).cast("int"))  # one row a brand
     labels = part.join(brands, "p_brand").select(F.col("p_partkey").alias("id"), "y")
-    return GraphTables(split_roles(ids), copurchase(lines), features, labels)
+    return GraphTables(split_roles(ids), copurchase(lines), features, labels, arrays)
 
 
 def symmetrize(pairs: DataFrame) -> DataFrame:
@@ -86,9 +88,9 @@ def degrees(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return ids.select("id").join(counted, "id", "left").select("id", F.coalesce("deg", F.lit(0)).cast("bigint").alias("deg"))
 
 
-def indexed(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """(eid, src, dst, k): k ranks dst within src; eid is gapless in the order of (src, dst)."""
-    cum = running_total(degrees(edges, ids), "id", "deg", "cum")
+def indexed(edges: DataFrame, deg: DataFrame) -> DataFrame:
+    """(eid, src, dst, k) of edges whose degrees are (id, deg): k ranks dst within src; eid is gapless in the order of (src, dst)."""
+    cum = running_total(deg, "id", "deg", "cum")
     k = F.row_number().over(Window.partitionBy("src").orderBy("dst")) - 1
     return edges.withColumn("k", k.cast("bigint")).join(cum.select(F.col("id").alias("src"), (F.col("cum") - F.col("deg")).alias("first")), "src").select((F.col("first") + F.col("k")).alias("eid"), "src", "dst", "k")
 

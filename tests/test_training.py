@@ -139,7 +139,7 @@ def test_load_data(spark):
 def test_configuration():
     c = config.configuration({"network": [{"dim": 8, "arch": "1-0-1", "bias": "bias"}], "params": [{"lr": 0.1}], "phase": [{"end": 5, "sampler": "rw", "num_root": 3, "depth": 2}]})
     assert c.params["lr"] == 0.1 and c.params["weight_decay"] == 0 and c.network["aggr"] == "concat"
-    assert [(x.order, x.inputs, x.width) for x in c.layers(4)] == [(1, 4, 16), (0, 16, 8), (1, 8, 16)] and c.conv_layers(4) == [1, 2]
+    assert [(x.order, x.inputs, x.width) for x in c.layers(4)] == [(1, 4, 16), (0, 16, 8), (1, 8, 16)] and c.conv_layers(4) == [0, 2]
     assert c.parameters(4, 3) == 2 * (4 + 1) * 8 + (16 + 1) * 8 + 2 * (8 + 1) * 8 + (16 + 1) * 3
     for phase in ({"end": 5, "sampler": "rw", "depth": 2}, {"end": 5, "sampler": "other"}, {"sampler": "full_batch"}):
         with pytest.raises(ValueError):
