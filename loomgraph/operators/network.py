@@ -216,8 +216,8 @@ class Network:
                 h = t.add(t.mul(t.standard(h, 0), mine["scale"]), mine["offset"])
         return h, met
 
-    def loss(self, weights: Weights, x: np.ndarray, y: np.ndarray, lam: np.ndarray, edges: Edges, seed: int | None = None, decay: float = 0.0) -> tuple[float, Weights, Weights]:
-        """(weighted cross entropy of a subgraph, its gradient, column means and variances); decay weighs half the squares of all weight matrices."""
+    def loss(self, weights: Weights, x: np.ndarray, y: np.ndarray, lam: np.ndarray, edges: Edges, seed: int | None = None, decay: float = 0.0) -> tuple[float, Weights, Weights, np.ndarray]:
+        """(weighted cross entropy of a subgraph, its gradient, column means and variances, scores); decay weighs half the squares of all weight matrices."""
         t, p = Tape(), {k: Node(v) for k, v in weights.items()}
         out, met = self.scores(t, p, x, edges, seed)
         z = out.value
@@ -234,7 +234,7 @@ class Network:
         matrix = lambda k: decay and weights[k].ndim > 1
         loss += sum(decay / 2 * float((v * v).sum()) for k, v in weights.items() if matrix(k))
         grad = {k: (node.grad if node.grad is not None else np.zeros_like(weights[k])) + (decay * weights[k] if matrix(k) else 0) for k, node in p.items()}
-        return loss, grad, met
+        return loss, grad, met, out.value
 
     def evaluate(self, weights: Weights, state: Weights, nodes: DataFrame, edges: DataFrame, keep: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
         """(id, x): scores on the whole graph, nodes (id, x), edges (src, dst, w); keep() may write each layer's outputs down."""

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import below, u32
+from ..functions.rng import below
 from ..sources.graphs import degrees, indexed
 from .windows import ranked, running_total
 
@@ -38,9 +38,9 @@ class Prepared:
         return Prepared(ids, keep(indexed(edges, deg), "edges"), deg)
 
 
-def draws(like: DataFrame, samples: int, size: int) -> DataFrame:
-    """(sg, i) for every draw of every sample."""
-    return like.sparkSession.range(samples * size).select(F.expr(f"id div {size}").alias("sg"), (F.col("id") % size).alias("i"))
+def draws(like: DataFrame, samples: int, size: int, start: int = 0) -> DataFrame:
+    """(sg, i) for every draw of every sample; samples are numbered from start on."""
+    return like.sparkSession.range(start * size, (start + samples) * size).select(F.expr(f"id div {size}").alias("sg"), (F.col("id") % size).alias("i"))
 
 
 def _scalar(df: DataFrame, agg: F.Column, name: str) -> DataFrame:
@@ -48,15 +48,15 @@ def _scalar(df: DataFrame, agg: F.Column, name: str) -> DataFrame:
     return F.broadcast(df.agg(agg.alias(name)))
 
 
-def uniform(g: Prepared, samples: int, size: int, tag: str) -> DataFrame:
+def uniform(g: Prepared, samples: int, size: int, tag: str, start: int = 0) -> DataFrame:
     """(sg, i, v): training nodes drawn uniformly with replacement."""
     n = _scalar(g.ids, F.count(F.lit(1)), "n")
-    drawn = draws(g.ids, samples, size).crossJoin(n).where("n > 0").withColumn("r", below(F.col("n"), tag, "sg", "i"))
+    drawn = draws(g.ids, samples, size, start).crossJoin(n).where("n > 0").withColumn("r", below(F.col("n"), tag, "sg", "i"))
     return drawn.join(g.ids, "r").select("sg", "i", F.col("id").alias("v"))
 
 
-def vanilla_node(g: Prepared, samples: int = 20, size: int = 100) -> DataFrame:
-    return uniform(g, samples, size, "vanilla").select("sg", "v").distinct()
+def vanilla_node(g: Prepared, samples: int = 20, size: int = 100, start: int = 0) -> DataFrame:
+    return uniform(g, samples, size, "vanilla", start).select("sg", "v").distinct()
 
 
 def hop(g: Prepared, at: DataFrame, tag: str) -> DataFrame:
@@ -65,8 +65,8 @@ def hop(g: Prepared, at: DataFrame, tag: str) -> DataFrame:
     return here.join(g.edges.select(F.col("src").alias("v"), "k", "dst"), ["v", "k"], "left").select("sg", "i", F.coalesce("dst", "v").alias("v"))
 
 
-def random_walk(g: Prepared, samples: int = 20, roots: int = 60, depth: int = 2) -> DataFrame:
-    at = uniform(g, samples, roots, "root")
+def random_walk(g: Prepared, samples: int = 20, roots: int = 60, depth: int = 2, start: int = 0) -> DataFrame:
+    at = uniform(g, samples, roots, "root", start)
     seen = at
     for d in range(1, depth + 1):
         at = hop(g, at, f"hop{d}")
@@ -74,11 +74,11 @@ def random_walk(g: Prepared, samples: int = 20, roots: int = 60, depth: int = 2)
     return seen.select("sg", "v").distinct()
 
 
-def node(g: Prepared, samples: int = 20, size: int = 100, exact: bool = False) -> DataFrame:
+def node(g: Prepared, samples: int = 20, size: int = 100, exact: bool = False, start: int = 0) -> DataFrame:
     """Draws in proportion to degree: a uniform edge position's owner. By default draw s takes position max(s - 1, 0), as a lower bound over running totals does; exact takes s itself."""
     m = _scalar(g.edges, F.count(F.lit(1)), "m")
     s = below(F.col("m"), "n", "sg", "i")
-    drawn = draws(g.ids, samples, size).crossJoin(m).where("m > 0").withColumn("eid", s if exact else F.greatest(s - 1, F.lit(0)))
+    drawn = draws(g.ids, samples, size, start).crossJoin(m).where("m > 0").withColumn("eid", s if exact else F.greatest(s - 1, F.lit(0)))
     return drawn.join(g.edges.select("eid", "src"), "eid").select("sg", F.col("src").alias("v")).distinct()
 
 
@@ -93,7 +93,7 @@ def edge_cumulative(g: Prepared) -> DataFrame:
     return running_total(edge_weights(g), "eid", "w", "hi")
 
 
-def edge(g: Prepared, samples: int = 20, size: int = 100) -> DataFrame:
+def edge(g: Prepared, samples: int = 20, size: int = 100, start: int = 0) -> DataFrame:
     """Edges drawn with replacement in proportion to 1/deg_u + 1/deg_v; both ends stay.
 
     The range lookup lo < s <= hi is an equi join: intervals are laid over buckets as wide as the mean weight.
@@ -104,22 +104,26 @@ def edge(g: Prepared, samples: int = 20, size: int = 100) -> DataFrame:
     lo = F.col("hi") - F.col("w")
     laid = cum.select("src", "dst", lo.alias("lo"), "hi", F.explode(F.sequence(F.expr("(hi - w) div width"), F.expr("hi div width"))).alias("b"))
     s = below(F.col("total"), "e", "sg", "i")
-    drawn = draws(g.ids, samples, size).crossJoin(one).where("m > 0").withColumn("s", s).withColumn("b", F.expr("s div greatest(total div m, 1)"))
+    drawn = draws(g.ids, samples, size, start).crossJoin(one).where("m > 0").withColumn("s", s).withColumn("b", F.expr("s div greatest(total div m, 1)"))
     hit = drawn.join(laid, "b").where("(lo < s and s <= hi) or (s = 0 and lo = 0)")
     return hit.select("sg", F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
-def edge_bernoulli(g: Prepared, samples: int = 20, size: int = 100) -> DataFrame:
+#: Draws of an edge are whole numbers below this, far finer than the chance of an edge among 10**13.
+DRAWS = 1 << 62
+
+
+def edge_bernoulli(g: Prepared, samples: int = 20, size: int = 100, start: int = 0) -> DataFrame:
     """Each upper-triangle edge is kept on its own with probability size * w / total; one pass, no lookup."""
     w = edge_weights(g)
     total = _scalar(w, F.sum("w"), "total")
-    grid = w.crossJoin(F.broadcast(w.sparkSession.range(samples).withColumnRenamed("id", "sg"))).crossJoin(total)
-    keep = grid.where(u32("b", "sg", "eid").cast("decimal(38,0)") * F.col("total") <= F.col("w").cast("decimal(38,0)") * size * 4294967296)
+    grid = w.crossJoin(F.broadcast(w.sparkSession.range(start, start + samples).withColumnRenamed("id", "sg"))).crossJoin(total)
+    keep = grid.where(below(F.lit(DRAWS), "b", "sg", "eid").cast("double") / float(DRAWS) < (F.col("w") * size).cast("double") / F.col("total").cast("double"))
     return keep.select("sg", F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
-def full_batch(g: Prepared, samples: int = 20) -> DataFrame:
-    return g.ids.select("id").crossJoin(F.broadcast(g.ids.sparkSession.range(samples).withColumnRenamed("id", "sg"))).select("sg", F.col("id").alias("v"))
+def full_batch(g: Prepared, samples: int = 20, start: int = 0) -> DataFrame:
+    return g.ids.select("id").crossJoin(F.broadcast(g.ids.sparkSession.range(start, start + samples).withColumnRenamed("id", "sg"))).select("sg", F.col("id").alias("v"))
 
 
 def _frontier_walk(frontier: np.ndarray, steps: int, indptr: np.ndarray, dst: np.ndarray, cap: int, seed: int) -> np.ndarray:
@@ -145,7 +149,7 @@ def _frontier_walk(frontier: np.ndarray, steps: int, indptr: np.ndarray, dst: np
 FRONTIER_EDGES = 50_000_000
 
 
-def frontier(g: Prepared, samples: int = 20, size: int = 100, frontier_size: int = 30, cap: int = 10000, seed: int = 1) -> DataFrame:
+def frontier(g: Prepared, samples: int = 20, size: int = 100, frontier_size: int = 30, cap: int = 10000, seed: int = 1, start: int = 0) -> DataFrame:
     """Multi-dimensional random walk: sequential inside a sample, parallel over samples, over a broadcast adjacency of checked size."""
     edges = g.edges.count()
     if edges > FRONTIER_EDGES:
@@ -162,7 +166,7 @@ def frontier(g: Prepared, samples: int = 20, size: int = 100, frontier_size: int
         v = _frontier_walk(pdf.sort_values("i")["v"].to_numpy(np.int64), size - frontier_size, indptr, to, cap, seed * 1_000_003 + sg)
         return pd.DataFrame({"sg": sg, "v": v})
 
-    return uniform(g, samples, frontier_size, "frontier").groupBy("sg").applyInPandas(walk, "sg bigint, v bigint")
+    return uniform(g, samples, frontier_size, "frontier", start).groupBy("sg").applyInPandas(walk, "sg bigint, v bigint")
 
 
 def covering(sampler: Callable[..., DataFrame], g: Prepared, coverage: float, first: int = 200, **sizes: int) -> tuple[DataFrame, int]:
@@ -188,6 +192,24 @@ def budget(name: str, train_nodes: int, **sizes: int) -> int:
     return rules[name](sizes)
 
 
+#: What a phase of a configuration calls the sizes of a sampler.
+NAMES = {
+    "rw": {"num_root": "roots", "depth": "depth"},
+    "node": {"size_subgraph": "size"},
+    "vanilla_node_python": {"size_subgraph": "size"},
+    "edge": {"size_subg_edge": "size"},
+    "mrw": {"size_subgraph": "size", "size_frontier": "frontier_size", "deg_clip": "cap"},
+    "full_batch": {},
+}
+
+
+def of_phase(phase: dict) -> Callable[[Prepared, int, int], DataFrame]:
+    """The sampler of a configuration's phase: (graph, number of samples, number of the first one) -> (sg, v)."""
+    name = phase["sampler"]
+    sizes = {ours: int(phase[theirs]) for theirs, ours in NAMES.get(name, {k: k for k in phase if k not in ("sampler", "end")}).items() if theirs in phase}
+    return lambda g, samples, start: SAMPLERS[name](g, samples, start=start, **sizes)
+
+
 def induced(samples: DataFrame, edges: DataFrame) -> DataFrame:
     """(sg, eid, src, dst, lsrc, ldst): edges with both ends in the sample, ends renumbered by rank."""
     from .windows import local_ids

@@ -14,10 +14,12 @@ from ..operators import metrics as X
 from ..operators import network as L
 from ..operators import norms as N
 from ..operators import samplers as S
+from ..operators import svd as V
 from ..operators import training as R
 from ..operators import wide as W
 from ..operators.windows import local_ids, running_total
 from ..sources import graphs as G
+from ..sources.adapter import SOURCES
 from . import tables as T
 
 QUERIES: dict[str, Callable[[T.Context], DataFrame]] = {}
@@ -352,6 +354,42 @@ def _network(c: T.Context, name: str) -> DataFrame:
 simple(**{name: lambda c, name=name: _network(c, name) for name in T.LAYERS})
 
 
+def _source(c: T.Context, name: str) -> DataFrame:
+    """(id, role, j, v): the scaled features and the roles of a source's nodes."""
+    g = SOURCES[name](c.spark, c.dir).tables()
+    return g.nodes.join(g.features, "id").select("id", "role", "j", (F.round(F.col("v") + T.OFF_HALVES, 3) + 0.0).alias("v"))
+
+
+simple(source_parts=lambda c: _source(c, "parts"), source_documents=lambda c: _source(c, "documents"), source_embeddings=lambda c: _source(c, "embeddings"))
+
+
+def _grams(c: T.Context) -> DataFrame:
+    """(id, gram, n): how often each part's name has each four characters in a row."""
+    p = c.table("part").select(F.col("p_partkey").alias("id"), "p_name").where(F.length("p_name") >= 4)
+    return p.select("id", F.explode(F.expr("transform(sequence(1, length(p_name) - 3), i -> substring(p_name, i, 4))")).alias("gram")).groupBy("id", "gram").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query
+def part_grams(c: T.Context) -> DataFrame:
+    return _grams(c)
+
+
+@query
+def svd_grams(c: T.Context) -> DataFrame:
+    """(k, value): the largest singular values of the parts' counts of character 4-grams."""
+    path = c.scratch()
+    number = iter(range(1 << 30))
+
+    def keep(df: DataFrame) -> DataFrame:
+        here = f"{path}/factor-{next(number)}"
+        df.write.parquet(here)
+        return c.spark.read.parquet(here)
+
+    entries = _grams(c).select(F.col("id").alias("row"), F.xxhash64("gram").alias("col"), F.col("n").alias("v"))
+    values, _, _ = V.truncated(keep(entries), 10, keep)
+    return c.spark.createDataFrame([(k, float(v)) for k, v in enumerate(values)], "k int, value double")
+
+
 def _trained(c: T.Context) -> tuple[dict, list[tuple[int, float]], DataFrame]:
     """Weights and losses after some epochs over the pool of walks, and the scaled features."""
     pool, scaled = c.walks()[1].withColumnRenamed("v", "id"), QUERIES["scaler_transform"](c)

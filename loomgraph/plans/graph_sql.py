@@ -72,6 +72,13 @@ _BOTH = lambda q: f"SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FRO
 _ROWS = lambda q: f"SELECT id, j, round((v - m) / sqrt(avg((v - m) * (v - m)) OVER (PARTITION BY id) + 1e-9::DOUBLE), 4) AS v FROM (SELECT id, j, v, sum(v) OVER (PARTITION BY id) / count(*) OVER (PARTITION BY id)::DOUBLE AS m FROM ({q}))"
 
 
+def _source_sql(features: str, edges: str, train: int, val: int) -> str:
+    """Roles by hash and features scaled by the training nodes with training edges."""
+    role = f"CASE WHEN {u('role', 'id')} % 100 < {train} THEN 'tr' WHEN {u('role', 'id')} % 100 < {val} THEN 'va' ELSE 'te' END"
+    return f"""SELECT id, role, j, round((v - mean) / sd + {T.OFF_HALVES}::DOUBLE, 3) + 0.0::DOUBLE AS v FROM (SELECT *, {role} AS role FROM ({features})) JOIN (SELECT j, avg(v) AS mean, CASE WHEN stddev_pop(v) > 0 THEN stddev_pop(v) ELSE 1 END AS sd FROM ({features})
+WHERE id IN (SELECT src AS id FROM ({edges}) WHERE src IN (SELECT id FROM ({features}) WHERE {role} = 'tr') AND dst IN (SELECT id FROM ({features}) WHERE {role} = 'tr')) GROUP BY j) USING (j)"""
+
+
 def _layer_sql(layer: Layer) -> str:
     """A layer over scaled features fs and means over neighbours an, each hop a relation of (id, c, v)."""
     f = lambda name, **at: "(" + T.FORMULAS[name].format(**({k: "0" for k in "oichk"} | at)) + ")::DOUBLE"
@@ -136,7 +143,7 @@ SELECTS: dict[str, str] = {
     "rw_hop": "SELECT * FROM w1",
     "node_sampler": f"SELECT DISTINCT sg, src AS v FROM grid JOIN ei ON eid = greatest({draw('(SELECT count(*) FROM ei)', 'n', 'sg', 'i')} - 1, 0)",
     "edge_sampler": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM (SELECT sg, {draw('(SELECT max(hi) FROM wc)', 'e', 'sg', 'i')} AS s FROM grid) JOIN wc ON (hi - w < s AND s <= hi) OR (s = 0 AND hi = w)",
-    "edge_sampler_bernoulli": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM wt, (SELECT range AS sg FROM range({_S})) WHERE {u('b', 'sg', 'eid')}::HUGEINT * (SELECT sum(w) FROM wt) <= w::HUGEINT * {_N} * 4294967296",
+    "edge_sampler_bernoulli": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM wt, (SELECT range AS sg FROM range({_S})) WHERE {draw('4611686018427387904', 'b', 'sg', 'eid')}::DOUBLE / 4611686018427387904::DOUBLE < (w * {_N})::DOUBLE / (SELECT sum(w) FROM wt)::DOUBLE",
     "vanilla_node_sampler": f"SELECT DISTINCT sg, id AS v FROM grid JOIN tr ON r = {draw('(SELECT count(*) FROM tr)', 'vanilla', 'sg', 'i')}",
     "full_batch_sampler": f"SELECT range AS sg, id AS v FROM range({_S}), tr",
     "local_ids": "SELECT * FROM lid",
@@ -204,6 +211,10 @@ SELECTS: dict[str, str] = {
     "topk_labels": "SELECT p_partkey AS id, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 10)",
     "label_merge": f"SELECT p_partkey AS id, ({u('merge', 'p_brand')} % 7)::INTEGER AS y FROM part",
     "kcore_prune": "SELECT * FROM k3",
+    "part_grams": "SELECT id, gram, count(*) AS n FROM (SELECT p_partkey AS id, substr(p_name, unnest(range(1, length(p_name) - 2))::INTEGER, 4) AS gram FROM part WHERE length(p_name) >= 4) GROUP BY ALL",
+    "source_parts": _source_sql("SELECT id, j, v::DOUBLE AS v FROM feat", "SELECT src, dst FROM ef", 85, 90),
+    "source_documents": _source_sql("SELECT doc_id AS id, unnest([0, 1, 2, 3, 4])::INTEGER AS j, unnest([coalesce(n_chars, 0)::DOUBLE, coalesce((lang = 'de')::INTEGER, 0), coalesce((lang = 'en')::INTEGER, 0), coalesce((lang = 'es')::INTEGER, 0), coalesce((lang = 'fr')::INTEGER, 0)])::DOUBLE AS v FROM documents", _BOTH("SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL"), 75, 85),
+    "source_embeddings": _source_sql("SELECT vec_id AS id, (unnest(range(len(embedding))))::INTEGER AS j, unnest(embedding)::DOUBLE AS v FROM embeddings", _BOTH("SELECT x.vec_id AS a, y.vec_id AS b FROM er x JOIN er y ON ((x.label = y.label AND y.r = x.r + 1) OR (y.label = (x.label + 1) % 10 AND y.r = x.r)) AND x.vec_id <> y.vec_id"), 50, 75),
 } | {name: f"SELECT * FROM ({_layer_sql(layer)})" for name, (layer, _) in T.LAYERS.items()}
 
 

@@ -1,11 +1,20 @@
 """Layers by configuration: gradients against differences, the whole-graph plan against the kernel, running statistics."""
 
+import glob
+import json
+import os
+import tempfile
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from loomgraph.operators import config
+from loomgraph.operators import config, phases, samplers
+from loomgraph.operators import pool as pool_module
 from loomgraph.operators.network import Network
 from loomgraph.operators.tape import Node, Tape
+from loomgraph.sources import graphs, metrics_table
+from loomgraph.sources.graphs import GraphTables
 
 CASES = {
     "hops": {"arch": "2-0-1", "dim": 4, "act": "relu", "bias": "norm", "aggr": "concat"},
@@ -41,7 +50,7 @@ def test_gradient_against_differences(name):
     x, y, lam, edges = made()
     y = np.eye(3, dtype=int)[y] if net.many else y
     args = (x, y, lam, edges, 5, 0.1)
-    _, grad, _ = net.loss(weights, *args)
+    _, grad, *_ = net.loss(weights, *args)
     for key, value in weights.items():
         for at in list(np.ndindex(value.shape))[:12]:
             both = []
@@ -80,3 +89,80 @@ def test_parameters_are_those_that_are_made():
 def test_layers_that_a_last_layer_reads():
     of = lambda arch: config.configuration({"network": [{"arch": arch, "dim": 2}]}).conv_layers(3)
     assert [of(a) for a in ("1-0-1", "1-1-0", "1-1", "1-0-1-0", "1")] == [[0, 2], [0, 1], [0, 1], [1, 3], [0]]
+
+
+def _two_classes(spark, many=False, n=60):
+    """A ring of cliques whose members share a class that one feature tells."""
+    rng = np.random.default_rng(3)
+    y = [i // 5 % 2 for i in range(n)]
+    x = [[y[i] + 0.3 * float(rng.normal()), float(rng.normal()), 1.0] for i in range(n)]
+    pairs = {(i, j) for i in range(n) for j in range(n) if i != j and i // 5 == j // 5} | {(i, (i + 5) % n) for i in range(n)}
+    pairs |= {(b, a) for a, b in pairs}
+    nodes = spark.createDataFrame([(i, "va" if i % 6 == 0 else "te" if i % 6 == 1 else "tr") for i in range(n)], "id bigint, role string")
+    labels = spark.createDataFrame([(i, [v, 1 - v] if many else v) for i, v in enumerate(y)], f"id bigint, y {'array<int>' if many else 'int'}")
+    arrays = spark.createDataFrame(list(enumerate(x)), "id bigint, x array<double>")
+    return GraphTables(nodes, spark.createDataFrame(sorted(pairs), "src bigint, dst bigint"), arrays, labels, arrays)
+
+
+PHASES = {
+    "network": [{"arch": "1-0", "dim": 6, "act": "relu", "bias": "norm-nn", "aggr": "concat"}],
+    "params": [{"lr": 0.05, "sample_coverage": 2, "dropout": 0.1}],
+    "phase": [{"end": 2, "sampler": "node", "size_subgraph": 15}, {"end": 5, "sampler": "rw", "num_root": 6, "depth": 2}],
+}
+
+
+def test_a_run_of_two_phases_goes_on_where_it_was_stopped(spark):
+    told = yaml_like(spark, PHASES)
+    graph = _two_classes(spark)
+    whole, parts = (tempfile.mkdtemp(prefix="spark-phases-") for _ in range(2))
+    once = phases.fit(told, graph, whole, together=2, block=8)
+    for _ in range(2):
+        stopped = phases.fit(told, graph, parts, together=2, block=8, stop=1)
+    assert stopped == {"epoch": 2}
+    stopped = phases.fit(told, graph, parts, together=2, block=8, stop=1)
+    again = phases.fit(told, graph, parts, together=2, block=8)
+    assert stopped == {"epoch": 3} and again == once and once["epoch"] == 5
+    rows = [metrics_table.read(spark, f"{p}/metrics").orderBy("epoch", "name").collect() for p in (whole, parts)]
+    assert rows[0] == rows[1] and {r.epoch for r in rows[0]} == set(range(5))
+    loss = {r.epoch: r.value for r in rows[0] if r.name == "loss"}
+    assert loss[4] < loss[2]
+    # each phase has visits of its own, and a repeated epoch counts once
+    assert spark.read.parquet(f"{whole}/phase=0/visits").exceptAll(spark.read.parquet(f"{whole}/phase=1/visits")).count() > 0
+    metrics_table.put(spark, f"{whole}/metrics", "run", 4, {"loss": 9.0})
+    last = metrics_table.read(spark, f"{whole}/metrics").where("epoch = 4").collect()
+    assert [(r.name, r.value) for r in last] == [("loss", 9.0)]
+
+
+def yaml_like(spark, told):
+    path = tempfile.mkdtemp(prefix="spark-config-") + "/run.json"
+    with open(path, "w") as f:
+        json.dump(told, f)
+    return config.read_config(spark, path)
+
+
+def test_several_classes_a_node(spark):
+    told = config.configuration(PHASES | {"network": [{"arch": "1", "dim": 4, "act": "relu", "aggr": "mean", "loss": "sigmoid", "attention": 2}], "phase": [{"end": 4, "sampler": "full_batch"}]})
+    path = tempfile.mkdtemp(prefix="spark-many-")
+    found = phases.fit(told, _two_classes(spark, True), path, block=2)
+    loss = [r.value for r in metrics_table.read(spark, f"{path}/metrics").where("name = 'loss'").orderBy("epoch").collect()]
+    assert loss[-1] < loss[0] and 0.4 < found["va_f1_micro"] <= 1
+
+
+def test_a_refill_writes_new_samples_only(spark):
+    graph = _two_classes(spark)
+    g = samplers.Prepared.of(graphs.induced_by_role(graph.edges, graph.nodes), graph.ids())
+    path = tempfile.mkdtemp(prefix="spark-pool-")
+    pool, draw = pool_module.Pool(spark, path, 4), lambda n, start: samplers.random_walk(g, n, 3, 2, start)
+    pool.append(draw, g)
+    stamp = lambda: {f: os.path.getmtime(f) for f in glob.glob(f"{path}/*/block=0/*.parquet")}
+    before = stamp()
+    data = graph.arrays.join(graph.labels, "id").withColumn("lam", F.lit(1.0))
+    pool.ready(0, data, g.edges.select("eid", F.lit(1.0).alias("w")))
+    met = [sorted(r.sg for r in pool.take(3)[0].select("sg").distinct().collect()) for _ in range(2)]
+    assert met == [[1, 2, 3], [0]] and pool.take(3) is None
+    pool.append(draw, g)
+    assert (pool.low, pool.high, pool.made) == (4, 8, 8) and {k: v for k, v in stamp().items() if k in before} == before
+    fresh = samplers.random_walk(g, 8, 3, 2)
+    assert sorted(map(tuple, pool.samples().collect())) == sorted(map(tuple, fresh.collect()))
+    plan = pool.spark.read.parquet(f"{path}/samples").where("block = 1")
+    assert {f.split("block=")[1][0] for f in plan.inputFiles()} <= {"0", "1"} and plan.count() == fresh.where("sg >= 4").count()
