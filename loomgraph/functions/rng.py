@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,3 +28,9 @@ def below(n: Column, tag: str, *counters: Column | str) -> Column:
 def below_sql(n: str, tag: str, *counters: str) -> str:
     """The same number in plain SQL."""
     return f"(({u32_sql(tag, *counters)} * 1073741824 + {u32_sql(f'{tag}+', *counters)} % 1073741824) % {n})"
+
+
+def below_py(n: int, tag: str, *counters: int) -> int:
+    """The same number inside a task."""
+    word = lambda t: int(hashlib.md5("|".join([t, *map(str, counters)]).encode(), usedforsecurity=False).hexdigest()[:8], 16)
+    return (word(tag) * 1073741824 + word(f"{tag}+") % 1073741824) % n

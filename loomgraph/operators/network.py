@@ -33,8 +33,19 @@ def _slopes(act: str) -> float | None:
     return known[act]
 
 
-def _starting(layer: Layer, rng: np.random.Generator) -> Weights:
-    draw = lambda a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b))
+#: First values of weight matrices by name: (generator, rows, columns) -> matrix.
+STARTS: dict[str, Callable[[np.random.Generator, int, int], np.ndarray]] = {
+    "glorot": lambda rng, a, b: rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)),
+    "normal": lambda rng, a, b: rng.normal(size=(a, b)) * np.sqrt(2 / (a + b)),
+    "uniform": lambda rng, a, b: rng.uniform(-0.05, 0.05, (a, b)),
+    "rounded": lambda rng, a, b: np.round(rng.uniform(-1, 1, (a, b)) * np.sqrt(6 / (a + b)), 4),
+    "zeros": lambda rng, a, b: np.zeros((a, b)),
+    "ones": lambda rng, a, b: np.ones((a, b)),
+}
+
+
+def _starting(layer: Layer, rng: np.random.Generator, start: str) -> Weights:
+    draw = lambda a, b: STARTS[start](rng, a, b)
     found, d = {}, layer.outputs // layer.heads
     for o in range(layer.order + 1):
         found[f"{o}.w"] = np.concatenate([draw(layer.inputs, d) for _ in range(layer.heads)], 1)
@@ -190,10 +201,10 @@ class Network:
     def of(config: Config, inputs: int, classes: int) -> Network:
         return Network(config.layers(inputs), config.classifier(inputs, classes), config.network["loss"] == "sigmoid", float(config.params["dropout"]))
 
-    def initial(self, seed: int = 0) -> tuple[Weights, Weights]:
+    def initial(self, seed: int = 0, start: str = "glorot") -> tuple[Weights, Weights]:
         """(weights, running means and variances of the layers that normalise columns)."""
         rng = np.random.default_rng(seed)
-        weights = {f"{n}/{k}": v for n, layer in enumerate([*self.layers, self.classifier]) for k, v in _starting(layer, rng).items()}
+        weights = {f"{n}/{k}": v for n, layer in enumerate([*self.layers, self.classifier]) for k, v in _starting(layer, rng, start).items()}
         state = {f"{n}/{k}": v for n, layer in enumerate(self.layers) if layer.bias == "norm-nn" for k, v in (("mean", np.zeros(layer.width)), ("var", np.ones(layer.width)))}
         return weights, state
 

@@ -5,7 +5,7 @@ A registry maps names to samplers; a custom sampler is any function (Prepared, n
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.rng import below
+from ..functions.rng import below, below_py
 from ..sources.graphs import degrees, indexed
 from .windows import ranked, running_total
 
@@ -59,10 +59,10 @@ def vanilla_node(g: Prepared, samples: int = 20, size: int = 100, start: int = 0
     return uniform(g, samples, size, "vanilla", start).select("sg", "v").distinct()
 
 
-def hop(g: Prepared, at: DataFrame, tag: str) -> DataFrame:
-    """(sg, i, v) one uniform step on; a node without edges stays."""
-    here = at.join(g.deg, at.v == g.deg.id, "left").select("sg", "i", "v", F.when(F.col("deg") > 0, below(F.when(F.col("deg") > 0, F.col("deg")), tag, "sg", "i")).alias("k"))
-    return here.join(g.edges.select(F.col("src").alias("v"), "k", "dst"), ["v", "k"], "left").select("sg", "i", F.coalesce("dst", "v").alias("v"))
+def hop(g: Prepared, at: DataFrame, tag: str, *counters: F.Column, also: tuple[str, ...] = ()) -> DataFrame:
+    """(sg, i, v) one uniform step on, with the columns in also as they are; a node without edges stays."""
+    here = at.join(g.deg, at.v == g.deg.id, "left").select("sg", "i", *also, "v", F.when(F.col("deg") > 0, below(F.when(F.col("deg") > 0, F.col("deg")), tag, "sg", "i", *counters)).alias("k"))
+    return here.join(g.edges.select(F.col("src").alias("v"), "k", "dst"), ["v", "k"], "left").select("sg", "i", *also, F.coalesce("dst", "v").alias("v"))
 
 
 def random_walk(g: Prepared, samples: int = 20, roots: int = 60, depth: int = 2, start: int = 0) -> DataFrame:
@@ -126,47 +126,56 @@ def full_batch(g: Prepared, samples: int = 20, start: int = 0) -> DataFrame:
     return g.ids.select("id").crossJoin(F.broadcast(g.ids.sparkSession.range(start, start + samples).withColumnRenamed("id", "sg"))).select("sg", F.col("id").alias("v"))
 
 
-def _frontier_walk(frontier: np.ndarray, steps: int, indptr: np.ndarray, dst: np.ndarray, cap: int, seed: int) -> np.ndarray:
-    """Pop a frontier node in proportion to its clipped degree, push and record a uniform neighbour."""
-    rng = np.random.default_rng(seed)
-    at = frontier.copy()
-    weight = np.minimum(np.diff(indptr)[at], cap).astype(np.float64)
-    seen = []
-    for _ in range(steps):
-        total = weight.sum()
-        if total <= 0:
-            break
-        i = int(np.searchsorted(np.cumsum(weight), rng.random() * total, "right"))
-        i = min(i, len(at) - 1)
-        v = at[i]
-        at[i] = dst[indptr[v] + rng.integers(indptr[v + 1] - indptr[v])]
-        weight[i] = min(indptr[at[i] + 1] - indptr[at[i]], cap)
-        seen.append(at[i])
-    return np.unique(np.concatenate([frontier, np.array(seen, np.int64)]))
-
-
-#: Most edges of a training graph that the frontier sampler sends to every task.
-FRONTIER_EDGES = 50_000_000
-
-
-def frontier(g: Prepared, samples: int = 20, size: int = 100, frontier_size: int = 30, cap: int = 10000, seed: int = 1, start: int = 0) -> DataFrame:
-    """Multi-dimensional random walk: sequential inside a sample, parallel over samples, over a broadcast adjacency of checked size."""
-    edges = g.edges.count()
-    if edges > FRONTIER_EDGES:
-        raise ValueError(f"{edges} edges are too many to broadcast; sample with random_walk")
-    spark = g.edges.sparkSession
-    table = g.edges.orderBy("eid").select("src", "dst").toArrow()
-    src, dst = table["src"].to_numpy(), table["dst"].to_numpy()
-    n = int(max(src.max(initial=-1), dst.max(initial=-1), g.ids.agg(F.max("id")).first()[0] or 0)) + 1
-    shared = spark.sparkContext.broadcast((np.concatenate([[0], np.cumsum(np.bincount(src, minlength=n))]), dst))
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        indptr, to = shared.value
-        sg = int(pdf["sg"].iloc[0])
-        v = _frontier_walk(pdf.sort_values("i")["v"].to_numpy(np.int64), size - frontier_size, indptr, to, cap, seed * 1_000_003 + sg)
-        return pd.DataFrame({"sg": sg, "v": v})
-
-    return uniform(g, samples, frontier_size, "frontier", start).groupBy("sg").applyInPandas(walk, "sg bigint, v bigint")
+def _scheduled(steps: int):
+    """(sg, chain of (i, n, v, d)) -> (sg, nodes met, whether a chain was too short): which place of the frontier moves is drawn in proportion to the degrees that stand there."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            met, short = [], []
+            for sg, chain in zip(frame["sg"], frame["chain"], strict=True):
+                i, n, v, d = (np.array([link[c] for link in chain]) for c in ("i", "n", "v", "d"))
+                shape = int(i.max()) + 1, int(n.max()) + 1
+                nodes, degrees = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+                nodes[i, n], degrees[i, n] = v, d
+                at, places = np.zeros(shape[0], np.int64), np.arange(shape[0])
+                ended = False
+                for step in range(steps):
+                    upto = np.cumsum(degrees[places, at])
+                    if not upto[-1]:
+                        break
+                    place = int(np.searchsorted(upto, below_py(int(upto[-1]), "mrw-pick", sg, step), "right"))
+                    at[place] += 1
+                    ended = at[place] == shape[1]
+                    if ended:
+                        break
+                met.append([] if ended else np.unique(nodes[np.arange(shape[1]) <= at[:, None]]).tolist())
+                short.append(ended)
+            yield pd.DataFrame({"sg": frame["sg"], "met": met, "short": short})
+
+    return run
+
+
+def frontier(g: Prepared, samples: int = 20, size: int = 100, frontier_size: int = 30, cap: int = 10000, start: int = 0) -> DataFrame:
+    """Multi-dimensional random walk: of a frontier of nodes one is popped in proportion to its degree, up to cap, and a uniform neighbour takes its place, size - frontier_size times.
+
+    Where a place goes when it moves does not depend on the other places. So the walks of all places of all samples are
+    drawn ahead, by the joins of plain random walks, and only then is it decided which place moves when; that needs a few
+    numbers a sample. Where a place moves more often than its walk is long, all walks are drawn twice as long.
+    """
+    steps = max(size - frontier_size, 0)
+    length = 2 * -(-steps // frontier_size) + 2
+    while True:
+        at = uniform(g, samples, frontier_size, "frontier", start).withColumn("path", F.array("v"))
+        for n in range(1, length):
+            at = hop(g, at, "mrw", F.lit(n), also=("path",)).withColumn("path", F.concat("path", F.array("v")))
+        chains = at.select("sg", "i", F.posexplode("path").alias("n", "v"))
+        known = chains.join(g.deg, chains.v == g.deg.id).select("sg", F.struct(F.col("i").cast("int").alias("i"), "n", "v", F.least("deg", F.lit(cap)).cast("bigint").alias("d")).alias("link"))
+        rows = known.groupBy("sg").agg(F.collect_list("link").alias("chain"))  # frontier_size times length numbers
+        walked = rows.mapInPandas(_scheduled(steps), "sg bigint, met array<bigint>, short boolean").persist()
+        if walked.where("short").isEmpty() or length > steps:
+            return walked.select("sg", F.explode("met").alias("v"))
+        walked.unpersist()
+        length = min(2 * length, steps + 1)
 
 
 def covering(sampler: Callable[..., DataFrame], g: Prepared, coverage: float, first: int = 200, **sizes: int) -> tuple[DataFrame, int]:

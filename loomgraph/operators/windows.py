@@ -6,15 +6,24 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def running_total(df: DataFrame, key: str, value: str, name: str, width: int = 4096) -> DataFrame:
+#: Values added up in one task; blocks of blocks of them stay below some thousand up to 10**11 keys.
+WIDTH, LEVELS = 4096, 2
+
+
+def running_total(df: DataFrame, key: str, value: str, name: str, width: int = WIDTH, levels: int = LEVELS) -> DataFrame:
     """df with the inclusive running total of value in the order of the integer key.
 
-    Two levels: totals of key blocks of ``width`` are added up in one small window, values inside each block.
+    Totals of key blocks of ``width`` have running totals of their own, level by level; those of the last level are few
+    enough for one small window. Inside a block values are added up by a window of that block.
     """
     df = df.withColumn("_block", F.floor(F.col(key) / width))
     blocks = df.groupBy("_block").agg(F.sum(value).alias("_sum"))
-    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    if levels > 1:
+        upper = running_total(blocks.select(F.col("_block").alias("_key"), "_sum"), "_key", "_sum", "_upto", width, levels - 1)
+        offsets = upper.select(F.col("_key").alias("_block"), (F.col("_upto") - F.col("_sum")).alias("_before"))
+    else:
+        before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        offsets = blocks.select("_block", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
     inside = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return df.withColumn("_in", F.sum(value).over(inside)).join(offsets, "_block").withColumn(name, (F.col("_before") + F.col("_in")).cast("bigint")).drop("_block", "_in", "_before")
 

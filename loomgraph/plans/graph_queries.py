@@ -13,12 +13,15 @@ from ..operators import messages as M
 from ..operators import metrics as X
 from ..operators import network as L
 from ..operators import norms as N
+from ..operators import phases as P
 from ..operators import samplers as S
 from ..operators import svd as V
 from ..operators import training as R
 from ..operators import wide as W
+from ..operators.config import configuration
 from ..operators.windows import local_ids, running_total
 from ..sources import graphs as G
+from ..sources import metrics_table
 from ..sources.adapter import SOURCES
 from . import tables as T
 
@@ -416,5 +419,21 @@ def train_evaluate(c: T.Context) -> DataFrame:
     return R.evaluate(weights, c.graph.edges, scaled, c.graph.labels, c.graph.nodes)
 
 
+#: A network of two layers, trained by two samplers one after the other.
+SCHEDULE = {
+    "network": [{"arch": "1-0", "dim": 8, "act": "relu", "bias": "norm", "aggr": "concat"}],
+    "params": [{"lr": 0.02, "sample_coverage": 1, "dropout": 0.1}],
+    "phase": [{"end": 1, "sampler": "node", "size_subgraph": 600}, {"end": 2, "sampler": "rw", "num_root": 300, "depth": 2}],
+}
+
+
+@query
+def train_phases(c: T.Context) -> DataFrame:
+    """(epoch, name, value): the scalars of a run from a configuration with two phases on the part graph."""
+    path = c.scratch()
+    P.fit(configuration(SCHEDULE), SOURCES["parts"](c.spark, c.dir).tables(), path, together=4, block=20)
+    return metrics_table.read(c.spark, f"{path}/metrics").select("epoch", "name", "value")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: (lambda spark, sf_dir, f=f: f(T.Context(spark, sf_dir))) for name, f in QUERIES.items()}

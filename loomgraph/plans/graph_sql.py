@@ -63,6 +63,9 @@ RELATIONS: dict[str, str] = {
     "vo": f"SELECT word, j, {u('vec', 'word', 'j')} % 1000 AS v FROM (SELECT word, unnest(range(4))::INTEGER AS j FROM (SELECT DISTINCT word FROM wd) WHERE {u('known', 'word')} % 5 > 0)",
     "an": "SELECT src, dst, 1.0::DOUBLE / count(*) OVER (PARTITION BY src) AS w FROM ef",
     "fs": "SELECT id, j, round((v - mean) / scale, 4) AS v FROM feat JOIN ft USING (j)",
+    "ch": f"SELECT sg, i, n, v, (SELECT least(deg, 10000) FROM deg WHERE id = v) AS d FROM (WITH RECURSIVE walk AS (SELECT sg, i, 0 AS n, tr.id AS v FROM (SELECT sg, i, {draw('(SELECT count(*) FROM tr)', 'frontier', 'sg', 'i')} AS r FROM grid WHERE i < 30) JOIN tr USING (r) UNION ALL SELECT sg, i, n + 1, coalesce(ei.dst, v) FROM walk JOIN deg ON deg.id = v LEFT JOIN ei ON ei.src = v AND deg > 0 AND ei.k = {draw('greatest(deg, 1)', 'mrw', 'sg', 'i', 'n + 1')} WHERE n < {_N - 30}) SELECT * FROM walk)",
+    "cl": "SELECT sg, list(ds ORDER BY i) AS ds FROM (SELECT sg, i, list(d ORDER BY n) AS ds FROM ch GROUP BY sg, i) GROUP BY sg",
+    "mw": f"SELECT sg, places FROM (WITH RECURSIVE moved AS (SELECT sg, ds, 0 AS step, list_transform(range(30), lambda x: 0) AS places FROM cl UNION ALL SELECT sg, ds, step + 1, list_transform(places, lambda a, p: a + (p = 1 + len(list_filter(range(1, 31), lambda q: list_sum(w[1:q]) <= r)))::INTEGER) AS places FROM (SELECT *, {draw('list_sum(w)::BIGINT', 'mrw-pick', 'sg', 'step')} AS r FROM (SELECT *, list_transform(range(1, 31), lambda p: ds[p][places[p] + 1]) AS w FROM moved WHERE step < {_N - 30}) WHERE list_sum(w) > 0)) SELECT *, row_number() OVER (PARTITION BY sg ORDER BY step DESC) AS last FROM moved) WHERE last = 1",
     "er": "SELECT vec_id, label, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS r FROM embeddings",
 }
 
@@ -145,6 +148,7 @@ SELECTS: dict[str, str] = {
     "edge_sampler": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM (SELECT sg, {draw('(SELECT max(hi) FROM wc)', 'e', 'sg', 'i')} AS s FROM grid) JOIN wc ON (hi - w < s AND s <= hi) OR (s = 0 AND hi = w)",
     "edge_sampler_bernoulli": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM wt, (SELECT range AS sg FROM range({_S})) WHERE {draw('4611686018427387904', 'b', 'sg', 'eid')}::DOUBLE / 4611686018427387904::DOUBLE < (w * {_N})::DOUBLE / (SELECT sum(w) FROM wt)::DOUBLE",
     "vanilla_node_sampler": f"SELECT DISTINCT sg, id AS v FROM grid JOIN tr ON r = {draw('(SELECT count(*) FROM tr)', 'vanilla', 'sg', 'i')}",
+    "mrw_sampler": "SELECT DISTINCT ch.sg, v FROM ch JOIN mw ON mw.sg = ch.sg WHERE n <= places[i + 1]",
     "full_batch_sampler": f"SELECT range AS sg, id AS v FROM range({_S}), tr",
     "local_ids": "SELECT * FROM lid",
     "induced_subgraph": "SELECT sg, src, dst, lsrc, ldst, eid FROM se",

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from ..operators.windows import ranked
 from .graphs import GraphTables, induced_by_role, val_edges
 
 ROWS = 1 << 16
@@ -171,3 +172,16 @@ def write_node_link(graph: GraphTables, path: str) -> None:
     """Node-link JSON lines in two folders: nodes (id, test, val) and links (source, target), each undirected edge once."""
     graph.nodes.select("id", (F.col("role") == "te").alias("test"), (F.col("role") == "va").alias("val")).write.json(f"{path}/nodes")
     graph.edges.where("src <= dst").select(F.col("src").alias("source"), F.col("dst").alias("target")).write.json(f"{path}/links")
+
+
+def write_id_map(nodes: DataFrame, path: str, each: int = ROWS) -> None:
+    """{"id": number} as JSON objects of some thousand ids a line, numbers in the order of ids; read_id_map is the way back."""
+    numbered = ranked(nodes.select("id"), "id", "r")
+    lines = numbered.groupBy(F.expr(f"r div {each}")).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(F.col("id").cast("string"), "r")))).alias("value"))
+    lines.select("value").write.text(path)
+
+
+def read_id_map(spark: SparkSession, path: str) -> DataFrame:
+    """(id, r)."""
+    read = spark.read.text(path).select(F.explode(F.from_json("value", "map<string, bigint>")).alias("id", "r"))
+    return read.select(F.col("id").cast("bigint").alias("id"), "r")

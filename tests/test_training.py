@@ -33,6 +33,22 @@ def test_adam_first_step_is_the_rate():
     assert np.allclose(out["w"], [0.9, 1.1])
 
 
+def test_adam_cuts_by_length_or_by_value():
+    """The first step is the same for any size of a gradient, the second tells how the first was cut."""
+    big, small = {"w": np.array([30.0, 40.0])}, {"w": np.array([1.0, 1.0])}
+    for by_value, cut in ((False, [3.0, 4.0]), (True, [5.0, 5.0])):
+        adam = T.Adam(0.1, by_value=by_value)
+        adam.update({"w": np.zeros(2)}, big)
+        assert np.allclose(adam.first["w"], np.array(cut) * 0.1, rtol=1e-4)
+        adam.update({"w": np.zeros(2)}, small)
+
+
+def test_id_map(spark):
+    folder = tempfile.mkdtemp(prefix="spark-ids-")
+    files.write_id_map(spark.createDataFrame([(7,), (3,), (90,)], "id bigint"), f"{folder}/map", 2)
+    assert {r.id: r.r for r in files.read_id_map(spark, f"{folder}/map").collect()} == {3: 0, 7: 1, 90: 2}
+
+
 def test_training_learns(spark):
     """Two classes told apart by one feature, on two subgraphs; the whole-graph predictions are those of the forward pass."""
     n = 40
