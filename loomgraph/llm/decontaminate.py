@@ -11,8 +11,8 @@ search. q-grams are hashes of code points, so any script is searched alike. Shar
 at a time. Items are broadcast in blocks of at most BLOCK_BYTES, each block in one pass over the texts, so a benchmark of
 any size is searched.
 
-Defined results: one row for each passage; passages of one item in one text that overlap count once, as the one of
-fewest edits (then the shortest, then the first); null text has no leaks; items that are null or without characters are
+Defined results: for each place where a passage can end, the one of fewest edits counts (then the shortest), and of those
+of one item in one text that overlap, the one of fewest edits (then the shortest, then the first); null text has no leaks; items that are null or without characters are
 left out; several equal items are all reported; rows that share a doc_id are reported each. Extra columns are ignored.
 Empty tables give empty results.
 """
@@ -132,8 +132,8 @@ class Index:
         return code // span // max(1, len(self.size)), item, (code % span + low) * (self.budget[item] + 1)
 
 
-def align(texts: list[np.ndarray], items: list[np.ndarray], diagonals: np.ndarray, budgets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(edits, start, end) of the best passage of each text against the whole item among the two bands from the diagonal on, with the budget's margin on both sides.
+def ends(texts: list[np.ndarray], items: list[np.ndarray], diagonals: np.ndarray, budgets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(alignments, edits, start, end) of the best passage for each end, of texts against whole items among the two bands from the diagonal on, with the budget's margin on both sides; a row an alignment, a column an end.
 
     All alignments of the call advance together, one item character a step. A cell holds its cost above the column in
     which its path began, counted from the right, so that of equal costs the shortest passage wins.
@@ -154,17 +154,24 @@ def align(texts: list[np.ndarray], items: list[np.ndarray], diagonals: np.ndarra
     spare = (k - budgets)[:, None]
     inside &= (steps >= spare) & (steps <= spare + 4 * (budgets[:, None] + 1))
     cost = np.where(inside, width - steps, one << 20)
-    best, start, end = np.full(n, 1 << 20), np.zeros(n, np.int64), np.zeros(n, np.int64)
     for i in range(longest):
         step = cost + (window[:, i : i + width] != pattern[:, i : i + 1]) * one
         step[:, :-1] = np.minimum(step[:, :-1], cost[:, 1:] + one)
         cost = np.minimum.accumulate(step - steps * one, 1) + steps * one
         done = np.flatnonzero(size == i + 1)
         if len(done):
-            at = cost[done].argmin(1)
-            cell = cost[done, at]
-            best[done], start[done], end[done] = cell >> 32, lo[done] + width - (cell & (one - 1)), lo[done] + i + 1 + at
-    return best, start, end
+            cell, from_ = cost[done], lo[done][:, None]
+            yield done, cell >> 32, from_ + width - (cell & (one - 1)), np.broadcast_to(from_ + i + 1 + steps, cell.shape)
+
+
+def align(texts: list[np.ndarray], items: list[np.ndarray], diagonals: np.ndarray, budgets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(edits, start, end) of the best passage of each alignment, of equal ones the shortest."""
+    found = np.zeros((3, len(texts)), np.int64)
+    for done, *cells in ends(texts, items, diagonals, budgets):
+        edits, start, end = cells
+        at = (edits * (1 << 32) + end - start).argmin(1)
+        found[:, done] = np.stack([c[np.arange(len(done)), at] for c in cells])
+    return found[0], found[1], found[2]
 
 
 def apart(found: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -186,16 +193,25 @@ def _leaks(index: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
         row, item, diagonal = ix.bands(data, off)
         order = np.argsort(ix.size[item], kind="stable")
         row, item, diagonal = row[order], item[order], diagonal[order]
-        out, lo = defaultdict(list), 0
+        met, lo = [], 0
         while lo < len(row):
             hi = lo + 1
             while hi < len(row) and (hi + 1 - lo) * (2 * ix.size[item[hi]] + 4 * ix.budget[item[hi]]) <= _CELLS:
                 hi += 1
             r, t = row[lo:hi], item[lo:hi]
-            edits, start, end = align([texts[i] for i in r], [ix.points[i] for i in t], diagonal[lo:hi], ix.budget[t])
-            for i in np.flatnonzero(edits <= ix.budget[t]).tolist():
-                out[int(r[i]), int(t[i])].append((int(edits[i]), int(start[i]), int(end[i])))
+            for done, edits, start, end in ends([texts[i] for i in r], [ix.points[i] for i in t], diagonal[lo:hi], ix.budget[t]):
+                at, column = np.nonzero((edits <= ix.budget[t[done]][:, None]) & (end > start))
+                met.append(np.stack([r[done[at]], t[done[at]], end[at, column], edits[at, column], start[at, column]]))
             lo = hi
+        whole = np.concatenate(met, 1) if met else np.zeros((5, 0), np.int64)
+        # of the passages with one end, in whatever band, the best
+        order = np.lexsort((-whole[4], whole[3], whole[2], whole[1], whole[0]))
+        whole = whole[:, order]
+        best = np.ones(whole.shape[1], bool)
+        best[1:] = (whole[:3, 1:] != whole[:3, :-1]).any(0)
+        out = defaultdict(list)
+        for r, t, end, edits, start in whole[:, best].T.tolist():
+            out[r, t].append((edits, start, end))
         if not out:
             return None
         rows = [(ids[r], ix.ids[t], *f) for (r, t), found in sorted(out.items()) for f in apart(found)]
@@ -219,20 +235,20 @@ def _leaks(index: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Re
     return run
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1) -> DataFrame:
-    """(doc_id, item_id, edits, start, end) of every passage of a text that leaks an item; positions are those of the cleaned text."""
+def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, shortest: int = 1) -> DataFrame:
+    """(doc_id, item_id, edits, start, end) of every passage of a text that leaks an item of at least ``shortest`` cleaned characters; positions are those of the cleaned text."""
     items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
     blocks = max(1, -(-int(items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     found = []
     for block in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
-        texts = [(r["item_id"], clean(r["text"])) for r in mine.orderBy("item_id", "text").collect()]
+        texts = [(i, t) for i, t in ((r["item_id"], clean(r["text"])) for r in mine.orderBy("item_id", "text").collect()) if len(t) >= shortest]
         index = docs.sparkSession.sparkContext.broadcast((texts, rate))
         found.append(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(released(_leaks(index)), "doc_id long, item_id long, edits int, start long, end long"))
     return reduce(DataFrame.unionByName, found)
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = 0.1, shortest: int = Q) -> DataFrame:
-    """The rows of docs that leak no item of at least ``shortest`` characters; shorter ones are words that any text may have."""
-    bad = leaks(docs, benchmark.where(F.length("text") >= shortest), rate).select("doc_id").distinct()
+    """The rows of docs that leak no item of at least ``shortest`` cleaned characters; shorter ones are words that any text may have."""
+    bad = leaks(docs, benchmark, rate, shortest).select("doc_id").distinct()
     return docs.join(bad, "doc_id", "left_anti").select(docs.columns)

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import math
 import os
+import time
 import zlib
 from collections import Counter
 
@@ -252,6 +253,14 @@ def test_decontamination(spark, docs, empty):
     assert decontaminate.leaks(more, bench.limit(0)).count() == 0
 
 
+def test_reading_archives_is_linear():
+    members = b"".join(gzip.compress(f"WARC/1.1 {i}".encode()) for i in range(64_000))
+    began = time.process_time()
+    assert [int(m.split()[1]) for m in warc._records(members)] == list(range(64_000))
+    assert time.process_time() - began < 10
+    assert list(warc._records(gzip.compress(b"x" * 3_000_000) + gzip.compress(b"") + gzip.compress(b"y"))) == [b"x" * 3_000_000, b"y"]
+
+
 def test_alignment_equals_full_dynamic_programme():
     rng = np.random.default_rng(3)
     for _ in range(20):
@@ -286,6 +295,39 @@ def distance(a, b):
     return row[-1]
 
 
+def every_passage(text, item):
+    """(edits, start, end): for each end the best passage within the budget, then those that no better one overlaps."""
+    budget, n = int(len(item) * 0.1 + 1e-9), len(text)
+    row = [(0, -j) for j in range(n + 1)]  # edits, then the latest start
+    for i, a in enumerate(item, 1):
+        new = [(i, 0)]
+        for j, b in enumerate(text, 1):
+            new.append(min((row[j - 1][0] + (a != b), row[j - 1][1]), (row[j][0] + 1, row[j][1]), (new[-1][0] + 1, new[-1][1])))
+        row = new
+    kept = []
+    for edits, size, start, end in sorted((e, j + s, -s, j) for j, (e, s) in enumerate(row) if e <= budget and j + s > 0):
+        if all(end <= a or start >= b for _, a, b in kept):
+            kept.append((edits, start, end))
+    return sorted(kept)
+
+
+def test_every_passage_is_told(spark):
+    rng = np.random.default_rng(11)
+    items = {1: "a", 2: "aa", 3: "=" * 20, 4: "abcabcabcabcabcabcabcabc", 5: "no such text anywhere at all"}
+    texts = {1: "aaaa", 2: "=" * 100, 3: "abc" * 40, 4: "aab" * 9 + "=" * 41, 5: "abcabcabxabcabcabcabcabc " * 4, 6: "".join(rng.choice(list("abc="), 300)), 7: "abc" * 7 + "x" + "abc" * 9}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = decontaminate.leaks(docs, spark.createDataFrame(list(items.items()), "item_id long, text string")).collect()
+    found = sorted((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in got)
+    assert found == sorted((d, i, *f) for d, t in texts.items() for i, item in items.items() for f in every_passage(decontaminate.clean(t), item))
+    assert sum((r.doc_id, r.item_id) == (1, 1) for r in got) == 4 and sum((r.doc_id, r.item_id) == (2, 3) for r in got) == 5
+
+
+def test_padded_items_are_as_short_as_they_are(spark):
+    docs = spark.createDataFrame([(1, "a cat"), (2, "an answer")], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "       a   "), (2, "an      answer")], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.decontaminated(docs, items).collect()] == [1]
+
+
 def test_leaks_equal_brute_force(spark):
     """Items of all lengths and scripts, whole, with edits, several times, and with too many edits."""
     rng = np.random.default_rng(5)
@@ -317,6 +359,8 @@ def test_leaks_equal_brute_force(spark):
     for key in {(r.doc_id, r.item_id) for r in got}:
         spans = sorted((r.start, r.end) for r in got if (r.doc_id, r.item_id) == key)
         assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    whole = sorted((r.doc_id, r.item_id, r.edits, r.start, r.end) for r in got)
+    assert whole == sorted((d, i, *f) for d, t in texts.items() for i, item in cleaned.items() if item for f in every_passage(decontaminate.clean(t or ""), item))
     assert sorted((r.start, r.end) for r in got if (r.doc_id, r.item_id) == (103, 2)) == [(0, 5), (6, 11)]
     assert sum((r.doc_id, r.item_id) == (104, 5) for r in got) == 3
 
