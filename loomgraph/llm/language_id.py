@@ -250,11 +250,18 @@ def held_out(doc_id: str = "doc_id") -> F.Column:
 
 
 def fit(docs: DataFrame, pieces: list[bytes], max_docs: int = 1000, max_bytes: int = 20000) -> tuple[list[str], np.ndarray]:
-    """Learn from rows of (doc_id, text, lang); at most about max_docs documents a language reach the driver, as word counts."""
-    labelled = docs.where("lang is not null and text is not null").where(F.octet_length("text") <= max_bytes)
-    share = {r["lang"]: min(1.0, max_docs / r["count"]) for r in labelled.groupBy("lang").count().collect()}
-    if not share:
+    """Learn from rows of (doc_id, text, lang); at most about max_docs documents a language reach the driver, as word counts.
+
+    They are those of at most max_bytes, or, of a language that has only longer ones, its shortest.
+    """
+    told = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
+    size = F.octet_length("text")
+    longest = {r["lang"]: max(max_bytes, r["least"]) for r in told.groupBy("lang").agg(F.min(size).alias("least")).collect()}
+    if not longest:
         return [], np.zeros((len(pieces), 0))
+    bound = F.create_map(*[F.lit(x) for kv in longest.items() for x in kv])
+    labelled = told.where(size <= bound[F.col("lang")])
+    share = {r["lang"]: min(1.0, max_docs / r["count"]) for r in labelled.groupBy("lang").count().collect()}
     limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])
     # a hash is even over [-1, 1), of whatever size the share is
     place = F.xxhash64("doc_id", "text", F.lit("language sample")).cast("double") / float(1 << 63)
