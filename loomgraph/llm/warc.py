@@ -108,14 +108,20 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     members.select(F.col("value").cast("string")).write.option("lineSep", "\0").option("compression", "none").option("maxRecordsPerFile", max(1, int(roll_bytes // max(1, mean)))).text(path)
 
 
+#: Bytes given to the decompressor at once.
+PIECE = 1 << 13
+
+
 def _records(data: bytes) -> Iterator[bytes]:
-    """The contents of the gzip members, one at a time."""
-    rest = data
-    while rest:
-        d = zlib.decompressobj(31)
-        found = d.decompress(rest)
-        rest = d.unused_data
-        if found:
+    """The contents of the gzip members, one at a time; they are fed in short pieces, so that little is copied at a member's end."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        d, parts = zlib.decompressobj(31), []
+        while not d.eof and at < len(view):
+            piece = view[at : at + PIECE]
+            parts.append(d.decompress(piece))
+            at += len(piece) - len(d.unused_data)
+        if found := b"".join(parts):
             yield found
 
 
