@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+#: Folder -> name of bucketed tables, for their removal.
+_named: dict[str, str] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,6 +51,7 @@ def bucketed(df: DataFrame, key: str, name: str, codec: str = "zstd") -> DataFra
     spark = df.sparkSession
     path, named = new_path(spark, name), f"loomgraph_{uuid.uuid4().hex}"
     df.write.bucketBy(int(spark.conf.get("spark.sql.shuffle.partitions")), key).option("path", path).option("compression", codec).saveAsTable(named)
+    _named[path.rpartition("/")[2]] = named
     return spark.table(named)
 
 
@@ -60,6 +63,8 @@ def discard(*frames: DataFrame) -> None:
             spark = frame.sparkSession
             folder = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
             folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+            if (named := _named.pop(folder.getName(), None)) is not None:
+                spark.sql(f"DROP TABLE IF EXISTS {named}")
 
 
 def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
