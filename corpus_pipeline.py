@@ -1,6 +1,7 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and reread as the next one's input.
 
-Language ID rejects documents without letters and those that no learned language explains; near-dedup keeps one
+Language ID rejects documents without letters and those that no learned language explains (all of them, where no row has
+a lang to learn from); near-dedup keeps one
 document of each class; decontamination drops documents that leak a benchmark item; mixing takes every document at
 least once and those of small sources up to twice; sharding permutes the rows into shards and slots. SQL cannot express
 it: the tests hold it against brute force on a small table.
@@ -13,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from loomgraph.llm import decontaminate, language_id, mixing, near_dedup, sharding
-from loomgraph.llm.common import new_path, table
+from loomgraph.llm.common import discard, new_path, table
 from loomgraph.llm.queries import vocabulary_path
 
 SHARDS = 40
@@ -53,9 +54,12 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         path = new_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
