@@ -18,7 +18,7 @@ SIZES = {"mrw": ("size_subgraph", "size_frontier"), "rw": ("num_root", "depth"),
 class Layer:
     """One layer: neighbours up to ``order`` steps away, each hop with weights of inputs x outputs.
 
-    kind names it in the registry of layers: order (sums over neighbours), attention or gated.
+    kind names it in the registry of layers: order (sums over neighbours), attention, joint (attention) or gated.
     """
 
     order: int
@@ -56,7 +56,7 @@ class Config:
     def layers(self, inputs: int) -> list[Layer]:
         """The layers of the architecture, such as 1-0-1: a number is a layer's order."""
         net, found = self.network, []
-        kind = "order" if "attention" not in net else "gated" if net.get("gated_attention") else "attention"
+        kind = "order" if "attention" not in net else "gated" if net.get("gated_attention") else str(net.get("attention_kind", "attention"))
         for order in map(int, str(net["arch"]).split("-")):
             found.append(Layer(order, found[-1].width if found else inputs, net["dim"], net["act"], net["bias"], net["aggr"], int(net.get("attention", 1)), kind, int(net.get("dim_gate", 64))))
         return found

@@ -4,7 +4,8 @@ Layers join hops 0 to ``order``; each hop has weights of its own, an activation,
 outputs (bias norm: each row of a hop; norm-nn: each column of the joined outputs). Attention is without softmax: an edge
 weighs leaky(a . own) + leaky(b . other), times its w. As that is a sum of one term a node, the sum over neighbours is
 leaky(a . own) * (A h) + A (leaky(b . h) * h): one join and one aggregation an application, with all heads side by side.
-Gates multiply each head by [x | largest neighbour of x W | A x] W'.
+Joint attention, of one hop, weighs an edge by max(a . own + b . other + biases, 0) instead, of inputs without activation,
+which comes after the sum; there the terms of an edge's two ends meet on the edge. Gates multiply each head by [x | largest neighbour of x W | A x] W'.
 """
 
 from __future__ import annotations
@@ -54,6 +55,10 @@ def _starting(layer: Layer, rng: np.random.Generator, start: str) -> Weights:
             found[f"{o}.scale"], found[f"{o}.offset"] = np.ones(layer.outputs), np.zeros(layer.outputs)
         if o < layer.order and layer.kind != "order":
             found[f"{o}.own"], found[f"{o}.other"] = (np.concatenate([draw(1, d) for _ in range(layer.heads)]) for _ in range(2))
+    if layer.kind == "joint":
+        if layer.order > 1:
+            raise ValueError("joint attention reaches one hop")
+        found |= {f"0.{name}_b": np.zeros(layer.heads) for name in ("own", "other") if layer.order}
     if layer.kind == "gated":
         found["pool"], found["gate"] = draw(layer.inputs, layer.gate), draw(2 * layer.inputs + layer.gate, layer.heads)
     if layer.bias == "norm-nn":
@@ -109,6 +114,20 @@ def _attention_on_tape(t: Tape, layer: Layer, p: dict[str, Node], x: Node, edges
     return out
 
 
+def _joint_on_tape(t: Tape, layer: Layer, p: dict[str, Node], x: Node, edges: Edges) -> list[Node]:
+    out = [_linear(t, layer, p, x, 0)]
+    if layer.order:
+        (src, dst, w), h, heads = edges, t.matmul(x, p["1.w"]), []
+        for i in range(layer.heads):
+            mine = t.columns(h, *_sliced(layer, i))
+            ends = [t.add(t.matmul(mine, t.row(p[f"0.{name}"], i)), t.columns(t.rows(p[f"0.{name}_b"], len(x.value)), i, i + 1)) for name in ("own", "other")]
+            score = t.leaky(t.add(t.at(ends[0], src), t.at(ends[1], dst)))
+            heads.append(t.pooled(t.scaled(t.mul(t.at(mine, dst), score), w[:, None]), src, len(x.value)))
+        z, slope = t.add(t.concat(heads), p["1.b"]), _slopes(layer.act)
+        out.append(z if slope is None else t.leaky(z, slope))
+    return out
+
+
 def _activated(act: str, z: np.ndarray) -> np.ndarray:
     slope = _slopes(act)
     return z if slope is None else np.where(z > 0, z, slope * z)
@@ -151,7 +170,22 @@ def _attention_on_tables(layer: Layer, p: Weights, nodes: DataFrame, edges: Data
     return made
 
 
-LAYERS: dict[str, Kind] = {"order": Kind(_hops_on_tape, _hops_on_tables), "attention": Kind(_attention_on_tape, _attention_on_tables, True), "gated": Kind(_attention_on_tape, _attention_on_tables)}
+def _joint_on_tables(layer: Layer, p: Weights, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    own = lambda x: _activated(layer.act, x @ p["0.w"] + p["0.b"])
+    if not layer.order:
+        return W.by_rows(nodes, ["x"], lambda xs: [own(xs[0])], ["h0"])
+
+    def sent(xs: list[np.ndarray]) -> list[np.ndarray]:
+        h = xs[0] @ p["1.w"]
+        parts = h.reshape(len(h), layer.heads, -1)
+        return [own(xs[0]), h, *((parts * p[f"0.{name}"]).sum(2) + p[f"0.{name}_b"] for name in ("own", "other"))]
+
+    made = W.by_rows(nodes, ["x"], sent, ["h0", "x", "own", "other"])
+    at = W.filled(made.select("id", "h0"), W.attended(edges, made, layer.outputs, layer.heads), layer.outputs, "met")
+    return W.by_rows(at, ["h0", "met"], lambda xs: [xs[0], _activated(layer.act, xs[1] + p["1.b"])], ["h0", "h1"])
+
+
+LAYERS: dict[str, Kind] = {"joint": Kind(_joint_on_tape, _joint_on_tables), "order": Kind(_hops_on_tape, _hops_on_tables), "attention": Kind(_attention_on_tape, _attention_on_tables, True), "gated": Kind(_attention_on_tape, _attention_on_tables)}
 
 
 def _joined_on_tape(t: Tape, layer: Layer, p: dict[str, Node], hops: list[Node]) -> Node:

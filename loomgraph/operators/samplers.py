@@ -109,17 +109,38 @@ def edge(g: Prepared, samples: int = 20, size: int = 100, start: int = 0) -> Dat
     return hit.select("sg", F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
-#: Draws of an edge are whole numbers below this, far finer than the chance of an edge among 10**13.
-DRAWS = 1 << 62
+#: Draws of an edge are whole numbers below this, far finer than the chance of an edge among 10**13; and the samples that
+#: one row of an edge stands for.
+DRAWS, TOGETHER = 1 << 62, 64
+
+
+def _jump(p: F.Column, *counters: F.Column) -> F.Column:
+    """How many samples an edge lets pass before the next that keeps it: geometric, by inversion."""
+    u = (below(F.lit(DRAWS), "b", *counters).cast("double") + 0.5) / float(DRAWS)
+    return F.floor(F.ln(u) / F.log1p(-p))
 
 
 def edge_bernoulli(g: Prepared, samples: int = 20, size: int = 100, start: int = 0) -> DataFrame:
-    """Each upper-triangle edge is kept on its own with probability size * w / total; one pass, no lookup."""
+    """Each sample keeps each upper-triangle edge on its own with probability p = size * w / total; one pass, no lookup.
+
+    An edge jumps from a sample that keeps it to the next that does, so that the work is one draw for every TOGETHER
+    samples of an edge, and one for each that it is kept by. Edges with p of 1 or more are kept by all.
+    """
     w = edge_weights(g)
     total = _scalar(w, F.sum("w"), "total")
-    grid = w.crossJoin(F.broadcast(w.sparkSession.range(start, start + samples).withColumnRenamed("id", "sg"))).crossJoin(total)
-    keep = grid.where(below(F.lit(DRAWS), "b", "sg", "eid").cast("double") / float(DRAWS) < (F.col("w") * size).cast("double") / F.col("total").cast("double"))
-    return keep.select("sg", F.explode(F.array("src", "dst")).alias("v")).distinct()
+    blocks = w.sparkSession.range(-(-samples // TOGETHER)).select((F.col("id") * TOGETHER).alias("low"), F.least((F.col("id") + 1) * TOGETHER, F.lit(samples)).alias("high"))
+    chance = w.crossJoin(total).select("eid", "src", "dst", ((F.col("w") * size).cast("double") / F.col("total").cast("double")).alias("p"))
+    rows = chance.crossJoin(F.broadcast(blocks))
+    drawn = rows.where("p < 1").withColumn("at", F.col("low") + _jump(F.col("p"), F.col("eid"), F.col("low") + start, F.lit(0))).where("at < high")
+
+    def further(found: F.Column, n: F.Column) -> F.Column:
+        last = F.element_at(found, -1)
+        return F.when(last < F.col("high"), F.concat(found, F.array(last + 1 + _jump(F.col("p"), F.col("eid"), F.col("low") + start, n)))).otherwise(found)
+
+    kept = F.aggregate(F.sequence(F.lit(1), F.lit(TOGETHER)), F.array("at"), further)
+    some = drawn.select("src", "dst", F.explode(F.filter(kept, lambda x: x < F.col("high"))).alias("at"))
+    always = rows.where("p >= 1").select("src", "dst", F.explode(F.sequence("low", F.col("high") - 1)).alias("at"))
+    return some.unionByName(always).select((F.col("at") + start).alias("sg"), F.explode(F.array("src", "dst")).alias("v")).distinct()
 
 
 def full_batch(g: Prepared, samples: int = 20, start: int = 0) -> DataFrame:
@@ -181,15 +202,14 @@ def frontier(g: Prepared, samples: int = 20, size: int = 100, frontier_size: int
 def covering(sampler: Callable[..., DataFrame], g: Prepared, coverage: float, first: int = 200, **sizes: int) -> tuple[DataFrame, int]:
     """(samples, their number): a pool whose samples hold more than ``coverage`` times the training nodes, doubled until it does.
 
-    Sample numbers seed the draws, so that a larger pool begins with the smaller one, and a used-up pool is refilled by
-    asking for more.
+    Only the samples that a doubling adds are drawn and counted; sample numbers seed the draws.
     """
-    nodes, number = g.ids.count(), first
-    while True:
-        pool = sampler(g, number, **sizes)
-        if not nodes or pool.count() > coverage * nodes:
-            return pool, number
-        number *= 2
+    nodes, number, held = g.ids.count(), first, 0
+    pool = new = sampler(g, number, **sizes)
+    while nodes and (held := held + new.count()) <= coverage * nodes:
+        new = sampler(g, number, start=number, **sizes)
+        pool, number = pool.unionByName(new), 2 * number
+    return pool, number
 
 
 SAMPLERS: dict[str, Callable[..., DataFrame]] = {"rw": random_walk, "node": node, "edge": edge, "edge_bernoulli": edge_bernoulli, "mrw": frontier, "full_batch": full_batch, "vanilla_node_python": vanilla_node}

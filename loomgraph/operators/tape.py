@@ -76,6 +76,10 @@ class Tape:
 
         return self._made(a.value[i][:, None], back)
 
+    def rows(self, a: Node, n: int) -> Node:
+        """One row n times."""
+        return self._made(np.repeat(a.value[None], n, 0), lambda g: a.add(g.sum(0)))
+
     def concat(self, parts: list[Node]) -> Node:
         ends = np.cumsum([p.value.shape[1] for p in parts])[:-1]
 
@@ -85,6 +89,22 @@ class Tape:
 
         return self._made(np.concatenate([p.value for p in parts], 1), back)
 
+    def at(self, x: Node, rows: np.ndarray) -> Node:
+        """Some rows, each as often as it is asked for."""
+
+        def back(g: np.ndarray) -> None:
+            whole = np.zeros_like(x.value)
+            np.add.at(whole, rows, g)
+            x.add(whole)
+
+        return self._made(x.value[rows], back)
+
+    def pooled(self, x: Node, rows: np.ndarray, n: int) -> Node:
+        """Sums of the rows of x by the number of the row that they go to."""
+        out = np.zeros((n, x.value.shape[1]))
+        np.add.at(out, rows, x.value)
+        return self._made(out, lambda g: x.add(g[rows]))
+
     def gathered(self, src: np.ndarray, dst: np.ndarray, w: np.ndarray, x: Node) -> Node:
         """Weighted sums over the edges of each row."""
 

@@ -35,6 +35,15 @@ def gathered(edges: DataFrame, x: DataFrame, width: int) -> DataFrame:
     return _by_column(_met(edges, x), width, lambda j: F.sum(F.col("w") * F.get("x", F.lit(j))))
 
 
+def attended(edges: DataFrame, x: DataFrame, width: int, heads: int) -> DataFrame:
+    """(id, x): sums over out-neighbours of (id, x, own, other), each head's columns times max(own of the row + other of the neighbour, 0), and the edges' w."""
+    weight = F.col("w") if "w" in edges.columns else F.lit(1)
+    near = edges.select("src", F.col("dst").alias("id"), weight.alias("w")).join(x.select("id", "x", "other"), "id").drop("id")
+    met = near.join(x.select(F.col("id").alias("src"), "own"), "src")
+    score = lambda h: F.col("w") * F.greatest(F.get("own", F.lit(h)) + F.get("other", F.lit(h)), F.lit(0.0))
+    return _by_column(met, width, lambda j: F.sum(score(j * heads // width) * F.get("x", F.lit(j))))
+
+
 def averaged(edges: DataFrame, x: DataFrame, width: int) -> DataFrame:
     """Plain means, as one division of sums."""
     return _by_column(_met(edges, x), width, lambda j: F.sum(F.get("x", F.lit(j))) / F.count(F.lit(1)))

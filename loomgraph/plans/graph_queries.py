@@ -294,7 +294,7 @@ def best_epoch(c: T.Context) -> DataFrame:
 @query
 def role_explode(c: T.Context) -> DataFrame:
     """{role: [ids]} to rows and back is the identity; here the map is built and exploded."""
-    m = c.graph.nodes.groupBy("role", (F.col("id") % 64).alias("part")).agg(F.collect_list("id").alias("ids"))
+    m = c.graph.nodes.groupBy("role", F.expr("id div 4096").alias("part")).agg(F.collect_list("id").alias("ids"))
     return m.select("role", F.explode("ids").alias("id"))
 
 
@@ -326,14 +326,14 @@ def mean_vector(c: T.Context) -> DataFrame:
 @query
 def topk_labels(c: T.Context) -> DataFrame:
     counts = c.table("part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("n"))
-    top = F.broadcast(counts.orderBy(F.desc("n"), "p_brand").limit(10))
+    top = F.broadcast(counts.orderBy(F.desc("n"), "p_brand").limit(10))  # ten rows
     return c.table("part").join(top, "p_brand").select(F.col("p_partkey").alias("id"), "p_brand")
 
 
 @query
 def label_merge(c: T.Context) -> DataFrame:
     """Brands mapped to seven classes by a mapping table."""
-    mapping = F.broadcast(c.table("part").select("p_brand").distinct().withColumn("y", (u32("merge", "p_brand") % 7).cast("int")))
+    mapping = c.table("part").select("p_brand").distinct().withColumn("y", (u32("merge", "p_brand") % 7).cast("int"))
     return c.table("part").join(mapping, "p_brand").select(F.col("p_partkey").alias("id"), "y")
 
 
@@ -399,8 +399,9 @@ def _trained(c: T.Context) -> tuple[dict, list[tuple[int, float]], DataFrame]:
     wide = scaled.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("j", "v"))), lambda p: p["v"]).alias("x"))  # one row a feature
     nodes = pool.join(wide, "id").join(c.graph.labels, "id").join(norm_loss(c).select("id", F.col("lambda").alias("lam")), "id").select("sg", "id", "x", "y", "lam")
     path = f"{c.scratch()}/pool"
-    nodes.write.parquet(f"{path}/nodes")
-    subgraph_weights(c).write.parquet(f"{path}/edges")
+    # in the order of samples, so that a step reads the parts of the files that hold its own
+    for name, df in (("nodes", nodes), ("edges", subgraph_weights(c))):
+        df.repartitionByRange("sg").sortWithinPartitions("sg").write.parquet(f"{path}/{name}")
     nodes, edges = (c.spark.read.parquet(f"{path}/{name}") for name in ("nodes", "edges"))
     classes = c.graph.labels.agg(F.max("y")).first()[0] + 1
     return *R.train(nodes, edges, R.initial(4, [16], classes), 3, 10), scaled

@@ -75,6 +75,10 @@ _BOTH = lambda q: f"SELECT DISTINCT src, dst FROM (SELECT a AS src, b AS dst FRO
 _ROWS = lambda q: f"SELECT id, j, round((v - m) / sqrt(avg((v - m) * (v - m)) OVER (PARTITION BY id) + 1e-9::DOUBLE), 4) AS v FROM (SELECT id, j, v, sum(v) OVER (PARTITION BY id) / count(*) OVER (PARTITION BY id)::DOUBLE AS m FROM ({q}))"
 
 
+def _jump_sql(n: str) -> str:
+    return f"floor(ln(({draw('4611686018427387904', 'b', 'eid', '0', n)}::DOUBLE + 0.5) / 4611686018427387904::DOUBLE) / ln(1 - p))::BIGINT"
+
+
 def _source_sql(features: str, edges: str, train: int, val: int) -> str:
     """Roles by hash and features scaled by the training nodes with training edges."""
     role = f"CASE WHEN {u('role', 'id')} % 100 < {train} THEN 'tr' WHEN {u('role', 'id')} % 100 < {val} THEN 'va' ELSE 'te' END"
@@ -106,7 +110,12 @@ def _layer_sql(layer: Layer) -> str:
         best = f"SELECT x.id, x.c, coalesce(y.v, 0) AS v FROM {z} x LEFT JOIN (SELECT src AS id, c, max(v) AS v FROM an JOIN {z} ON id = dst GROUP BY src, c) y ON y.id = x.id AND y.c = x.c"
         joined = f"SELECT id, j AS i, v FROM fs UNION ALL SELECT id, {layer.inputs} + c, v FROM ({best}) UNION ALL SELECT id, {layer.inputs + layer.gate} + j, v FROM ({around('fs', 'j')})"
         relation("gates", f"SELECT id, hd, sum(v * {f('gate', i='i', c='hd')}) AS g FROM ({joined}), (SELECT range AS hd FROM range({layer.heads})) GROUP BY id, hd")
-    if layer.kind != "order":
+    if layer.kind == "joint":
+        now = relation("hn", f"SELECT id, c, sum(v * {f('w', o='1', i='j', c='c')}) AS v FROM fs, (SELECT range AS c FROM range({wide})) GROUP BY id, c")
+        end = lambda name: f"(SELECT id, c // {d} AS hd, sum(v * {f(name, o='0', h=f'(c // {d})', k=f'(c % {d})')}) + {f(f'{name}_b', h=f'(c // {d})')} AS s FROM {now} GROUP BY id, c // {d})"
+        met = f"SELECT e.src AS id, n.c, sum(greatest(l.s + r.s, 0) * w * n.v) AS v FROM an e JOIN {now} n ON n.id = e.dst JOIN {end('own')} l ON l.id = e.src AND l.hd = n.c // {d} JOIN {end('other')} r ON r.id = e.dst AND r.hd = n.c // {d} GROUP BY e.src, n.c"
+        hops[1] = relation("h1j", f"SELECT x.id, x.c, greatest(coalesce(y.v, 0) + {f('b', o='1', c='x.c')}, 0) AS v FROM {now} x LEFT JOIN ({met}) y ON y.id = x.id AND y.c = x.c")
+    if layer.kind in ("attention", "gated"):
         for o in range(1, layer.order + 1):
             for s in range(o):
                 now, own = hops[o], hops[o - s - 1]
@@ -146,7 +155,7 @@ SELECTS: dict[str, str] = {
     "rw_hop": "SELECT * FROM w1",
     "node_sampler": f"SELECT DISTINCT sg, src AS v FROM grid JOIN ei ON eid = greatest({draw('(SELECT count(*) FROM ei)', 'n', 'sg', 'i')} - 1, 0)",
     "edge_sampler": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM (SELECT sg, {draw('(SELECT max(hi) FROM wc)', 'e', 'sg', 'i')} AS s FROM grid) JOIN wc ON (hi - w < s AND s <= hi) OR (s = 0 AND hi = w)",
-    "edge_sampler_bernoulli": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM wt, (SELECT range AS sg FROM range({_S})) WHERE {draw('4611686018427387904', 'b', 'sg', 'eid')}::DOUBLE / 4611686018427387904::DOUBLE < (w * {_N})::DOUBLE / (SELECT sum(w) FROM wt)::DOUBLE",
+    "edge_sampler_bernoulli": f"SELECT DISTINCT sg, unnest([src, dst]) AS v FROM (WITH RECURSIVE c AS (SELECT eid, src, dst, (w * {_N})::DOUBLE / (SELECT sum(w) FROM wt)::DOUBLE AS p FROM wt), k AS (SELECT *, 0 AS n, {_jump_sql('0')} AS sg FROM c WHERE p < 1 UNION ALL SELECT eid, src, dst, p, n + 1, sg + 1 + {_jump_sql('n + 1')} FROM k WHERE sg < {_S}) SELECT sg, src, dst FROM k WHERE sg < {_S} UNION ALL SELECT range, src, dst FROM c, range({_S}) WHERE p >= 1)",
     "vanilla_node_sampler": f"SELECT DISTINCT sg, id AS v FROM grid JOIN tr ON r = {draw('(SELECT count(*) FROM tr)', 'vanilla', 'sg', 'i')}",
     "mrw_sampler": "SELECT DISTINCT ch.sg, v FROM ch JOIN mw ON mw.sg = ch.sg WHERE n <= places[i + 1]",
     "full_batch_sampler": f"SELECT range AS sg, id AS v FROM range({_S}), tr",

@@ -82,6 +82,8 @@ FORMULAS = {
     "b": "(({o} + {c}) % 3 - 1) / 2.0",
     "own": "(({o} + 2 * {h} + 3 * {k}) % 5 - 2) / 4.0",
     "other": "((2 * {o} + {h} + {k}) % 5 - 2) / 4.0",
+    "own_b": "(1 + {h}) / 4.0",
+    "other_b": "(1 - {h}) / 2.0",
     "scale": "1 + (({o} + {c}) % 3) / 2.0",
     "offset": "({c} % 2) / 4.0",
     "pool": "((({i} + 2) * ({c} + 1)) % 5 - 2) / 4.0",
@@ -99,6 +101,7 @@ def formula_weights(layer: Layer) -> dict[str, np.ndarray]:
     for o in range(layer.order + 1):
         found |= {f"{o}.w": _made("w", (layer.inputs, layer.outputs), "ic", o), f"{o}.b": _made("b", (layer.outputs,), "c", o)}
         found |= {f"{o}.{n}": _made(n, (layer.outputs,), "c", o) for n in ("scale", "offset")} | {f"{o}.{n}": _made(n, (layer.heads, d), "hk", o) for n in ("own", "other")}
+    found |= {f"0.{n}_b": _made(f"{n}_b", (layer.heads,), "h") for n in ("own", "other")}
     return found | {"pool": _made("pool", (layer.inputs, layer.gate), "ic"), "gate": _made("gate", (2 * layer.inputs + layer.gate, layer.heads), "ic")}
 
 
@@ -109,6 +112,7 @@ LAYERS: dict[str, tuple[Layer, Callable[[], dict[str, np.ndarray]]]] = {
         "mixhop_order2": Layer(2, 4, 4, "relu", "norm", "concat"),
         "gat_heads": Layer(2, 4, 8, "relu", "norm", "concat", 2, "attention"),
         "gat_mean": Layer(1, 4, 8, "relu", "bias", "mean", 1, "attention"),
+        "gat_joint": Layer(1, 4, 8, "relu", "norm", "concat", 2, "joint"),
         "gaan_layer": Layer(1, 4, 8, "relu", "norm", "concat", 2, "gated", 3),
     }.items()
 }

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.rng import u32
-from ..operators.windows import running_total
+from ..operators.windows import followed, ranked_within, running_total
 
 
 @dataclass
@@ -55,15 +55,14 @@ def symmetrize(pairs: DataFrame) -> DataFrame:
 
 
 def document_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(src, dst) between documents that follow each other within a source and language, both ways."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "lang")
-    after = F.lead("doc_id").over(Window.partitionBy("source", "lang").orderBy("doc_id"))
-    return symmetrize(docs.select(F.col("doc_id").alias("src"), after.alias("dst")).where("dst is not null"))
+    """(src, dst) between documents that follow each other within a source and language, both ways; a missing one is a value of its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.to_json(F.struct("source", "lang")).alias("group"), "doc_id").where("doc_id is not null")
+    return symmetrize(followed(docs, ["group"], "doc_id", "next").select(F.col("doc_id").alias("src"), F.col("next").alias("dst")))
 
 
 def embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(src, dst): a ring over each label's members by rank, and rank r of a label to rank r of the next, both ways."""
-    ranked = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label", (F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).alias("r"))
+    ranked = ranked_within(spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "label"), ["label"], "vec_id", "r")
     ring = ranked.alias("a").join(ranked.alias("b"), F.expr("a.label = b.label and b.r = a.r + 1"))
     cross = ranked.alias("a").join(ranked.alias("b"), F.expr("b.label = (a.label + 1) % 10 and b.r = a.r"))
     pairs = [p.select(F.col("a.vec_id").alias("src"), F.col("b.vec_id").alias("dst")) for p in (ring, cross)]

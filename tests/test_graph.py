@@ -87,6 +87,33 @@ def test_running_totals_over_several_levels(spark):
     assert got == want
 
 
+def test_groups_are_followed_and_ranked_over_blocks(spark):
+    rows = [(g, i * i) for g in ("a", "b", "c") for i in range(40) if (i + len(g)) % 3 or g == "a"]
+    df = spark.createDataFrame(rows, "g string, k bigint")
+    want, ranks = [], []
+    for g in ("a", "b", "c"):
+        mine = sorted(k for x, k in rows if x == g)
+        want += [(g, a, b) for a, b in zip(mine, mine[1:], strict=False)]
+        ranks += [(g, k, n) for n, k in enumerate(mine)]
+    assert sorted(map(tuple, windows.followed(df, ["g"], "k", "next", 100).collect())) == sorted(want)
+    assert sorted((r.g, r.k, r.r) for r in windows.ranked_within(df, ["g"], "k", "r", 100).collect()) == sorted(ranks)
+
+
+def test_edges_among_very_many_are_kept_as_often_as_they_should(spark):
+    """A thousand edges that stand for 10**13 alike, over as many samples as keep some of them."""
+    n, samples = 1000, 1 << 40
+    p = F.lit(100 / 1e13)
+    kept = [int(r.j) for r in spark.range(n).select(samplers._jump(p, F.col("id")).alias("j")).collect()]
+    mean = sum(kept) / n
+    assert abs(mean / 1e11 - 1) < 0.1 and len(set(kept)) == n
+    # with sixty samples a row, every sample keeps its share
+    edges = graphs.symmetrize(spark.createDataFrame([(i, j) for i in range(40) for j in range(i)], "src bigint, dst bigint"))
+    g = samplers.Prepared.of(edges, spark.range(40).select(F.col("id")))
+    many = samplers.edge_bernoulli(g, 400, 2).groupBy("sg").count()
+    assert many.count() > 300 and abs(many.agg(F.avg("count")).first()[0] - 4 / (1 - 2.718281828**-2)) < 0.4
+    assert samplers.edge_bernoulli(g, 3, 5000).groupBy("sg").count().agg(F.min("count")).first()[0] == 40
+
+
 def test_frontier_walks_as_long_as_places_move(spark, tiny):
     """A star: all degree stands at its middle, so that one place moves every time, beyond the walks drawn first."""
     edges = graphs.symmetrize(spark.createDataFrame([(0, i) for i in range(1, 12)], "src bigint, dst bigint"))
@@ -103,7 +130,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["edge_sampler", "norm_loss", "scaler_transform", "f1_single", "sage_layer", "sage_mean", "gaan_gate", "jk_concat", "jk_max", "loss_softmax", "loss_softmax_weighted", "loss_sigmoid_weighted", "f1_threshold", "mrw_sampler", "mixhop_order2", "gat_heads", "gat_mean", "gaan_layer", "source_documents", "source_embeddings", "spmm_2hop", "neighbor_max_pool", "edge_sampler_bernoulli"])
+@pytest.mark.parametrize("name", ["edge_sampler", "norm_loss", "scaler_transform", "f1_single", "sage_layer", "sage_mean", "gaan_gate", "jk_concat", "jk_max", "loss_softmax", "loss_softmax_weighted", "loss_sigmoid_weighted", "f1_threshold", "mrw_sampler", "mixhop_order2", "gat_heads", "gat_mean", "gat_joint", "gaan_layer", "source_documents", "source_embeddings", "spmm_2hop", "neighbor_max_pool", "edge_sampler_bernoulli"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "lineitem", "documents", "labels", "embeddings"):

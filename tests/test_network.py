@@ -22,6 +22,7 @@ CASES = {
     "columns": {"arch": "1-0", "dim": 4, "act": "relu", "bias": "norm-nn", "aggr": "concat"},
     "attention": {"arch": "2-0", "dim": 4, "act": "relu", "bias": "norm", "aggr": "concat", "attention": 2},
     "one head": {"arch": "1", "dim": 3, "act": "I", "bias": "bias", "aggr": "mean", "attention": 1},
+    "joint": {"arch": "1-0-1", "dim": 4, "act": "relu", "bias": "norm", "aggr": "concat", "attention": 2, "attention_kind": "joint"},
     "gated": {"arch": "1-1", "dim": 4, "act": "relu", "bias": "norm", "aggr": "concat", "attention": 2, "gated_attention": True, "dim_gate": 3},
     "gated order 2": {"arch": "2", "dim": 4, "act": "leaky_relu", "bias": "norm-nn", "aggr": "mean", "attention": 2, "gated_attention": True, "dim_gate": 3},
 }
