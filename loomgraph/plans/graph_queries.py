@@ -357,6 +357,13 @@ def _network(c: T.Context, name: str) -> DataFrame:
 simple(**{name: lambda c, name=name: _network(c, name) for name in T.LAYERS})
 
 
+@query
+def forward_full(c: T.Context) -> DataFrame:
+    """(id, j, v): class scores of a whole network on the whole graph."""
+    nodes = W.arrays(QUERIES["scaler_transform"](c), 4)
+    return W.long(T.NETWORK.evaluate(T.network_weights(), {}, nodes, N.row_normalized(c.graph.edges))).select("id", "j", (F.round("v", 4) + 0.0).alias("v"))
+
+
 def _source(c: T.Context, name: str) -> DataFrame:
     """(id, role, j, v): the scaled features and the roles of a source's nodes."""
     g = SOURCES[name](c.spark, c.dir).tables()

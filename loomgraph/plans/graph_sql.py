@@ -86,7 +86,14 @@ def _source_sql(features: str, edges: str, train: int, val: int) -> str:
 WHERE id IN (SELECT src AS id FROM ({edges}) WHERE src IN (SELECT id FROM ({features}) WHERE {role} = 'tr') AND dst IN (SELECT id FROM ({features}) WHERE {role} = 'tr')) GROUP BY j) USING (j)"""
 
 
-def _layer_sql(layer: Layer) -> str:
+def _network_sql() -> str:
+    """The network of forward_full: its layer's outputs, rows of length 1, and the classifier."""
+    f = lambda name: "(" + T.FORMULAS[name].format(o="0", i="j", c="c", h="0", k="0") + ")::DOUBLE"
+    unit = f"SELECT id, j, v / sqrt(greatest(sum(v * v) OVER (PARTITION BY id), 1e-12::DOUBLE)) AS v FROM ({_layer_sql(T.NETWORK.layers[0], 'sum(v)')})"
+    return f"SELECT id, c::INTEGER AS j, round(sum(v * {f('w')}) + {f('b')}, 4) + 0.0::DOUBLE AS v FROM ({unit}), (SELECT range AS c FROM range({T.NETWORK.classifier.outputs})) GROUP BY id, c"
+
+
+def _layer_sql(layer: Layer, value: str = "round(sum(v), 4) + 0.0::DOUBLE") -> str:
     """A layer over scaled features fs and means over neighbours an, each hop a relation of (id, c, v)."""
     f = lambda name, **at: "(" + T.FORMULAS[name].format(**({k: "0" for k in "oichk"} | at)) + ")::DOUBLE"
     d, wide, ctes = layer.outputs // layer.heads, layer.outputs, []
@@ -126,7 +133,7 @@ def _layer_sql(layer: Layer) -> str:
     normed = lambda x, o: f"SELECT id, c, (v - m) / sqrt(avg((v - m) * (v - m)) OVER (PARTITION BY {part}) + 1e-9::DOUBLE) * {f('scale', o=str(o), c='c')} + {f('offset', o=str(o), c='c')} AS v FROM (SELECT *, avg(v) OVER (PARTITION BY {part}) AS m FROM {x})"
     rows = [normed(x, o) if layer.bias == "norm" else f"SELECT id, c, v FROM {x}" for o, x in enumerate(hops)]
     both = " UNION ALL ".join(f"SELECT id, (c + {o * wide if layer.aggr == 'concat' else 0})::INTEGER AS j, v FROM ({q})" for o, q in enumerate(rows))
-    last = f"SELECT id, j, round(sum(v), 4) + 0.0::DOUBLE AS v FROM ({both}) GROUP BY id, j"
+    last = f"SELECT id, j, {value} AS v FROM ({both}) GROUP BY id, j"
     return f"WITH {', '.join(ctes)} {last}"
 
 
@@ -224,6 +231,7 @@ SELECTS: dict[str, str] = {
     "topk_labels": "SELECT p_partkey AS id, p_brand FROM part WHERE p_brand IN (SELECT p_brand FROM part GROUP BY p_brand ORDER BY count(*) DESC, p_brand LIMIT 10)",
     "label_merge": f"SELECT p_partkey AS id, ({u('merge', 'p_brand')} % 7)::INTEGER AS y FROM part",
     "kcore_prune": "SELECT * FROM k3",
+    "forward_full": _network_sql(),
     "part_grams": "SELECT id, gram, count(*) AS n FROM (SELECT p_partkey AS id, substr(p_name, unnest(range(1, length(p_name) - 2))::INTEGER, 4) AS gram FROM part WHERE length(p_name) >= 4) GROUP BY ALL",
     "source_parts": _source_sql("SELECT id, j, v::DOUBLE AS v FROM feat", "SELECT src, dst FROM ef", 85, 90),
     "source_documents": _source_sql("SELECT doc_id AS id, unnest([0, 1, 2, 3, 4])::INTEGER AS j, unnest([coalesce(n_chars, 0)::DOUBLE, coalesce((lang = 'de')::INTEGER, 0), coalesce((lang = 'en')::INTEGER, 0), coalesce((lang = 'es')::INTEGER, 0), coalesce((lang = 'fr')::INTEGER, 0)])::DOUBLE AS v FROM documents", _BOTH("SELECT doc_id AS a, lead(doc_id) OVER (PARTITION BY source, lang ORDER BY doc_id) AS b FROM documents QUALIFY b IS NOT NULL"), 75, 85),

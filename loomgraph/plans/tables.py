@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.rng import u32
 from ..operators.config import Layer
+from ..operators.network import Network
 from ..operators.samplers import Prepared, induced, random_walk
 from ..sources.graphs import GraphTables, induced_by_role, part_graph
 
@@ -116,3 +117,10 @@ LAYERS: dict[str, tuple[Layer, Callable[[], dict[str, np.ndarray]]]] = {
         "gaan_layer": Layer(1, 4, 8, "relu", "norm", "concat", 2, "gated", 3),
     }.items()
 }
+
+#: A whole network: sums of two hops, rows of length 1, and five classes.
+NETWORK = Network([LAYERS["mixhop_order2"][0]], Layer(0, 12, 5, "I", "bias", "mean"), False)
+
+
+def network_weights() -> dict[str, np.ndarray]:
+    return {f"{n}/{k}": v for n, layer in enumerate([*NETWORK.layers, NETWORK.classifier]) for k, v in formula_weights(layer).items()}

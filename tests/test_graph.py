@@ -130,7 +130,7 @@ def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-@pytest.mark.parametrize("name", ["edge_sampler", "norm_loss", "scaler_transform", "f1_single", "sage_layer", "sage_mean", "gaan_gate", "jk_concat", "jk_max", "loss_softmax", "loss_softmax_weighted", "loss_sigmoid_weighted", "f1_threshold", "mrw_sampler", "mixhop_order2", "gat_heads", "gat_mean", "gat_joint", "gaan_layer", "source_documents", "source_embeddings", "spmm_2hop", "neighbor_max_pool", "edge_sampler_bernoulli"])
+@pytest.mark.parametrize("name", ["edge_sampler", "norm_loss", "scaler_transform", "f1_single", "sage_layer", "sage_mean", "gaan_gate", "jk_concat", "jk_max", "loss_softmax", "loss_softmax_weighted", "loss_sigmoid_weighted", "f1_threshold", "mrw_sampler", "mixhop_order2", "gat_heads", "gat_mean", "gat_joint", "gaan_layer", "forward_full", "source_documents", "source_embeddings", "spmm_2hop", "neighbor_max_pool", "edge_sampler_bernoulli"])
 def test_against_sql(spark, name):
     con = duckdb.connect()
     for t in ("part", "lineitem", "documents", "labels", "embeddings"):

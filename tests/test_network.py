@@ -167,3 +167,11 @@ def test_a_refill_writes_new_samples_only(spark):
     assert sorted(map(tuple, pool.samples().collect())) == sorted(map(tuple, fresh.collect()))
     plan = pool.spark.read.parquet(f"{path}/samples").where("block = 1")
     assert {f.split("block=")[1][0] for f in plan.inputFiles()} <= {"0", "1"} and plan.count() == fresh.where("sg >= 4").count()
+
+
+def test_means_over_runs(spark):
+    told = config.configuration(PHASES | {"network": [{"arch": "0", "dim": 3, "act": "relu"}], "params": [{"sample_coverage": 0}], "phase": [{"end": 1, "sampler": "full_batch"}]})
+    path = tempfile.mkdtemp(prefix="spark-runs-")
+    got = {r.name: r for r in phases.repeated(told, _two_classes(spark), path, 2, block=1).collect()}
+    each = [r.value for r in metrics_table.read(spark, f"{path}/ends").where("name = 'te_f1_micro'").collect()]
+    assert len(each) == 2 and abs(got["te_f1_micro"].mean - np.mean(each)) < 1e-12 and abs(got["te_f1_micro"].std - np.std(each, ddof=1)) < 1e-12
