@@ -54,7 +54,7 @@ def made(spark):
 @pytest.mark.parametrize("data", [DATA, SMALL])
 def test_query_equals_its_sql(spark, name, data):
     con = duckdb.connect()
-    for t in ("documents", "pages", "conversations"):
+    for t in ("documents", "pages", "conversations", "benchmark"):
         con.execute(f"create view {t} as select * from '{data}/{t}.parquet'")
     got = queries.queries()[name](spark, data)
     want = con.execute(queries.oracle_sql()[name]).fetchall()
