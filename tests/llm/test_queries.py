@@ -63,9 +63,9 @@ def test_query_equals_its_sql(spark, name, data):
     assert sorted(map(repr, map(tuple, got.select(columns).collect()))) == sorted(map(repr, want))
 
 
-def test_ten_queries_are_registered():
+def test_thirteen_queries_are_registered():
     names = __spark_entry__.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 11)) and "pipeline" in names
+    assert {int(n[2:].split("_")[0]) for n in names if n.startswith("op")} == set(range(1, 14)) and "pipeline" in names
 
 
 def test_media_query(spark, made):
@@ -208,6 +208,6 @@ def test_pipeline_of_an_empty_table(spark, made):
     spark.read.parquet(f"{path}/documents.parquet").limit(0).write.parquet(f"{empty}/documents.parquet")
     spark.read.parquet(f"{path}/benchmark.parquet").limit(0).write.parquet(f"{empty}/benchmark.parquet")
     assert corpus_pipeline.run(spark, empty).count() == 0
-    for name in ("op2_media", "op3_sharding", "op4_decontaminate", "op6_mixing", "op7_substring", "op8_near_duplicates", "op9_suffix_lm", "op10_language"):
+    for name in ("op2_media", "op3_sharding", "op4_decontaminate", "op6_mixing", "op7_substring", "op8_near_duplicates", "op9_suffix_lm", "op10_language", "op11_run_index", "op12_source_audit", "op13_search"):
         assert queries.queries()[name](spark, empty).count() == 0, name
     assert mixing.mixed(spark.read.parquet(f"{empty}/documents.parquet")).count() == 0
