@@ -7,12 +7,17 @@ later than its latest register, so that registers agree with the probability Jac
 weights steer which texts meet; a link needs ``least`` Jaccard similarity of the sets of shingles, counted exactly.
 
 Texts with equal words collapse first. Bands of four registers then bring texts together in buckets, in which members
-are compared with one of them, the centre, and never with each other; linked texts form classes. Buckets that still
-hold several classes are joined by narrower ones, of two and three bands of the same members, in which less similar
-texts do not meet. In rounds of turns, every such bucket compares the members of other classes with its member of most
-links, and one member of each class with one of another class, each turn others. The search ends with a round of TURNS
-turns that links nothing. Comparisons are linear in the memberships; texts travel as their sets of
-shingle hashes, and only those that are compared.
+are compared with one of them, the centre, and never with each other; linked texts form classes.
+
+An exact search for the links between classes follows, so that none is lost to registers or centres. Of two texts that
+are similar enough, both have ``least`` of their shingles in common, so under any order of all shingles the first k that
+they share lie among the first n - least * n + k of each. Under the order of the hashes, this leaves aside every text
+that shares fewer than k of its first ones with any other text; the rest, with their buckets, are all that is compared.
+Under the order of rising frequency, the first n - least * n + 1 are a text's entries, which bring texts together once
+more; what stands before the first shared one is not shared, which bounds how many can be. Groups of several classes
+compare their members with the cleanest of them in TURNS turns, which join what belongs together cheaply, and then all
+pairs of members of different classes that the bound lets through. No other pair can be a link between two classes.
+Texts travel as their sets of shingle hashes, and only those that are compared.
 
 Defined results: texts that are null or have no words are classes of their own; class_id is the smallest doc_id of the
 class; rows that share a doc_id are one document and get one class; rows without doc_id get none. Extra columns are
@@ -22,11 +27,10 @@ ignored. Empty tables give empty results.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import textnp as tn
@@ -37,10 +41,8 @@ REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 #: Orders in which a bucket's centre is chosen; with few, buckets of one group share their centres.
 CENTRES = 4
-#: Steps from a band to the others of its narrower buckets.
-NARROWER = ((1,), (3, 11))
-#: Turns in a round.
-TURNS = 3
+#: Turns that join classes before all pairs of classes are looked through.
+TURNS = 2
 _OTHER = 0xC2B2AE3D27D4EB4F
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -92,7 +94,13 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64).ravel()))
 
 
-def _sketch(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _needed(n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(how many of n shingles a similar text has at least, how many of those are looked for under the order of the hashes)."""
+    common = np.maximum(1, np.ceil(least * n - 1e-9)).astype(np.int64)
+    return common, np.maximum(1, np.minimum(n // 10, common))
+
+
+def _sketch(words: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0)
@@ -105,7 +113,11 @@ def _sketch(words: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Reco
                 for i in range(ROWS):
                     bands = tn.mix(bands * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
                 lists = _lists(bands, np.arange(hi - lo + 1) * BANDS)
-                out = pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(same[0].view(np.int64)), pa.array(same[1].view(np.int64)), pa.array(distinct, pa.int32()), lists], ["doc_id", "h1", "h2", "n", "bands"])
+                common, some = _needed(distinct, least)
+                size, start = np.where(distinct > 0, distinct - common + some, 0), np.cumsum(distinct) - distinct
+                # keys are in order within each row
+                firsts = _lists(key[np.arange(len(row)) - start[row] < size[row]], np.append(0, np.cumsum(size)))
+                out = pa.RecordBatch.from_arrays([ids.slice(lo, hi - lo), pa.array(same[0].view(np.int64)), pa.array(same[1].view(np.int64)), pa.array(distinct, pa.int32()), pa.array(some, pa.int32()), lists, firsts], ["doc_id", "h1", "h2", "n", "some", "bands", "firsts"])
                 yield out.filter(pa.array(distinct > 0))
 
     return run
@@ -132,36 +144,64 @@ def _verified(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
     return both.where(F.size(F.array_intersect("a", "b")) * (1 + least) >= least * (F.size("a") + F.size("b")) - 1e-9).select("u", "v")
 
 
+def _similar(common: Column, n: Column, m: Column, least: float) -> Column:
+    """Whether sets of n and m are similar enough with so many in common."""
+    return common * (1 + least) >= least * (n + m) - 1e-9
+
+
 def _pairs(met: DataFrame, other: Column, least: float) -> DataFrame:
     """(u, v) of members (node, n) and centres c (node, n), but for those whose sizes alone keep them apart."""
-    near = F.least("n", "c.n") >= least * F.greatest("n", "c.n") - 1e-9
-    return met.where(other & near).select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v"))
+    return met.where(other & _similar(F.least("n", "c.n"), F.col("n"), F.col("c.n"), least)).select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v"))
 
 
-def _rank(turn: int) -> Column:
-    return F.xxhash64("node", F.pmod("bucket", F.lit(CENTRES)), F.lit(turn))
+def _rank() -> Column:
+    return F.xxhash64("node", F.pmod("bucket", F.lit(CENTRES)))
 
 
-def _turn(left: DataFrame, turn: int, least: float) -> DataFrame:
-    """Pairs of a turn in buckets of several classes, from (bucket, node, n, root, links)."""
-    rank, hub = F.struct(_rank(turn).alias("r"), "node", "n"), F.struct((-F.col("links")).alias("l"), _rank(turn).alias("r"), "node", "n", "root")
-    # aggregates are written before they are joined, so that a hot key's partition can be split in the join
-    ones = staged(left.groupBy("bucket", "root").agg(F.min(rank).alias("m"), F.min(hub).alias("hub")).select("bucket", "root", "m.*", "hub"), "ones")
-    centres = staged(ones.groupBy("bucket").agg(F.min(F.struct("r", "node", "n", "root")).alias("one"), F.min("hub").alias("hub")), "centres")
-    other = F.col("root") != F.col("c.root")
-    met = [_pairs(x.join(centres.select("bucket", F.col(c).alias("c")), "bucket"), other, least) for x, c in ((left, "hub"), (ones, "one"))]
-    return met[0].unionByName(met[1])
-
-
-def _several(labelled: DataFrame) -> DataFrame:
-    """The rows (bucket, root, ...) of buckets that hold several classes."""
-    labelled = staged(labelled, "labelled")
-    several = staged(labelled.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("bucket"), "several")
-    left = staged(labelled.join(several, "bucket", "left_semi"), "left")
+def _alive(sketches: DataFrame) -> DataFrame:
+    """(h1, h2) of the texts that share enough of their first shingles with others."""
+    met = sketches.select("h1", F.explode("firsts").alias("h")).groupBy("h").agg(F.min("h1").alias("h1"), F.max("h1").alias("b"))
+    own = met.where("h1 = b").groupBy("h1").agg(F.count(F.lit(1)).alias("own"))
+    texts = sketches.select("h1", "h2", "some", F.size("firsts").alias("size")).distinct()
+    return texts.join(own, "h1", "left").where(F.col("size") - F.coalesce("own", F.lit(0)) >= F.col("some")).select("h1", "h2")
+
+
+def _entries(sets: DataFrame, least: float) -> DataFrame:
+    """(h, node, n, rest) of each set's first shingles under the order of rising frequency, those of one set alone left out; rest: the place's distance from the end."""
+    rows = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("h"))
+    often = rows.groupBy("h").agg(F.count(F.lit(1)).alias("times"), F.min("node").alias("a"), F.max("node").alias("b")).where("a != b")
+    often = staged(often.select("h", "times"), "often")
+    # dense: a document of several rows may hold a shingle more than once
+    along = Window.partitionBy("node").orderBy(F.desc("times"), F.desc("h"))
+    placed = rows.join(often, "h").withColumn("rest", F.dense_rank().over(along))
+    entries = staged(placed.where(F.col("rest") >= F.greatest(F.lit(1), F.ceil(least * F.col("n") - 1e-9))).select("h", "node", "n", "rest"), "entries")
+    discard(often)
+    return entries
+
+
+def _several(entries: DataFrame, classes: DataFrame, least: float) -> DataFrame:
+    """(h, node, n, rest, root) of the groups by h that hold several classes, without members that are similar to none even of the group's smallest size."""
+    labelled = staged(entries.join(classes, "node"), "labelled")
+    several = staged(labelled.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min("n").alias("m")).where("a != b").select("h", "m"), "several")
+    left = staged(labelled.join(several, "h").where(_similar(F.col("rest"), F.col("n"), F.greatest("m", least * F.col("n")), least)).drop("m"), "left")
     discard(labelled, several)
     return left
 
 
+def _across(met: DataFrame, other: Column, least: float) -> DataFrame:
+    """(u, v) of members and c (node, n, rest) of a group, but for those whose places keep them apart; distinct."""
+    bound = _similar(F.least("rest", "c.rest"), F.col("n"), F.col("c.n"), least)
+    return met.where(other & bound).select(F.greatest("node", "c.node").alias("u"), F.least("node", "c.node").alias("v")).distinct()
+
+
+def _turn(left: DataFrame, turn: int, least: float) -> DataFrame:
+    """Pairs of each group's cleanest member, of those that the turn deals together, with members of other classes."""
+    clean = F.struct((F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 + turn)) == 0).alias("dealt"), (F.col("rest") / F.col("n")).alias("share"), "node", "n", "rest", "root")
+    # aggregates are written before they are joined, so that a hot key's partition can be split in the join
+    hubs = staged(left.groupBy("h").agg(F.max(clean).alias("c")), "hubs")
+    return _across(left.join(hubs, "h"), F.col("root") != F.col("c.root"), least)
+
+
 def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
     """classes (node, root) after links between their nodes: only the roots take part in the search for components."""
     ends = links.join(classes.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(classes.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
@@ -174,40 +214,34 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     """(doc_id, class_id, class_size) of every row of docs."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sketches = staged(texts.mapInArrow(released(_sketch(words)), f"doc_id {kind}, h1 long, h2 long, n int, bands array<long>"), "sketches")
+    sketches = staged(texts.mapInArrow(released(_sketch(words, least)), f"doc_id {kind}, h1 long, h2 long, n int, some int, bands array<long>, firsts array<long>"), "sketches")
+    alive = staged(_alive(sketches), "alive")
     same = staged(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "same")
     copies = staged(sketches.select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).select("doc_id", "rep").distinct(), "copies")
-    lone = staged(sketches.join(same.select(F.col("rep").alias("doc_id"), "h1", "h2"), ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").distinct(), "lone")
-    discard(sketches, same)
+    named = same.join(alive, ["h1", "h2"]).select(F.col("rep").alias("doc_id"), "h1", "h2")
+    lone = staged(sketches.select("doc_id", "h1", "h2", "n", "bands").join(named, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").distinct(), "lone")
+    discard(sketches, same, alive)
+    sets = staged(texts.join(lone.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(released(_sets(words)), f"doc_id {kind}, s array<long>"), "sets")
 
     keys = lone.select("node", "n", F.explode("bands").alias("bucket"))
-    first = staged(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(_rank(0).alias("r"), "node", "n")).alias("c")).where("members > 1").select("bucket", "c"), "first")
-    buckets = staged(keys.join(first, "bucket"), "buckets")
-    nodes = staged(buckets.select("node").distinct(), "nodes")
-    sets = staged(texts.join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(released(_sets(words)), f"doc_id {kind}, s array<long>"), "sets")
-
-    done = staged(_pairs(buckets, F.col("node") != F.col("c.node"), least).distinct(), "pairs")
-    links = staged(_verified(done, sets, least), "links")
-    classes = _merged(nodes.select("node", F.col("node").alias("root")), links)
-    left = _several(buckets.select("bucket", "node", "n").join(classes, "node"))
-    discard(first, buckets)
-    narrow = F.array(*(F.xxhash64(*(F.col("bands")[(i + s) % BANDS] for s in (0, *steps))) for steps in NARROWER for i in range(BANDS)))
-    deeper = lone.join(left.select("node").distinct(), "node", "left_semi").select(F.explode(narrow).alias("bucket"), "node", "n").join(classes, "node").select("node", "bucket", "n", "root")
-    left = left.unionByName(_several(deeper))
-    turn = 1
-    while True:
-        degree = links.select(F.explode(F.array("u", "v")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("links"))
-        counted = staged(left.join(degree, "node", "left").withColumn("links", F.coalesce("links", F.lit(0))), "counted")
-        turns = range(turn, turn + TURNS)
-        met = reduce(DataFrame.unionByName, (_turn(counted, t, least) for t in turns))
-        pairs, turn = staged(met.distinct().join(done, ["u", "v"], "left_anti"), "pairs"), turns.stop
-        found = staged(_verified(pairs, sets, least), "links")
-        if found.isEmpty():
+    first = staged(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(_rank().alias("r"), "node", "n")).alias("c")).where("members > 1").select("bucket", "c"), "first")
+    pairs = staged(_pairs(keys.join(first, "bucket"), F.col("node") != F.col("c.node"), least).distinct(), "pairs")
+    links = staged(_verified(pairs, sets, least), "links")
+    classes = _merged(lone.select("node", F.col("node").alias("root")).distinct(), links)
+    discard(first, pairs, links)
+
+    entries = _entries(sets.withColumnRenamed("doc_id", "node"), least)
+    left = _several(entries, classes, least)
+    discard(entries)
+    for turn in range(TURNS):
+        links = staged(_verified(staged(_turn(left, turn, least), "pairs"), sets, least), "links")
+        if links.isEmpty():
             break
-        classes = _merged(classes, found)
-        done, links = done.unionByName(pairs), links.unionByName(found)
-        left = _several(left.drop("root").join(classes, "node"))
-        discard(counted)
+        classes, before = _merged(classes, links), left
+        left = _several(before.drop("root"), classes, least)
+        discard(before)
+    pairs = staged(_across(left.join(left.select("h", F.struct("node", "n", "rest", "root").alias("c")), "h"), F.col("root") > F.col("c.root"), least), "pairs")
+    classes = _merged(classes, staged(_verified(pairs, sets, least), "links"))
 
     rooted = copies.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     rooted = staged(rooted.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "rooted")

@@ -92,6 +92,37 @@ def test_near_duplicates_of_a_drifted_group(spark):
     assert got == dict(enumerate(root))
 
 
+def test_near_duplicates_that_share_no_band(spark):
+    """Pairs that have 36 of 44 shingles in common, but whose registers mostly own words that one of them repeats; no link is lost."""
+    rows = []
+    for i in range(60):
+        words = [f"p{i}w{j}" for j in range(37)]
+        rows += [(2 * i + k, " ".join([*words, *[f"p{i}r{k}"] * 3000, *[f"p{i}s{k}"] * 3000])) for k in (0, 1)]
+    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
+    assert got == {i: i - i % 2 for i in range(120)}
+
+
+def test_near_duplicates_against_all_pairs(spark):
+    """Of texts that drift from common ones, repeated rows and documents of two texts, under a bound at which registers meet rarely."""
+    rng, rows = np.random.default_rng(3), []
+    for i in range(120):
+        words = [f"g{i % 12}w{j}" for j in range(90)]
+        for at in rng.integers(0, 90, int(rng.integers(2, 9))):
+            words[at] = f"n{int(rng.integers(1 << 40))}"
+        rows.append((i, " ".join(words[: int(rng.integers(60, 91))])))
+    rows += [rows[5], rows[5], (7, rows[20][1]), (130, rows[8][1])]
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} for w in (r[1].split() for r in rows)]
+    for least in (0.5, 0.8):
+        root = {r[0]: r[0] for r in rows}
+        for a, s in zip(rows, sets, strict=True):
+            for b, t in zip(rows, sets, strict=True):
+                if len(s & t) >= least * len(s | t) and root[a[0]] != root[b[0]]:
+                    x, y = sorted((root[a[0]], root[b[0]]))
+                    root = {k: x if r == y else r for k, r in root.items()}
+        got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, least).collect()}
+        assert got == root, least
+
+
 def test_prob_min_hash_estimates_weighted_similarity():
     key = np.arange(1, 301, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     a, b = slice(0, 200), slice(100, 300)
