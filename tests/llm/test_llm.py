@@ -98,8 +98,10 @@ def test_near_duplicates_that_share_no_band(spark):
     for i in range(60):
         words = [f"p{i}w{j}" for j in range(37)]
         rows += [(2 * i + k, " ".join([*words, *[f"p{i}r{k}"] * 3000, *[f"p{i}s{k}"] * 3000])) for k in (0, 1)]
-    got = {r.doc_id: r.class_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 2).collect()}
-    assert got == {i: i - i % 2 for i in range(120)}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, 2).collect()} == {i: i - i % 2 for i in range(120)}
+    # what the pipeline's stage calls
+    assert sorted(r.doc_id for r in near_dedup.keep_one(docs, 2).collect()) == list(range(0, 120, 2))
 
 
 def test_near_duplicates_against_all_pairs(spark):
