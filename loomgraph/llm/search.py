@@ -7,8 +7,9 @@ one of them. Every item is a query; its lists are those of its distinct terms.
    k-th best score.
 2. Threshold: of every list, all postings that contribute at least the bound over the number of the item's lists. A
    document that no list reports is below the bound. Postings travel once, however many items want them, and what they
-   give to each item is added up where they arrive. A document stays a candidate if it can still reach the k-th best of
-   these sums, were each list that did not report it at its own maximum or just below the threshold.
+   give to each item is added up where they arrive, first for the k best sums of each task, whose k-th best over all
+   tasks is known before any candidate is written. A document stays a candidate if it can still reach that, were each
+   list that did not report it at its own maximum or just below the threshold.
 3. Look-up: the exact score of each candidate, from all of its item's lists.
 
 All is integer arithmetic but the weight of a term. A document is a row: rows that are repeated, or share a doc_id, rank on
@@ -20,7 +21,7 @@ score. Texts of any length are split piece by piece. Extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -107,15 +108,32 @@ class Lists:
     lists: np.ndarray
     bound: np.ndarray
     whole: np.ndarray  # the sum of an item's caps
+    reach: np.ndarray  # the k-th best sum of an item, as far as it is known
     k: int
 
+    def best(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(row, tid, part) in the order of row -> (item, low): the k best sums of each item."""
+        best = np.zeros((0, len(self.lists)))
+        for _, low, _ in self._sums(batches):
+            best = self._kept(best, low)
+        at, item = np.nonzero(best)
+        yield pa.RecordBatch.from_pydict({"item": item.astype(np.int32), "low": best[at, item].astype(np.int64)})
+
     def run(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """(row, tid, part) in the order of row -> (item, row, low, high) of what may still be among an item's k best."""
+        for names, low, high in self._sums(batches):
+            doc, item = np.nonzero((low > 0) & (high >= self.reach))
+            yield pa.RecordBatch.from_pydict({"item": item.astype(np.int32), "row": names[doc], "low": low[doc, item].astype(np.int64), "high": high[doc, item].astype(np.int64)})
+
+    def _kept(self, best: np.ndarray, low: np.ndarray) -> np.ndarray:
+        both = np.concatenate([best, low])
+        return np.partition(both, len(both) - self.k, axis=0)[-self.k :] if len(both) > self.k else both
+
+    def _sums(self, batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Some documents at a time: their rows, their sums for each item, and what these can be at most."""
         items = len(self.lists)
-        best = np.zeros((0, items))
 
-        def summed(row: np.ndarray, tid: np.ndarray, part: np.ndarray) -> pa.RecordBatch:
-            nonlocal best
+        def summed(row: np.ndarray, tid: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             names, at = np.unique(row, return_inverse=True)
             times = self.first[tid + 1] - self.first[tid]
             which = np.repeat(np.arange(len(tid)), times)
@@ -126,11 +144,7 @@ class Lists:
             # sums of integers far below 2**53
             low = np.bincount(cell, gain[told], len(names) * items).reshape(shape)
             high = low + self.whole - np.bincount(cell, self.cap[entry[told]], len(names) * items).reshape(shape)
-            both = np.concatenate([best, low])
-            best = np.partition(both, len(both) - self.k, axis=0)[-self.k :] if len(both) > self.k else both
-            least = np.maximum(self.bound, best.min(0) if len(best) == self.k else 0)
-            doc, item = np.nonzero((low > 0) & (high >= least))
-            return pa.RecordBatch.from_pydict({"item": item.astype(np.int32), "row": names[doc], "low": low[doc, item].astype(np.int64), "high": high[doc, item].astype(np.int64)})
+            return names, low, high
 
         held: list[tuple[np.ndarray, ...]] = []
         for batch in batches:
@@ -212,7 +226,7 @@ def _arrays(lists: DataFrame, k: int) -> Lists:
     items, tids = int(item.max(initial=-1)) + 1, int(tid.max(initial=-1)) + 1
     each, bounds = np.ones(items, np.int64), np.zeros(items, np.int64)
     each[item], bounds[item] = number, bound
-    return Lists(np.searchsorted(tid, np.arange(tids + 1)), item, weight, cap, each, bounds, np.bincount(item, cap, items), k)
+    return Lists(np.searchsorted(tid, np.arange(tids + 1)), item, weight, cap, each, bounds, np.bincount(item, cap, items), bounds, k)
 
 
 def _reported(postings: DataFrame, lists: DataFrame, number: int, k: int) -> DataFrame:
@@ -225,7 +239,12 @@ def _reported(postings: DataFrame, lists: DataFrame, number: int, k: int) -> Dat
         return sums.join(whole, "item").select("item", "row", "low", (F.col("low") + F.col("whole") - F.col("seen")).alias("high"))
     least = F.broadcast(lists.groupBy("tid").agg(F.min(F.ceil(F.col("bound") / (F.col("lists") * F.col("weight"))) - 1).alias("least")))
     fetched = postings.join(least, "tid").where("part >= least").select("row", "tid", "part")
-    return fetched.repartition("row").sortWithinPartitions("row").mapInArrow(released(_arrays(lists, k).run), "item int, row long, low long, high long")
+    dealt, arrays = fetched.repartition("row").sortWithinPartitions("row"), _arrays(lists, k)
+    sums = staged(dealt.mapInArrow(released(arrays.best), "item int, low long"), "sums")
+    known, reach = _kth(sums, k).toArrow(), arrays.bound.copy()
+    reach[known["item"].to_numpy()] = np.maximum(reach[known["item"].to_numpy()], known["bound"].to_numpy())
+    discard(sums)
+    return dealt.mapInArrow(released(replace(arrays, reach=reach).run), "item int, row long, low long, high long")
 
 
 def search(docs: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:

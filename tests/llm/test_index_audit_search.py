@@ -184,3 +184,18 @@ def test_search_of_nothing(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert search.search(frame(spark, search_rows()[0]), none).count() == 0
     assert search.search(frame(spark, []), spark.createDataFrame([(1, "t1")], "item_id long, text string")).count() == 0
+
+
+def test_the_threshold_round_writes_no_more_than_can_still_win(spark):
+    """One item of one list over several tasks: what is below the third best of all tasks is not written."""
+    name = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        postings = spark.range(4000).select(F.lit(0).cast("long").alias("tid"), (F.col("id") * 7919 % 4001 + 1).alias("part"), F.col("id").alias("row"))
+        lists = spark.createDataFrame([(0, 0, 5, 4001, 1, 0)], "item int, tid int, weight long, top long, lists long, bound long")
+        got = sorted(r.low for r in search._reported(postings, lists, 1, 3).collect())
+        best = sorted(r.part * 5 for r in postings.collect())[-3:]
+    finally:
+        spark.conf.set(name, before)
+    assert got == best
