@@ -95,9 +95,13 @@ def _lists(values: np.ndarray, ends: np.ndarray) -> pa.ListArray:
 
 
 def _needed(n: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
-    """(how many of n shingles a similar text has at least, how many of those are looked for under the order of the hashes)."""
+    """(how many of n shingles a similar text has at least, how many of those are looked for under the order of the hashes).
+
+    Neither these numbers nor their difference fall as n rises, so that the first ones of the smaller of two texts hold
+    as many shared ones as the larger one looks for.
+    """
     common = np.maximum(1, np.ceil(least * n - 1e-9)).astype(np.int64)
-    return common, np.maximum(1, np.minimum(n // 10, common))
+    return common, np.maximum(1, common // 8)
 
 
 def _sketch(words: int, least: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:

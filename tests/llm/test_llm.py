@@ -104,6 +104,13 @@ def test_near_duplicates_that_share_no_band(spark):
     assert sorted(r.doc_id for r in near_dedup.keep_one(docs, 2).collect()) == list(range(0, 120, 2))
 
 
+def test_near_duplicates_of_other_sizes_at_high_thresholds(spark):
+    words = [f"v{i}" for i in range(104)]
+    for size, least in ((24, 0.95), (104, 0.99)):
+        docs = spark.createDataFrame([(1, " ".join(words[:size])), (2, " ".join(words[: size - 1]))], "doc_id long, text string")
+        assert {r.doc_id: r.class_id for r in near_dedup.near_duplicates(docs, 5, least).collect()} == {1: 1, 2: 1}
+
+
 def test_near_duplicates_against_all_pairs(spark):
     """Of texts that drift from common ones, repeated rows and documents of two texts, under a bound at which registers meet rarely."""
     rng, rows = np.random.default_rng(3), []
