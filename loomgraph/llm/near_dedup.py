@@ -35,14 +35,15 @@ from pyspark.sql import functions as F
 
 from . import textnp as tn
 from .common import discard, released, staged
-from .components import components
+from .components import stars
 
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 #: Orders in which a bucket's centre is chosen; with few, buckets of one group share their centres.
 CENTRES = 4
-#: Turns that join classes before all pairs of classes are looked through.
-TURNS = 2
+#: Turns that join classes before all pairs of classes are looked through, at most; another one is worth its tables only
+#: after one that brought together a pair for so many members of groups. All pairs follow in any case.
+TURNS, WORTH = 2, 20
 _OTHER = 0xC2B2AE3D27D4EB4F
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -162,12 +163,12 @@ def _rank() -> Column:
     return F.xxhash64("node", F.pmod("bucket", F.lit(CENTRES)))
 
 
-def _alive(sketches: DataFrame) -> DataFrame:
-    """(h1, h2) of the texts that share enough of their first shingles with others."""
+def _texts(sketches: DataFrame) -> DataFrame:
+    """(h1, h2, rep, alive) of every text: its smallest document, and whether it shares enough of its first shingles with other texts."""
     met = sketches.select("h1", F.explode("firsts").alias("h")).groupBy("h").agg(F.min("h1").alias("h1"), F.max("h1").alias("b"))
     own = met.where("h1 = b").groupBy("h1").agg(F.count(F.lit(1)).alias("own"))
-    texts = sketches.select("h1", "h2", "some", F.size("firsts").alias("size")).distinct()
-    return texts.join(own, "h1", "left").where(F.col("size") - F.coalesce("own", F.lit(0)) >= F.col("some")).select("h1", "h2")
+    texts = sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.max("some").alias("some"), F.max(F.size("firsts")).alias("size"))
+    return texts.join(own, "h1", "left").select("h1", "h2", "rep", (F.col("size") - F.coalesce("own", F.lit(0)) >= F.col("some")).alias("alive"))
 
 
 def _entries(sets: DataFrame, least: float) -> DataFrame:
@@ -201,17 +202,23 @@ def _across(met: DataFrame, other: Column, least: float) -> DataFrame:
 def _turn(left: DataFrame, turn: int, least: float) -> DataFrame:
     """Pairs of each group's cleanest member, of those that the turn deals together, with members of other classes."""
     clean = F.struct((F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(1 + turn)) == 0).alias("dealt"), (F.col("rest") / F.col("n")).alias("share"), "node", "n", "rest", "root")
-    # aggregates are written before they are joined, so that a hot key's partition can be split in the join
     hubs = staged(left.groupBy("h").agg(F.max(clean).alias("c")), "hubs")
     return _across(left.join(hubs, "h"), F.col("root") != F.col("c.root"), least)
 
 
-def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
-    """classes (node, root) after links between their nodes: only the roots take part in the search for components."""
+def _roots(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """(u, v) of the links' classes (node, root)."""
     ends = links.join(classes.select(F.col("node").alias("u"), F.col("root").alias("a")), "u").join(classes.select(F.col("node").alias("v"), F.col("root").alias("b")), "v")
-    moved = staged(components(ends.select(F.col("a").alias("u"), F.col("b").alias("v"))), "moved")
-    out = classes.join(moved.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left")
-    return staged(out.select("node", F.coalesce("to", "root").alias("root")), "classes")
+    return ends.select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _merged(classes: DataFrame, links: DataFrame) -> DataFrame:
+    """classes (node, root) after links between roots."""
+    moved = stars(links)
+    out = classes.join(moved.select(F.col("u").alias("root"), F.col("v").alias("to")), "root", "left")
+    out = staged(out.select("node", F.coalesce("to", "root").alias("root")), "classes")
+    discard(moved)
+    return out
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> DataFrame:
@@ -219,33 +226,39 @@ def near_duplicates(docs: DataFrame, words: int = 5, least: float = 0.8) -> Data
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     sketches = staged(texts.mapInArrow(released(_sketch(words, least)), f"doc_id {kind}, h1 long, h2 long, n int, some int, bands array<long>, firsts array<long>"), "sketches")
-    alive = staged(_alive(sketches), "alive")
-    same = staged(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")), "same")
-    copies = staged(sketches.select("doc_id", "h1", "h2").join(same, ["h1", "h2"]).select("doc_id", "rep").distinct(), "copies")
-    named = same.join(alive, ["h1", "h2"]).select(F.col("rep").alias("doc_id"), "h1", "h2")
-    lone = staged(sketches.select("doc_id", "h1", "h2", "n", "bands").join(named, ["doc_id", "h1", "h2"], "left_semi").select(F.col("doc_id").alias("node"), "n", "bands").distinct(), "lone")
-    discard(sketches, same, alive)
+    # aggregates are written before they are joined, so that a hot key's partition can be split in the join
+    same = staged(_texts(sketches), "same")
+    stands = F.col("alive") & (F.col("doc_id") == F.col("rep"))
+    copies = sketches.select("doc_id", "h1", "h2", "n", "bands").join(same, ["h1", "h2"])
+    # n and bands are kept for the one document that stands for a text, where it is compared at all
+    copies = staged(copies.select("doc_id", "rep", F.when(stands, F.col("n")).alias("n"), F.when(stands, F.col("bands")).alias("bands")), "copies")
+    discard(sketches, same)
+    lone = copies.where("n is not null").select(F.col("doc_id").alias("node"), "n", "bands")
     sets = staged(texts.join(lone.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(released(_sets(words)), f"doc_id {kind}, s array<long>"), "sets")
 
     keys = lone.select("node", "n", F.explode("bands").alias("bucket"))
     first = staged(keys.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.min(F.struct(_rank().alias("r"), "node", "n")).alias("c")).where("members > 1").select("bucket", "c"), "first")
     pairs = staged(_pairs(keys.join(first, "bucket"), F.col("node") != F.col("c.node"), least).distinct(), "pairs")
     links = staged(_verified(pairs, sets, least), "links")
-    classes = _merged(lone.select("node", F.col("node").alias("root")).distinct(), links)
+    classes = _merged(lone.select("node", F.col("node").alias("root")).distinct(), links)  # each node is its own root
     discard(first, pairs, links)
 
     entries = _entries(sets.withColumnRenamed("doc_id", "node"), least)
     left = _several(entries, classes, least)
     discard(entries)
     for turn in range(TURNS):
-        links = staged(_verified(staged(_turn(left, turn, least), "pairs"), sets, least), "links")
+        pairs = staged(_turn(left, turn, least), "pairs")
+        links = staged(_verified(pairs, sets, least), "links")
         if links.isEmpty():
             break
-        classes, before = _merged(classes, links), left
+        again = pairs.count() * WORTH >= left.count()
+        classes, before = _merged(classes, _roots(classes, links)), left
         left = _several(before.drop("root"), classes, least)
         discard(before)
+        if not again:
+            break
     pairs = staged(_across(left.join(left.select("h", F.struct("node", "n", "rest", "root").alias("c")), "h"), F.col("root") > F.col("c.root"), least), "pairs")
-    classes = _merged(classes, staged(_verified(pairs, sets, least), "links"))
+    classes = _merged(classes, _roots(classes, staged(_verified(pairs, sets, least), "links")))
 
     rooted = copies.join(classes.select(F.col("node").alias("rep"), "root"), "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("class_id"))
     rooted = staged(rooted.groupBy("doc_id").agg(F.min("class_id").alias("class_id")), "rooted")

@@ -16,7 +16,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from loomgraph.llm import chat_format, decontaminate, language_id, media, mixing, near_dedup, queries, sharding, substring_dedup, suffix_lm, warc
-from loomgraph.llm.common import new_path, text_bytes
+from loomgraph.llm import components as steps
+from loomgraph.llm.common import new_path, staged, text_bytes
 from loomgraph.llm.components import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rank int, count int"
@@ -140,6 +141,16 @@ def test_prob_min_hash_estimates_weighted_similarity():
     assert abs((owner[0] == owner[1]).mean() - 1 / 3) < 0.06
 
 
+def test_stars_stop_once_every_node_hangs_on_its_root(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(steps, "staged", lambda df, name: made.append(name) or staged(df, name))
+    for edges, rounds in (([(i, 0) for i in range(1, 40)] + [(0, 7), (50, 41)], 0), ([(9, 1), (9, 2), (9, 3)], 1)):
+        made.clear()
+        got = {(r.u, r.v) for r in steps.stars(spark.createDataFrame(edges, "u long, v long")).collect()}
+        root = {0: {(i, 0) for i in range(1, 40)} | {(50, 41)}, 1: {(2, 1), (3, 1), (9, 1)}}[rounds]
+        assert got == root and made == ["edges"] + ["stars"] * rounds
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(0, 40)] + [(100, 101), (7, 7)], "u long, v long")
     got = {r.node: r.root for r in components(edges).collect()}
