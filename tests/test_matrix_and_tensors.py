@@ -113,3 +113,13 @@ def test_folder_source(spark):
         g = adapter.SOURCES["folder"](spark, path).tables()
         assert {r.id: r.x for r in g.arrays.collect()} == {0: [-1.0, 0.0], 1: [1.0, 0.0], 2: [7.0, 1.0]}
         assert {r.id: r.y for r in g.labels.collect()} == want and g.edges.count() == 4
+
+
+def test_matmul_is_exact_beyond_64_bits(spark):
+    from loomgraph.plans.graph_queries import _square
+
+    small, large = ({(i, j): (1 + 3 * i - 2 * j) * scale for i in range(2) for j in range(2)} for scale in (7, 10**10 + 1))
+    for m, kind in ((small, "bigint"), (large, "decimal(38,0)")):
+        got = _square(spark.createDataFrame([(i, j, v) for (i, j), v in m.items()], "i int, j int, v bigint"))
+        assert dict(got.dtypes)["v"] == kind
+        assert {(r.i, r.j): int(r.v) for r in got.collect()} == {(i, j): sum(m[i, k] * m[k, j] for k in range(2)) for i in range(2) for j in range(2)}
