@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from loomgraph.operators import config, phases, samplers
+from loomgraph.operators import config, halo, phases, samplers
+from loomgraph.operators import network as network_module
 from loomgraph.operators import pool as pool_module
 from loomgraph.operators.network import Network
 from loomgraph.operators.tape import Node, Tape
@@ -195,3 +196,43 @@ def test_a_pool_that_covers_takes_few_passes(spark):
     assert len(calls) <= 4 and [start for start, _ in calls] == sorted({start for start, _ in calls})
     fresh = samplers.random_walk(g, pool.made, 3, 2)
     assert sorted(map(tuple, pool.samples().collect())) == sorted(map(tuple, fresh.collect()))
+
+
+@pytest.mark.parametrize("ids", [range(100, 5100), [3**n for n in range(30)]])
+def test_blocks_see_what_other_blocks_hold(spark, ids, monkeypatch):
+    """Edges of any kind, and pairs of groups, over blocks of near ids and, where ids are far apart, of hashes."""
+    monkeypatch.setattr(halo, "LEAST", 2)
+    monkeypatch.setattr(halo, "_partitions", lambda df: 12)
+    ids, rng = list(ids), np.random.default_rng(5)
+    nodes = spark.createDataFrame([(i, [float(k), 1.0]) for k, i in enumerate(ids)], "id bigint, x array<double>")
+    value = {i: k for k, i in enumerate(ids)}
+    groups = [[int(v) for v in rng.choice(ids, 4)] for _ in range(len(ids) // 2)] + [[ids[0], ids[1]], [ids[1], ids[0]]]
+    groups[0][0] = -5  # no node
+    pairs = {(a, b) for g in groups for a in g for b in g if a != b}
+    around = {}
+    for a, b in pairs:
+        around.setdefault(a, []).append(b)
+    mean = {a: sum(value.get(b, 0) for b in bs) / len(bs) for a, bs in around.items()}
+    edges = spark.createDataFrame([(a, b, 1 / len(around[a])) for a, b in sorted(pairs) if a % 3], "src bigint, dst bigint, w double")
+    made = halo.Links.of_groups(spark.createDataFrame([(sorted(set(g)),) for g in groups], "members array<bigint>"), nodes)
+    assert made.blocks.ranges == (ids[0] == 100) and made.blocks.number == 12
+    for links, kept in ((made, lambda a: True), (halo.Links.of(edges, nodes), lambda a: a % 3)):
+        at = halo.dealt(links, nodes, ["x"], lambda own, seen, e: own, ["x"], ["x"])
+        got = halo.passed(links, at, ["x"], ["x"], lambda own, seen, e: [halo.gathered(e, seen[0], len(own[0])), halo.largest(e, seen[0], len(own[0]))], ["mean", "most"], []).collect()
+        assert sorted(r.id for r in got) == ids and all(r.own for r in got)
+        for r in got:
+            met = around.get(r.id, []) if kept(r.id) else []
+            assert abs(r.mean[0] - (mean[r.id] if met else 0)) < 1e-9 and r.most[0] == max((value[b] for b in met if b in value), default=0)
+
+
+def test_a_layer_moves_no_row_an_edge(spark):
+    """What the passes over a dense graph shuffle is rows of nodes and links, none of them for each edge and column."""
+    from loomgraph.plans import tables
+
+    n = 400
+    nodes = spark.createDataFrame([(i, [float(i % 7), 1.0, 0.0, 2.0]) for i in range(n)], "id bigint, x array<double>")
+    groups = spark.createDataFrame([([*range(k, k + 100)],) for k in range(0, n, 100)], "members array<bigint>")
+    layer, weights = tables.LAYERS["gat_heads"]
+    made = network_module.outputs(layer, weights(), nodes, halo.Links.of_groups(groups, nodes))
+    assert made.count() == n and "SortMergeJoin" not in (plan := made._jdf.queryExecution().toString()) and "Expand" not in plan
+    assert plan.split("== Physical Plan ==")[1].count("Join") == 0
