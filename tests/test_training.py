@@ -167,3 +167,26 @@ def test_pruning_reaches_its_end(spark):
     edges = graphs.symmetrize(spark.createDataFrame(chain, "src bigint, dst bigint"))
     left = graphs.pruned(edges, 2, lambda d: d.checkpoint())
     assert {r.src for r in left.collect()} == {10, 11, 12}
+
+
+def test_a_pool_of_one_size_leaves_the_other_edges_unmade(spark, tmp_path):
+    """Its nodes and weighted edges are those of the sampler over the whole graph, whose edges are not written for it."""
+    import glob
+
+    from loomgraph.plans import graph_queries, tables
+
+    c = tables.Context(spark, "/root/testdata/sf0.001")
+    small = c.train_ids.where("id < 60")
+    lines = c.table("lineitem").where("l_partkey < 120")
+    few = small.where("id % 7 = 0")
+    pairs = graph_queries.G.copurchase(lines).join(few.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
+    assert sorted(map(tuple, graph_queries.G.bought_with(lines, few).collect())) == sorted(map(tuple, pairs.collect())) != []
+
+    def keep(df, name):
+        df.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    met, edges = graph_queries._sampled(c, keep)
+    assert sorted(map(tuple, met.collect())) == sorted(map(tuple, c.walks()[1].collect()))
+    assert sorted(map(tuple, edges.collect())) == sorted(map(tuple, graph_queries.subgraph_weights(c).collect()))
+    assert glob.glob(f"{tmp_path}/edges-met/*.parquet") and not glob.glob(f"{tmp_path}/train_edges")
